@@ -162,10 +162,24 @@ def fold_col(c: Column) -> Column:
     return c
 
 
+def _any_contraction() -> str:
+    return "|".join(p for p, _ in CONTRACTIONS)
+
+
 def normalize_string(c: Column) -> Column:
-    """Steps 1-9: the normalised text as one string (no token maps)."""
+    """Steps 1-9: the normalised text as one string (no token maps).
+
+    The ~50 contraction patterns run only on texts where one combined
+    pattern finds any of them (one pass instead of fifty for most rows);
+    the result is the same as running them all."""
     c = fold_col(F.lower(F.coalesce(c, F.lit(""))))
-    for pat, rep in regex_steps():
+    for pat, rep in REGEX_STEPS_HEAD:
+        c = F.regexp_replace(c, pat, _java_repl(rep))
+    chained = c
+    for pat, rep in CONTRACTIONS:
+        chained = F.regexp_replace(chained, pat, _java_repl(rep))
+    c = F.when(c.rlike(_any_contraction()), chained).otherwise(c)
+    for pat, rep in REGEX_STEPS_TAIL:
         c = F.regexp_replace(c, pat, _java_repl(rep))
     return F.trim(c)
 

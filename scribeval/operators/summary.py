@@ -95,14 +95,20 @@ def eval_summary(results: DataFrame, laser: bool = False, latency_p: float = 0.9
         *[c for c in rolled.columns if c not in ("_ds", "_gid", "_nds")],
     )
     if not approx_percentile:
-        for c in ("ttfb", "ttfs"):
-            vals = tagged.where(ok).select("_ds", c)
-            both = vals.select(F.lit("dataset").alias("level"), F.col("_ds").alias("dataset"), c).where(
-                F.col("dataset").isNotNull()).unionByName(
-                vals.select(F.lit("overall").alias("level"), F.lit(None).cast("string").alias("dataset"), c))
-            pct = exact_percentile(both, c, ["level", "dataset"], latency_p, f"{c}_p95")
-            out = out.join(pct, [out["level"] == pct["level"], out["dataset"].eqNullSafe(pct["dataset"])],
-                           "left").drop(pct["level"]).drop(pct["dataset"])
+        # one rank pass for both metrics and both levels
+        vals = tagged.where(ok).select("_ds", F.explode(F.array(
+            F.struct(F.lit("ttfb").alias("metric"), F.col("ttfb").alias("v")),
+            F.struct(F.lit("ttfs").alias("metric"), F.col("ttfs").alias("v")))).alias("m")).select(
+            "_ds", "m.metric", "m.v")
+        both = vals.where(F.col("_ds").isNotNull()).select(
+            F.lit("dataset").alias("level"), F.col("_ds").alias("dataset"), "metric", "v").unionByName(
+            vals.select(F.lit("overall").alias("level"), F.lit(None).cast("string").alias("dataset"), "metric", "v"))
+        pct = exact_percentile(both, "v", ["level", "dataset", "metric"], latency_p, "p")
+        pct = pct.groupBy("level", "dataset").agg(
+            *[F.max(F.when(F.col("metric") == c, F.col("p"))).alias(f"{c}_p95") for c in ("ttfb", "ttfs")])
+        pct = pct.select(F.col("level").alias("_pl"), F.col("dataset").alias("_pd"), "ttfb_p95", "ttfs_p95")
+        out = out.join(pct, [out["level"] == pct["_pl"], out["dataset"].eqNullSafe(pct["_pd"])],
+                       "left").drop("_pl", "_pd")
     lat = [f"{c}_{s}" for c in ("ttfb", "ttfs") for s in ("avg", "p95", "min", "max")]
     out = out.select(*[F.round(c, ROUND).alias(c) if c in lat else F.col(c) for c in out.columns])
     out = out.withColumn("all_failed", F.col("scored") == 0)

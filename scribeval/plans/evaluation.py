@@ -12,6 +12,11 @@ from ..sources import fixtures as fx
 from . import oracle as O
 
 
+def scoring_partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               spark.sparkContext.defaultParallelism)
+
+
 def eval_results(spark: SparkSession, sf_dir: str, total: int | None = None,
                  dataset: str | None = None) -> DataFrame:
     """Per-sample results (the rows the tool prints one by one).
@@ -23,6 +28,11 @@ def eval_results(spark: SparkSession, sf_dir: str, total: int | None = None,
     s = scorable(s)
     if total is not None:
         s = even_quota(s, total).drop("rn")
+    # Scoring is CPU-bound (regex chain + edit distance): spread the samples
+    # over an explicit number of hash partitions on the join key, so the join
+    # with the hypotheses reuses this partitioning and every partition scores
+    # a share of the rows.
+    s = s.repartition(scoring_partitions(spark), "sample_id")
     h = fx.hypotheses(spark, sf_dir)
     j = s.join(h, "sample_id", "inner")
     scored = score_wer(j, "reference", "text")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import corpus
 from . import evaluation as ev
 
 QUERIES = {
     "q_eval_run": ev.q_eval_run,
+    **corpus.QUERIES,
 }
 
 ORACLE = {
     "q_eval_run": ev.sql_q_eval_run,
+    **corpus.ORACLE,
 }
 
 
