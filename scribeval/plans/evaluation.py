@@ -36,7 +36,13 @@ def eval_results(spark: SparkSession, sf_dir: str, total: int | None = None,
     h = fx.hypotheses(spark, sf_dir)
     j = s.join(h, "sample_id", "inner")
     scored = score_wer(j, "reference", "text")
-    return scored.withColumn("wer", F.when(F.col("error").isNull(), F.col("wer")))
+    scored = scored.withColumn("wer", F.when(F.col("error").isNull(), F.col("wer")))
+    # The per-sample results are the run's table: every summary, filter and
+    # judge step reads them.  Writing them once to the checkpoint folder
+    # (shared storage) scores each sample exactly once, cuts the lineage
+    # (a lost executor does not re-run the scoring) and keeps the optimizer
+    # from copying the normaliser into predicates pushed below it.
+    return scored.drop("reference", "text").checkpoint(eager=True)
 
 
 def q_eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import corpus, judging
 from . import evaluation as ev
 
 QUERIES = {
     "q_eval_run": ev.q_eval_run,
     **corpus.QUERIES,
+    **judging.QUERIES,
 }
 
 ORACLE = {
     "q_eval_run": ev.sql_q_eval_run,
     **corpus.ORACLE,
+    **judging.ORACLE,
 }
 
 
