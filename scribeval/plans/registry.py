@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import corpus, judging
+from . import audio, corpus, judging
 from . import evaluation as ev
 
 QUERIES = {
     "q_eval_run": ev.q_eval_run,
     **corpus.QUERIES,
     **judging.QUERIES,
+    **audio.QUERIES,
 }
 
 ORACLE = {
     "q_eval_run": ev.sql_q_eval_run,
     **corpus.ORACLE,
     **judging.ORACLE,
+    **audio.ORACLE,
 }
 
 
