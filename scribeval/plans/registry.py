@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, corpus, judging
+from . import audio, corpus, judging, turns
 from . import evaluation as ev
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     **corpus.QUERIES,
     **judging.QUERIES,
     **audio.QUERIES,
+    **turns.QUERIES,
 }
 
 ORACLE = {
@@ -17,6 +18,7 @@ ORACLE = {
     **corpus.ORACLE,
     **judging.ORACLE,
     **audio.ORACLE,
+    **turns.ORACLE,
 }
 
 
