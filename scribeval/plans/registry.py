@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, corpus, judging, turns
+from . import audio, corpus, judging, tools, turns
 from . import evaluation as ev
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     **judging.QUERIES,
     **audio.QUERIES,
     **turns.QUERIES,
+    **tools.QUERIES,
 }
 
 ORACLE = {
@@ -19,6 +20,7 @@ ORACLE = {
     **judging.ORACLE,
     **audio.ORACLE,
     **turns.ORACLE,
+    **tools.ORACLE,
 }
 
 
