@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, corpus, judging, tools, turns
+from . import audio, corpus, judging, optimize, tools, turns
 from . import evaluation as ev
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     **audio.QUERIES,
     **turns.QUERIES,
     **tools.QUERIES,
+    **optimize.QUERIES,
 }
 
 ORACLE = {
@@ -21,6 +22,7 @@ ORACLE = {
     **audio.ORACLE,
     **turns.ORACLE,
     **tools.ORACLE,
+    **optimize.ORACLE,
 }
 
 
