@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, corpus, judging, optimize, tools, turns
+from . import audio, corpus, extras, judging, optimize, tools, turns
 from . import evaluation as ev
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     **turns.QUERIES,
     **tools.QUERIES,
     **optimize.QUERIES,
+    **extras.QUERIES,
 }
 
 ORACLE = {
@@ -23,6 +24,7 @@ ORACLE = {
     **turns.ORACLE,
     **tools.ORACLE,
     **optimize.ORACLE,
+    **extras.ORACLE,
 }
 
 
