@@ -24,9 +24,9 @@ def seeded_key(id_col: str, seed: int = SPLIT_SEED):
 
 
 def one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row DataFrame to every row (equi-join on a
-    constant; the one-row side is broadcast, its size is fixed at 1)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach the columns of a one-row DataFrame to every row as scalar
+    subqueries (computed once, no join)."""
+    return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])
 
 
 def shuffle_split(samples: DataFrame, id_col: str = "sample_id", seed: int = SPLIT_SEED,
