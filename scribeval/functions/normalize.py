@@ -29,7 +29,7 @@ references so that DuckDB (RE2) runs exactly the same chain in the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -144,8 +144,19 @@ REGEX_STEPS_TAIL = (
 )
 
 
+def _is_word_pattern(p: str) -> bool:
+    return p.startswith(r"\b") and p.endswith(r"\b") and "'" not in p
+
+
+# Contractions that need an apostrophe run as regexes on the text; whole-word
+# ones (titles, "gonna" ...) are token maps, applied after punctuation is gone
+# (same result: their patterns only ever match whole words).
+APOSTROPHE_RULES = tuple((p, r) for p, r in CONTRACTIONS if not _is_word_pattern(p))
+WORD_RULES = tuple((p[2:-2], r.strip()) for p, r in CONTRACTIONS if _is_word_pattern(p))
+
+
 def regex_steps():
-    return REGEX_STEPS_HEAD + CONTRACTIONS + REGEX_STEPS_TAIL
+    return REGEX_STEPS_HEAD + APOSTROPHE_RULES + REGEX_STEPS_TAIL
 
 
 def _java_repl(rep: str) -> str:
@@ -162,29 +173,59 @@ def fold_col(c: Column) -> Column:
     return c
 
 
-def _any_contraction() -> str:
-    return "|".join(p for p, _ in CONTRACTIONS)
+def normalize_string(c: Column) -> Column:
+    """Steps 1-9 as one expression (no guards, no token maps)."""
+    c = fold_col(F.lower(F.coalesce(c, F.lit(""))))
+    for pat, rep in regex_steps():
+        c = F.regexp_replace(c, pat, _java_repl(rep))
+    return F.trim(c)
 
 
-def normalize_string(c: Column) -> Column:
-    """Steps 1-9: the normalised text as one string (no token maps).
+# Literal guards: a step whose pattern needs one of these characters is
+# skipped (cheap substring test) for texts that do not contain any of them.
+_GUARDS = {
+    r"[<\[][^>\]]*[>\]]": ("[", "<"),
+    r"\([^)]+\)": ("(",),
+    WS + r"+'": ("'",),
+    r"(\d),(\d)": (",",),
+    r"\.([^0-9]|$)": (".",),
+    r"[.$¢€£]([^0-9])": (".", "$", "¢", "€", "£"),
+    r"([^0-9])%": ("%",),
+}
+
+
+def normalize_stages(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Same result as ``normalize_string``, one projection per step, each
+    guarded by a substring test so most texts skip most regex passes (the
+    apostrophe rules run only on texts with an apostrophe).  Separate
+    projections keep each step's input evaluated once."""
+    d = df.withColumn(out, fold_col(F.lower(F.coalesce(F.col(src), F.lit("")))))
+    c = F.col(out)
+
+    def guarded(chars, replaced):
+        hit = None
+        for ch in chars:
+            t = F.contains(c, F.lit(ch))
+            hit = t if hit is None else (hit | t)
+        return F.when(hit, replaced).otherwise(c)
+
+    def step(pat, rep):
+        replaced = F.regexp_replace(c, pat, _java_repl(rep))
+        chars = _GUARDS.get(pat)
+        return guarded(chars, replaced) if chars else replaced
 
-    The ~50 contraction patterns run only on texts where one combined
-    pattern finds any of them (one pass instead of fifty for most rows);
-    the result is the same as running them all."""
-    c = fold_col(F.lower(F.coalesce(c, F.lit(""))))
     for pat, rep in REGEX_STEPS_HEAD:
-        c = F.regexp_replace(c, pat, _java_repl(rep))
+        d = d.withColumn(out, step(pat, rep))
     chained = c
-    for pat, rep in CONTRACTIONS:
+    for pat, rep in APOSTROPHE_RULES:
         chained = F.regexp_replace(chained, pat, _java_repl(rep))
-    c = F.when(c.rlike(_any_contraction()), chained).otherwise(c)
+    d = d.withColumn(out, guarded(("'",), chained))
     for pat, rep in REGEX_STEPS_TAIL:
-        c = F.regexp_replace(c, pat, _java_repl(rep))
-    return F.trim(c)
+        d = d.withColumn(out, step(pat, rep))
+    return d.withColumn(out, F.trim(c))
 
 
-def _num_lookup(t: Column, table) -> Column:
+def _lookup(t: Column, table) -> Column:
     expr = None
     for w, v in table:
         cond = t == F.lit(w)
@@ -192,37 +233,86 @@ def _num_lookup(t: Column, table) -> Column:
     return expr
 
 
+def mapped_words(spellings=SPELLINGS) -> list[str]:
+    return ([w for w, _ in WORD_RULES] + [w for w, _ in NUMBER_UNITS] + [w for w, _ in NUMBER_TENS]
+            + [a for a, _ in (spellings or ())])
+
+
+def _map_literal(pairs) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+
+
 def map_tokens(tokens: Column, spellings=SPELLINGS) -> Column:
-    """Step 10 on a token array: number words -> digits (tens + unit merged),
-    British -> American spellings."""
-    units = lambda t: _num_lookup(t, NUMBER_UNITS)
-    tens = lambda t: _num_lookup(t, NUMBER_TENS)
+    """Step 10 on a token array: whole-word contractions and titles, number
+    words -> digits (tens + unit merged), British -> American spellings.
+    Arrays with none of the mapped words pass through after one
+    ``arrays_overlap`` test.  (Single-expression form: ``tokens`` is used
+    inside lambdas, so pass a column reference; ``with_mapped_tokens`` is the
+    staged form used by the scoring plans.)"""
+    words = F.array(*[F.lit(w) for w in mapped_words(spellings)])
+    expanded = _expand(tokens)
+    return F.when(F.arrays_overlap(tokens, words),
+                  _spell(_merge_numbers(expanded, _number_values(expanded)), spellings)).otherwise(tokens)
+
+
+def _expand(tokens: Column) -> Column:
+    wm = _map_literal(WORD_RULES)
+    return F.flatten(F.transform(tokens, lambda t: F.when(F.try_element_at(wm, t).isNull(), F.array(t))
+                                 .otherwise(F.split(F.try_element_at(wm, t), " "))))
+
+
+def _number_values(tokens: Column) -> Column:
+    nm = _map_literal(NUMBER_UNITS + NUMBER_TENS)
+    return F.transform(tokens, lambda t: F.try_element_at(nm, t))
+
+
+def _merge_numbers(tokens: Column, values: Column) -> Column:
+    """Tens followed by a unit 1-9 become one number; other number words
+    become digits.  ``values`` holds each token's number (or null)."""
     n = F.size(tokens)
 
     def one(t, i):
-        nxt = F.when(i + 1 < n, F.get(tokens, i + 1))
-        prv = F.when(i > 0, F.get(tokens, i - 1))
-        nxt_u = units(nxt)
-        return (
-            F.when(tens(t).isNotNull() & nxt_u.between(1, 9), (tens(t) + nxt_u).cast("string"))
-            .when(units(t).between(1, 9) & tens(prv).isNotNull(), F.lit(None).cast("string"))
-            .when(units(t).isNotNull(), units(t).cast("string"))
-            .when(tens(t).isNotNull(), tens(t).cast("string"))
-            .otherwise(t)
-        )
-
-    merged = F.filter(F.transform(tokens, one), lambda x: x.isNotNull())
-    if spellings:
-        sp = F.create_map(*[F.lit(x) for kv in spellings for x in kv])
-        merged = F.transform(merged, lambda t: F.coalesce(F.try_element_at(sp, t), t))
-    return merged
+        v = F.get(values, i)
+        nv = F.when(i + 1 < n, F.get(values, i + 1))
+        pv = F.when(i > 0, F.get(values, i - 1))
+        return (F.when((v >= 20) & nv.between(1, 9), (v + nv).cast("string"))
+                .when(v.between(1, 9) & (pv >= 20), F.lit(None).cast("string"))
+                .when(v.isNotNull(), v.cast("string"))
+                .otherwise(t))
+
+    return F.filter(F.transform(tokens, one), lambda x: x.isNotNull())
+
+
+def _spell(tokens: Column, spellings) -> Column:
+    if not spellings:
+        return tokens
+    sm = _map_literal(spellings)
+    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(sm, t), t))
+
+
+def with_mapped_tokens(df: DataFrame, src: str, out: str, spellings=SPELLINGS) -> DataFrame:
+    """Staged step 10: the guard, the expansion and the number values each
+    get their own projection so no lambda re-evaluates its input array."""
+    words = F.array(*[F.lit(w) for w in mapped_words(spellings)])
+    g, e, v = f"_{out}_hit", f"_{out}_exp", f"_{out}_val"
+    d = df.withColumn(g, F.arrays_overlap(F.col(src), words))
+    d = d.withColumn(e, F.when(F.col(g), _expand(F.col(src))))
+    d = d.withColumn(v, F.when(F.col(g), _number_values(F.col(e))))
+    mapped = _spell(_merge_numbers(F.col(e), F.col(v)), spellings)
+    return d.withColumn(out, F.when(F.col(g), mapped).otherwise(F.col(src))).drop(g, e, v)
 
 
 def split_words(c: Column) -> Column:
-    """Whitespace tokens of a string, empty tokens removed (``str.split()``)."""
+    """Whitespace tokens of any string, empty tokens removed (``str.split()``)."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), WS + "+"), lambda w: w != "")
 
 
+def split_normalized(c: Column) -> Column:
+    """Tokens of an already normalised (trimmed, single-blank) text, without
+    a lambda: only the empty text needs care."""
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+
+
 def normalized_tokens(c: Column, spellings=SPELLINGS) -> Column:
     """Tokens of the fully normalised text."""
     return map_tokens(split_words(normalize_string(c)), spellings)
@@ -254,7 +344,15 @@ def _duck_case(t: str, table, cast=True) -> str:
     return f"(CASE {t} {whens} END)"
 
 
+def duckdb_expand_words(tokens: str) -> str:
+    """Whole-word contractions and titles (may expand to several tokens)."""
+    whens = " ".join(f"WHEN {_sql_lit(w)} THEN {_sql_lit(r)}" for w, r in WORD_RULES)
+    return f"flatten(list_transform({tokens}, lambda t: string_split(CASE t {whens} ELSE t END, ' ')))"
+
+
 def duckdb_map_tokens(tokens: str, spellings=SPELLINGS) -> str:
+    """Numbers and spellings on already expanded tokens (``tokens`` must be
+    a column reference: it is used inside the lambda)."""
     u = lambda t: _duck_case(t, NUMBER_UNITS)
     te = lambda t: _duck_case(t, NUMBER_TENS)
     n = f"len({tokens})"
@@ -279,4 +377,5 @@ def duckdb_split_words(expr: str) -> str:
 
 
 def duckdb_normalized_tokens(expr: str, spellings=SPELLINGS) -> str:
-    return duckdb_map_tokens(duckdb_split_words(duckdb_normalize_string(expr)), spellings)
+    """Single expression form (small inputs only: it repeats the chain)."""
+    return duckdb_map_tokens(duckdb_expand_words(duckdb_split_words(duckdb_normalize_string(expr))), spellings)

@@ -15,6 +15,7 @@ from __future__ import annotations
 from ..functions.normalize import (
     WS,
     _sql_lit,
+    duckdb_expand_words,
     duckdb_map_tokens,
     duckdb_normalize_string,
     duckdb_split_words,
@@ -89,11 +90,12 @@ def normalized_ctes(src: str, out: str, cols: str, ref: str, hyp: str) -> str:
     """Two CTEs: ``{out}0`` with raw token lists, ``{out}`` with mapped
     tokens ``rt``/``ht`` and texts ``norm_ref``/``norm_hyp``."""
     return f"""
-{out}0 AS (
-  SELECT {cols}, {SPLIT_WORDS(duckdb_normalize_string(ref))} AS rt0,
-         {SPLIT_WORDS(duckdb_normalize_string(hyp))} AS ht0
+{out}00 AS (
+  SELECT {cols}, {duckdb_expand_words(SPLIT_WORDS(duckdb_normalize_string(ref)))} AS rt0,
+         {duckdb_expand_words(SPLIT_WORDS(duckdb_normalize_string(hyp)))} AS ht0
   FROM {src}
 ),
+{out}0 AS (SELECT * FROM {out}00),
 {out} AS (
   SELECT * EXCLUDE (rt0, ht0), {duckdb_map_tokens('rt0')} AS rt, {duckdb_map_tokens('ht0')} AS ht
   FROM {out}0

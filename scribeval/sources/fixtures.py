@@ -57,7 +57,15 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("en").alias("lang"),
         "text",
     )
-    return lines.unionByName(bench)
+    # One hash shuffle on sample_id: every table derived from the utterances
+    # (samples, hypotheses, judge replies) is then co-partitioned for the
+    # joins on sample_id, and the per-row text work runs on all partitions
+    # instead of one per file block.
+    return lines.unionByName(bench).repartition(_partitions(spark), "sample_id")
+
+
+def _partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def inject_reference(sample_id: Column, text: Column) -> Column:
