@@ -105,12 +105,17 @@ def even_quota(samples: DataFrame, total: int, order_col: str = "sample_id",
     """win_even_quota: the first ``quota`` scorable rows of every dataset by
     ``order_col``; adds ``rn`` (1-based rank within the dataset)."""
     reg = with_quota(registry_of(samples, dataset_col), total, compat_min_one).select(dataset_col, "quota")
-    max_quota = max(int(total), 1)  # no dataset gets more than ``total``
-    if max_quota <= WINDOW_LIMIT_MAX:
+    # The largest quota is total // n + 1 (n = number of datasets, a tiny
+    # aggregate); a literal bound that small lets Spark cut every task to its
+    # own top rows per dataset before the shuffle (WindowGroupLimit).
+    n = samples.select(dataset_col).distinct().count()
+    max_quota = max(int(total) // max(n, 1) + 1, 1)
+    limit_max = int(samples.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if max_quota <= min(WINDOW_LIMIT_MAX, limit_max):
         # literal bound -> WindowGroupLimit (partial top-k per task), then the
         # exact per-dataset quota after the join with the small registry.
         w = Window.partitionBy(dataset_col).orderBy(order_col)
-        ranked = samples.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.lit(max_quota + 1))
+        ranked = samples.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.lit(max_quota))
     else:
         ranked = range_row_number(samples, [order_col], dataset_col, out="rn")
     return ranked.join(reg, dataset_col).where(F.col("rn") <= F.col("quota")).drop("quota")

@@ -209,6 +209,25 @@ def udtf_tool_calls(spark, sf):
                      c=code_texts(spark, sf))
 
 
+def _tool_calls_sql() -> str:
+    names = ", ".join("'" + n + "'" for n in TOOL_NAMES)
+    k = len(TOOL_NAMES)
+    return f"""WITH c AS (SELECT conv_id, turn, CAST(turn % {k} AS INTEGER) AS k, [{names}] AS names
+  FROM conversations WHERE role = 'assistant' AND turn % 5 <> 0)
+SELECT conv_id, turn, 0 AS call_no, names[k + 1] AS tool FROM c
+UNION ALL
+SELECT conv_id, turn, 1 AS call_no, names[(k + 1) % {k} + 1] AS tool FROM c WHERE turn % 7 = 3"""
+
+
+def sql_udtf_tool_calls():
+    """Expected calls from the snippet rules (the parser must recover them)."""
+    return _tool_calls_sql()
+
+
+def sql_str_tool_calls():
+    return f"SELECT tool, count(*) AS calls FROM ({_tool_calls_sql()}) GROUP BY tool"
+
+
 def str_tool_calls(spark, sf):
     return udtf_tool_calls(spark, sf).groupBy("tool").agg(F.count("*").alias("calls"))
 

@@ -34,3 +34,9 @@ def test_filter_pushed_to_scan(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("source") == "src1").select("doc_id")
     p = _plan(d)
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in p
+
+
+def test_small_quota_and_top_hits_cut_before_shuffle(spark):
+    from scribeval.plans import corpus, tools
+    assert "WindowGroupLimit" in _plan(corpus.win_even_quota(spark, SF))
+    assert "WindowGroupLimit" in _plan(tools.top_line_hits(spark, SF))
