@@ -11,8 +11,8 @@ task; a group holding a third of all rows then holds a third of the job.
 3. a tiny table of (partition, g) -> row count gets running offsets per
    group (at most partitions + groups rows), joined back on (partition, g).
 
-The ranked rows are checkpointed (reliable checkpoint, shared folder) so
-both uses see the same partitions; pass only the columns needed.
+The ranked rows are written once as a table in the checkpoint folder so
+both uses see the same positions; pass only the columns needed.
 
 The order keys must make the order total (end them with a unique id).
 """
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def range_row_number(df: DataFrame, order_cols: list[str], group_cols=None,
                      out: str = "rn", num_partitions: int | None = None) -> DataFrame:
@@ -40,10 +42,10 @@ def range_row_number(df: DataFrame, order_cols: list[str], group_cols=None,
     )
     # The positions are read twice (counts, numbering).  Two plans would run
     # two range shuffles whose sampled boundaries differ, so the positions
-    # are written once to the session's checkpoint folder (shared storage on
-    # a cluster; also cuts the lineage, so a lost executor does not re-run
-    # the range sampling).
-    ranged = ranged.checkpoint(eager=True)
+    # are written once as a table in the session's checkpoint folder (shared
+    # storage on a cluster; also cuts the lineage, so a lost executor does
+    # not re-run the range sampling).
+    ranged = materialize(ranged, "ranks")
     counts = ranged.groupBy("_rank_pid", *g).agg(
         F.count("*").alias("_rank_cnt"), F.min("_rank_pos").alias("_rank_first"))
     w = Window.partitionBy(*g).orderBy("_rank_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.scoring import score_wer
 from ..operators.selection import even_quota, scorable
 from ..operators.summary import eval_summary
+from ..session import materialize
 from ..sources import fixtures as fx
 from . import oracle as O
 
@@ -36,11 +37,11 @@ def eval_results(spark: SparkSession, sf_dir: str, total: int | None = None,
     scored = score_wer(j, "reference", "text")
     scored = scored.withColumn("wer", F.when(F.col("error").isNull(), F.col("wer")))
     # The per-sample results are the run's table: every summary, filter and
-    # judge step reads them.  Writing them once to the checkpoint folder
-    # (shared storage) scores each sample exactly once, cuts the lineage
-    # (a lost executor does not re-run the scoring) and keeps the optimizer
-    # from copying the normaliser into predicates pushed below it.
-    return scored.drop("reference", "text").checkpoint(eager=True)
+    # judge step reads them.  Writing them once as a table in the checkpoint
+    # folder (shared storage) scores each sample exactly once, cuts the
+    # lineage (a lost executor does not re-run the scoring) and keeps the
+    # optimizer from copying the normaliser into predicates pushed below it.
+    return materialize(scored.drop("reference", "text"), "eval_results")
 
 
 def q_eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the checkpoint folder and return a
+    lazy scan of it.  Cuts the lineage like ``checkpoint()`` but computes the
+    input a single time (an eager RDD checkpoint runs it twice unless
+    cached), and the read-back scan keeps column pruning and filter
+    pushdown."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
