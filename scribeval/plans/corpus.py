@@ -30,8 +30,8 @@ FIRST_N = 50
 FIRST_N_DATASET = "src1"
 PROMPT = "Transcribe verbatim."
 # --- fixed values: model routing ----------------------------------------------
-STREAMING_MODELS = ("u3-pro", "universal-streaming-english", "universal-streaming-multilingual")
-PROMPT_MODELS = ("u3-pro",)
+STREAMING_MODELS = ("stream-v3", "stream-english", "stream-multilingual")
+PROMPT_MODELS = ("stream-v3",)
 # ------------------------------------------------------------------------------
 
 

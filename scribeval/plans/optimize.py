@@ -35,7 +35,7 @@ CANDIDATE_PROMPTS = (
 MINIBATCH = 100
 METRIC = "LASER"
 OPTIMIZER = "DSPy-GEPA"
-MODEL = "assemblyai/universal-3-pro"
+MODEL = "batch-v3"
 NUM_TRIALS = 50
 # ---------------------------------------------------------------------------------
 

@@ -30,8 +30,8 @@ from .tables import read_events, read_table
 
 # --- fixed values -----------------------------------------------------------
 IGNORE_MARKER = "ignore_time_segment_in_scoring"
-STREAMING_MODEL = "u3-pro"
-BATCH_MODEL = "universal-3-pro"
+STREAMING_MODEL = "stream-v3"
+BATCH_MODEL = "batch-v3"
 LINE_BREAK = r"\r?\n"
 # Sample ids of document lines: (doc_id + 1) * LINE_ID_BASE + line_no.
 LINE_ID_BASE = 1_000_000
