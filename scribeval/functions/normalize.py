@@ -303,8 +303,10 @@ def with_mapped_tokens(df: DataFrame, src: str, out: str, spellings=SPELLINGS) -
 
 
 def split_words(c: Column) -> Column:
-    """Whitespace tokens of any string, empty tokens removed (``str.split()``)."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), WS + "+"), lambda w: w != "")
+    """Whitespace tokens of any string, empty tokens removed (``str.split()``).
+    Blanks are collapsed and trimmed first, so no per-token lambda is needed."""
+    t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS + "+", " "))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def split_normalized(c: Column) -> Column:
