@@ -59,9 +59,32 @@ def configure(spark: SparkSession) -> SparkSession:
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``scribeval`` importable in the Python workers (pandas UDFs,
+    stateful streaming, UDTFs) wherever the driver runs from: the package is
+    zipped once per SparkContext and distributed with ``addPyFile``."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_scribeval_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="scribeval-pyfiles-"), "scribeval.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._scribeval_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
