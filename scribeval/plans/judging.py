@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import judge as J
 from ..functions.strings import sql_fmt_fixed
 from ..operators.summary import eval_summary
+from ..session import materialize
 from ..sources import fixtures as fx
 from . import oracle as O
 from .evaluation import eval_results, results_sql, summary_sql
@@ -33,8 +34,10 @@ def laser_results(spark: SparkSession, sf: str) -> DataFrame:
     err = F.coalesce(F.col("error"), F.when(needs & ~F.coalesce(rp.getField("valid"), F.lit(False)),
                                              F.concat(F.lit("judge: "), F.coalesce(rp.getField("reason"),
                                                                                   F.lit("no reply")))))
-    return (r.withColumn("needs_judge", needs).withColumn("laser", laser)
-            .withColumn("error", err).withColumn("laser_score", F.col("laser.laser_score")).drop("reply"))
+    out = (r.withColumn("needs_judge", needs).withColumn("laser", laser)
+           .withColumn("error", err).withColumn("laser_score", F.col("laser.laser_score")).drop("reply"))
+    # written once: summaries read it in several branches
+    return materialize(out, "laser_results")
 
 
 def _ok(df):
