@@ -13,13 +13,17 @@ whole chain stays inside the JVM (whole-stage codegen, no Python worker):
 3. drop text in <...>, [...] and (...)
 4. drop fillers (hmm, mm, mhm, mmm, uh, um)
 5. remove blanks before an apostrophe
-6. expand common contractions and titles
+6. expand contractions that carry an apostrophe (regexes, run only on texts
+   that contain one)
 7. drop commas between digits, periods not followed by a digit
 8. replace remaining symbols/punctuation by blanks (keeping . % $ and
    currency signs next to numbers)
 9. collapse blanks, trim
-10. token maps: number words 0-99 to digits, British -> American spelling
-    (small built-in tables; callers may pass larger ones)
+10. token maps: whole-word contractions and titles ("gonna", "mr", ...),
+    number words 0-99 to digits, British -> American spelling (small
+    built-in tables; callers may pass a larger spelling table).  Titles and
+    whole-word contractions only ever match whole words, so mapping them on
+    tokens gives the same text as the regex form.
 
 Parity with the third-party implementation is not claimed for steps 2 and 10:
 its number grammar (hundreds, ordinals, currency words) and its 1,700-entry
@@ -225,14 +229,6 @@ def normalize_stages(df: DataFrame, src: str, out: str) -> DataFrame:
     return d.withColumn(out, F.trim(c))
 
 
-def _lookup(t: Column, table) -> Column:
-    expr = None
-    for w, v in table:
-        cond = t == F.lit(w)
-        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-    return expr
-
-
 def mapped_words(spellings=SPELLINGS) -> list[str]:
     return ([w for w, _ in WORD_RULES] + [w for w, _ in NUMBER_UNITS] + [w for w, _ in NUMBER_TENS]
             + [a for a, _ in (spellings or ())])
@@ -315,16 +311,6 @@ def split_normalized(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
-def normalized_tokens(c: Column, spellings=SPELLINGS) -> Column:
-    """Tokens of the fully normalised text."""
-    return map_tokens(split_words(normalize_string(c)), spellings)
-
-
-def normalize_text(c: Column, spellings=SPELLINGS) -> Column:
-    """Fully normalised text (steps 1-10) as a string."""
-    return F.array_join(normalized_tokens(c, spellings), " ")
-
-
 # --- DuckDB form of the same chain (used by the oracle SQL) ------------------
 
 def _sql_lit(s: str) -> str:
@@ -376,8 +362,3 @@ def duckdb_map_tokens(tokens: str, spellings=SPELLINGS) -> str:
 
 def duckdb_split_words(expr: str) -> str:
     return f"list_filter(regexp_split_to_array(coalesce({expr}, ''), {_sql_lit(WS + '+')}), lambda w: w <> '')"
-
-
-def duckdb_normalized_tokens(expr: str, spellings=SPELLINGS) -> str:
-    """Single expression form (small inputs only: it repeats the chain)."""
-    return duckdb_map_tokens(duckdb_expand_words(duckdb_split_words(duckdb_normalize_string(expr))), spellings)
