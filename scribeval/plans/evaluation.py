@@ -107,3 +107,21 @@ FROM (
 
 def sql_q_eval_run() -> str:
     return O.with_recursive(*results_sql()) + summary_sql()
+
+
+QUOTA_TOTAL = 1000
+
+
+def q_eval_run_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation as the tool runs it: an even per-dataset quota of
+    scorable samples (1,000 in total), then scoring and the summary."""
+    return eval_summary(eval_results(spark, sf_dir, total=QUOTA_TOTAL))
+
+
+def sql_q_eval_run_quota() -> str:
+    from .corpus import _quota_sql
+    sel = ("s.sample_id IN (SELECT r.sample_id FROM ranked r JOIN reg USING (dataset) "
+           "WHERE r.rn <= reg.quota)")
+    parts = results_sql(where=sel)
+    parts = parts[:3] + [_quota_sql(QUOTA_TOTAL)] + parts[3:]
+    return O.with_recursive(*parts) + summary_sql()

@@ -7,6 +7,7 @@ from . import evaluation as ev
 
 QUERIES = {
     "q_eval_run": ev.q_eval_run,
+    "q_eval_run_quota": ev.q_eval_run_quota,
     **corpus.QUERIES,
     **judging.QUERIES,
     **audio.QUERIES,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "q_eval_run": ev.sql_q_eval_run,
+    "q_eval_run_quota": ev.sql_q_eval_run_quota,
     **corpus.ORACLE,
     **judging.ORACLE,
     **audio.ORACLE,
