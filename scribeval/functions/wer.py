@@ -29,11 +29,14 @@ def _encode(tokens: Column, vocab: Column) -> Column:
 def with_word_distance(df: DataFrame, ref_tokens: str, hyp_tokens: str, out: str = "edits") -> DataFrame:
     """Adds ``out`` = word edit distance between two token-array columns."""
     vocab = "_vocab"
-    staged = df.withColumn(vocab, F.array_distinct(F.concat(F.col(ref_tokens), F.col(hyp_tokens))))
-    r, h, v = F.col(ref_tokens), F.col(hyp_tokens), F.col(vocab)
+    r, h = F.col(ref_tokens), F.col(hyp_tokens)
+    # identical token arrays (perfect transcripts) need no vocabulary or DP
+    staged = df.withColumn(vocab, F.when(r != h, F.array_distinct(F.concat(r, h))))
+    v = F.col(vocab)
     dist = (
         F.when(F.size(r) == 0, F.size(h))
         .when(F.size(h) == 0, F.size(r))
+        .when(r == h, F.lit(0))
         .otherwise(F.levenshtein(_encode(r, v), _encode(h, v)))
     )
     return staged.withColumn(out, dist).drop(vocab)
