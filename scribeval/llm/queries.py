@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import oracle
+from . import toxicity
 from .substring_dedup import remove_repeats
 
 
@@ -18,8 +19,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, by the model fitted on ``labels``."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", *toxicity.RESULT)
+
+
 QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {

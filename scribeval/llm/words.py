@@ -73,6 +73,16 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - first
 
 
+def text_slices(offsets: np.ndarray, max_bytes: int = 4 << 20):
+    """(first, last + 1) of runs of texts of about ``max_bytes`` together; a
+    longer text is a run of its own."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, side="right")) - 1)
+        yield lo, min(hi, n)
+        lo = min(hi, n)
+
+
 def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte) of every word, and for each text the index of
     its first word (one more than texts).  Words never cross texts."""
@@ -92,16 +102,20 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple = ()):
+    """64-bit hash of every word; with ``prefixes`` a list of that and, for
+    each given length, the hashes of the first so many bytes (of whole words
+    where they are no longer)."""
     n = len(starts)
     out = np.empty(n, dtype=np.uint64)
+    more = [np.empty(n, dtype=np.uint64) for _ in prefixes]
     i = 0
     while i < n:
         j = int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right"))
         if j <= i:  # one word longer than a slice
             word = buf[starts[i]:ends[i]].tobytes()
-            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            for a, cut in zip([out, *more], [len(word), *prefixes]):
+                a[i] = int.from_bytes(hashlib.blake2b(word[:cut], digest_size=8).digest(), "little")
             i += 1
             continue
         lo, hi = int(starts[i]), int(ends[j - 1])
@@ -109,9 +123,10 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * power[:hi - lo], out=sums[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(WORD_BASE)
+        for a, stop in zip([out, *more], [e, *(np.minimum(e, s + cut) for cut in prefixes)]):
+            a[i:j] = (sums[stop] - sums[s]) * inverse[s] + (stop - s).astype(np.uint64) * np.uint64(WORD_BASE)
         i = j
-    return finalise(out)
+    return [finalise(a) for a in (out, *more)] if prefixes else finalise(out)
 
 
 def window_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
