@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import oracle
-from . import toxicity
+from . import jaccard_join, toxicity
 from .substring_dedup import remove_repeats
 
 
@@ -19,6 +19,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` under 4-word Jaccard similarity >= 0.85."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.link(docs, shingle=4, percent=85)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity of every document, by the model fitted on ``labels``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,9 +34,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
     "op6_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op9_jaccard_join": oracle.JACCARD_JOIN,
 }
