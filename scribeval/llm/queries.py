@@ -3,15 +3,39 @@ whole table and derives the contract's columns from the operator's output."""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from ..sources.tables import read_table
 from . import oracle
-from . import jaccard_join, toxicity
+from . import jaccard_join, packing, token_files, toxicity
 from .substring_dedup import remove_repeats
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the session's shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to record files and read back."""
+    path = scratch(spark, "token-files")
+    token_files.write(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return token_files.read(spark, path)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), length=1024)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated 20-word windows of ``documents``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,6 +57,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op4_packing": op4_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
