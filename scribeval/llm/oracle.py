@@ -33,3 +33,45 @@ r(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.v FRO
 SELECT r.doc_id, coalesce(any_value(n.c), 0)::BIGINT AS n_shingles, min(other) AS component_id
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, 'null')) AS o FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (
+  SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::INT AS turn FROM s0),
+s2 AS (SELECT *, ([5, 2, 1])[turn + 1]::DOUBLE AS weight FROM s1),
+s3 AS (
+  SELECT *, 2.0::DOUBLE * source_size::DOUBLE / weight AS ratio,
+    (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
+      - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, turn, source NULLS LAST
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(weight) OVER (ORDER BY source_size / weight, turn, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
+  FROM s2),
+l AS (SELECT max(lvl) AS level FROM s3),
+s AS (
+  SELECT source, source_size, turn,
+    CASE WHEN source_size > 0 THEN least(source_size::DOUBLE * 2.0::DOUBLE, weight * coalesce(level, 'inf'::DOUBLE)) ELSE 0.0::DOUBLE END AS target
+  FROM s3, l),
+p AS (
+  SELECT d.doc_id, d.size, s.source_size, s.target, s.turn,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c,
+    CASE WHEN s.source_size > 0 THEN floor(s.target / s.source_size::DOUBLE)::BIGINT ELSE 0 END AS passes
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+q AS (SELECT *, floor(target - (passes * source_size)::DOUBLE + 0.5::DOUBLE)::BIGINT AS rest FROM p),
+t AS (SELECT *, least(greatest(rest - c, 0), size) AS last FROM q),
+y AS (
+  SELECT *, least((c::DOUBLE + (CASE WHEN passes > 0 THEN size ELSE last END)::DOUBLE / 2.0::DOUBLE) / target, 1.0::DOUBLE) AS y FROM t)
+SELECT doc_id, size, source_size, target, (passes * size + last)::BIGINT AS taken,
+  CASE WHEN size > 0 AND passes + (last > 0)::BIGINT > 0 THEN
+    CASE turn
+      WHEN 0 THEN CASE WHEN y <= 0 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE + 2.0::DOUBLE * y / (1.5::DOUBLE + sqrt(2.25::DOUBLE + -2.0::DOUBLE * y)) END
+      WHEN 1 THEN CASE WHEN y <= 0 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE + 2.0::DOUBLE * y / (1.0::DOUBLE + sqrt(1.0::DOUBLE + 0.0::DOUBLE * y)) END
+      ELSE CASE WHEN y < 0.375::DOUBLE
+        THEN CASE WHEN y <= 0 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE + 2.0::DOUBLE * y / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * y)) END
+        ELSE CASE WHEN y - 0.375::DOUBLE <= 0 THEN 0.5::DOUBLE ELSE 0.5::DOUBLE + 2.0::DOUBLE * (y - 0.375::DOUBLE) / (1.0::DOUBLE + sqrt(1.0::DOUBLE + 2.0::DOUBLE * (y - 0.375::DOUBLE))) END
+        END
+    END END AS position
+FROM y
+"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from ..sources.tables import read_table
 from . import oracle
-from . import jaccard_join, packing, token_files, toxicity
+from . import jaccard_join, mixing, packing, token_files, toxicity
 from .substring_dedup import remove_repeats
 
 
@@ -36,6 +36,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), length=1024)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and where it first stands."""
+    out = mixing.plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken",
+                      F.get("positions", F.lit(0)).alias("position"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated 20-word windows of ``documents``."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,12 +66,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op4_packing": op4_packing,
+    "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
+    "op5_mixing": oracle.MIXING,
     "op6_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_jaccard_join": oracle.JACCARD_JOIN,
 }
