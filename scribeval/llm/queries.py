@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from ..sources.tables import read_table
 from . import oracle
-from . import jaccard_join, mixing, packing, token_files, toxicity
+from . import jaccard_join, lattice_dedup, mixing, packing, token_files, topk_search, toxicity, url_filter, warc
 from .substring_dedup import remove_repeats
 
 
@@ -31,6 +31,28 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of every 50th vector, by integer inner product."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk_search.search(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+#: The rules that the URL query judges by (host, path, verdict).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), rules)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), length=1024)
@@ -50,6 +72,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op7_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine >= 0.95."""
+    return lattice_dedup.dedup(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    path = scratch(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` under 4-word Jaccard similarity >= 0.85."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,14 +99,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_topk_search": op2_topk_search,
+    "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_lattice_dedup": op7_lattice_dedup,
+    "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
+    "op2_topk_search": oracle.TOPK_SEARCH,
+    "op3_url_filter": oracle.URL_FILTER,
+    "op7_lattice_dedup": oracle.LATTICE_DEDUP,
+    "op8_warc": oracle.WARC,
     "op5_mixing": oracle.MIXING,
     "op6_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_jaccard_join": oracle.JACCARD_JOIN,
