@@ -1,9 +1,85 @@
-"""The corpus pipeline (stages are added with their operators)."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Five stages, each a function of (spark, docs, sf_dir); each result is written
+as Parquet and read again as the next stage's documents.  All but the last
+return the columns of ``documents``.
+
+1. toxicity: documents that the severity model rejects go;
+2. jaccard: one document of each group of near copies stays (Jaccard
+   similarity of five-word shingles of at least 0.8);
+3. substrings: words of repeated 20-word windows go from the texts;
+4. mixing: documents are repeated or left out to meet the sources' targets,
+   and sorted by training position;
+5. packing: the texts, in that order, become sequences of at most 1024 tokens
+   (one row per piece).
+
+There is no SQL twin (the first stage is a fitted model); ``tests/llm`` holds
+every stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scribeval.llm import jaccard_join, keep, mixing, packing, substring_dedup, toxicity
+from scribeval.session import checkpoint_dir, configure
+from scribeval.sources.tables import read_table
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.accepted(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return keep.one_of_each(docs, jaccard_join.link(docs, shingle=5, percent=80))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
+    out = substring_dedup.remove_repeats(docs, window=20)
+    cut = F.col("n_removed") > 0
+    out = out.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return mixing.training_order(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), length=1024)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard", drop_near_copies),
+    ("substrings", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to ``documents``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; the result is the last stage's."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -256,9 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return Model(bits, places, np.frombuffer(r["weights"]), np.frombuffer(r["thresholds"]), r["cut"], json.loads(r["figures"]))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with severity (expected grade), grade and toxic (rejected)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _judge(spark, model: Model):
+    shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<severity: double, grade: int, toxic: boolean>")
     def judge(text: pa.Array) -> pa.Array:
@@ -275,7 +274,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         severity, grade = m.severity(margin)
         return pa.StructArray.from_arrays(
             [pa.array(severity), pa.array(grade, pa.int32()), pa.array(severity >= m.cut)], ["severity", "grade", "toxic"])
+    return judge
 
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with severity (expected grade), grade and toxic (rejected)."""
+    judge = _judge(docs.sparkSession, model)
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]
-    return docs.select(*keep, judge(F.col(text_col)).alias("_judged")).select(
+    return docs.select(*keep, judge(F.col(f"`{text_col}`").cast("string")).alias("_judged")).select(
         *keep, *[F.col("_judged")[c].alias(c) for c in RESULT])
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, as they are."""
+    return docs.where(~_judge(docs.sparkSession, model)(F.col(f"`{text_col}`").cast("string"))["toxic"])
