@@ -212,30 +212,23 @@ def _keep_met(ranges: int):
         ends = np.cumsum(p.sizes)
         total = np.concatenate([[0], np.cumsum(kept)])
         cuts = pa.array(np.concatenate([[0], total[ends]]), pa.int32())
+        place = (np.arange(len(p.tokens)) - np.repeat(ends - p.sizes, p.sizes))[kept]
+        shared = pa.StructArray.from_arrays([pa.array(p.tokens[kept].view(np.int64)), pa.array(place)], ["token", "pos"])
         t = p.table
-        return pa.table({"id": t["id"], "n": t["n"], "s1": t["s1"], "s2": t["s2"],
-                         "tokens": pa.ListArray.from_arrays(cuts, pa.array(p.tokens[kept].view(np.int64)))})
+        return pa.table({"id": t["id"], "n": t["n"], "s1": t["s1"], "s2": t["s2"], "shared": pa.ListArray.from_arrays(cuts, shared)})
     return run
 
 
-def _sets(k: int):
-    def run(batches):
-        for batch in batches:
-            buf, offsets = text_buffer(batch["text"])
-            for lo, hi in text_slices(offsets):
-                h, at = shingle_sets(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], k)
-                yield pa.RecordBatch.from_pydict({
-                    "id": batch["id"][lo:hi], "tokens": pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
-    return run
-
-
-def _open_groups(percent: int):
+def _open_groups(k: int, percent: int):
     """One (group, part of its queries): bound every query against the union,
     open the group for those that qualify."""
     def run(table: pa.Table) -> pa.Table:
-        us, vs = [], []
-        asks = table["asks"].to_pylist()
-        rows = [(a, i, np.frombuffer(t, np.uint64)) for a, i, t in zip(asks, table["id"].to_pylist(), table["tokens"].to_pylist())]
+        us, vs, sets = [], [], []
+        buf, offsets = text_buffer(table["text"])
+        for lo, hi in text_slices(offsets):
+            h, at = shingle_sets(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], k)
+            sets += [h[a:b] for a, b in zip(at[:-1], at[1:])]
+        rows = list(zip(table["asks"].to_pylist(), table["id"].to_pylist(), sets))
         members = [(i, t) for a, i, t in rows if not a]
         queries = [(i, t) for a, i, t in rows if a]
         if members and queries:
@@ -263,9 +256,9 @@ QUERIES_A_TASK = 256
 def _compare(texts: DataFrame, candidates: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links among ``candidates (id, gid)`` and the members ``groups (gid,
     id)``.  A group's queries go to as many tasks as they need; its members
-    go to each of these.  Sets are made anew from the texts of just these
-    documents: a Bloom filter of their ids (fixed size) thins the scan before
-    the exact semi-join."""
+    go to each of these.  Sets are made anew there from the texts of just
+    these documents: a Bloom filter of their ids (fixed size) thins the scan
+    before the exact join."""
     candidates = materialize(candidates, "candidates")
     parts = candidates.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("long").alias("parts"))
     asked = candidates.join(parts, "gid").select(
@@ -275,9 +268,8 @@ def _compare(texts: DataFrame, candidates: DataFrame, groups: DataFrame, shingle
     roles = materialize(asked.unionByName(held), "roles")
     ids = roles.select("id").distinct()
     words = bloom.build(ids, ids.count())
-    sets = bloom.passing(texts, F.col("id"), words).join(ids, "id", "left_semi").mapInArrow(
-        _sets(shingle), "id long, tokens binary").dropDuplicates(["id", "tokens"])
-    return roles.join(sets, "id").groupBy("gid", "part").applyInArrow(_open_groups(percent), "u long, v long")
+    some = bloom.passing(texts, F.col("id"), words)
+    return some.join(roles, "id").groupBy("gid", "part").applyInArrow(_open_groups(shingle, percent), "u long, v long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85,
@@ -303,13 +295,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         _send(blocks), "range long, block long, tokens binary, owners binary, runs binary, several binary"
     ).groupBy("range").applyInArrow(_meet, "block long, range long, bits binary, count long")
     table = materialize(feats.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(
-        _keep_met(blocks), "id long, n long, s1 long, s2 long, tokens array<long>"), "shingles")
+        _keep_met(blocks), "id long, n long, s1 long, s2 long, shared array<struct<token: long, pos: long>>"), "shingles")
 
     # classes of equal sets; the representative is the smallest id
     some = table.where("n > 0 AND id IS NOT NULL")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     reps = some.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi")
-    posts = materialize(reps.select("id", "n", F.explode("tokens").alias("token")).distinct(), "postings")
+    posts = materialize(reps.select("id", "n", F.explode("shared").alias("s")).select(
+        "id", "n", "s.token", "s.pos").distinct(), "postings")
 
     def needed(n, m):
         """Fewest shingles that sets of these sizes share within their prefixes."""
@@ -337,12 +330,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     sizes = comps.groupBy("comp").agg(F.ceil(F.sum("n") / group_tokens).cast("long").alias("parts"))
     grouped = materialize(comps.join(sizes, "comp").select(
         "id", "n", "comp", F.xxhash64("comp", F.pmod(F.xxhash64("id"), "parts")).alias("gid")), "groups")
-    spans = grouped.groupBy("gid").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    matrix = own.join(grouped.select("id", "gid"), "id").select("token", "gid", F.col("comp").alias("other")).distinct().join(spans, "gid")
-    met = own.join(matrix, "token").where("comp <> other").where(
-        f"n >= least_n AND 100 * most_n >= {percent} * n").groupBy("id", "n", "gid", "least_n").agg(F.count("*").alias("c"))
-    candidates = met.where(F.col("c") >= needed(F.col("n"), F.least(
-        "n", F.greatest("least_n", F.ceil(F.lit(percent) * F.col("n") / F.lit(100)))))).select("id", "gid")
+    own = own.join(grouped.select("id", "gid"), "id")
+    # Where a pair first shares a shingle, no more can be shared than what stands
+    # behind it in either set: the smaller set has it in a short prefix.
+    short = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
+    heads = own.where(F.col("pos") < short).groupBy("token", F.col("gid").alias("group"), F.col("comp").alias("other")).agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("pos").alias("least_pos"))
+    smallest = F.greatest("least_n", F.ceil(F.lit(percent) * F.col("n") / F.lit(100)))
+    first = own.join(heads, "token").where("comp <> other").where(f"n >= least_n AND 100 * most_n >= {percent} * n").where(
+        f"100 * most_n - {100 + percent} * least_pos >= {percent} * n").where(
+        F.lit(100 + percent) * (F.col("n") - F.col("pos")) >= F.lit(percent) * (F.col("n") + F.least("n", smallest)))
+    first = first.select("id", "n", F.col("group").alias("gid")).distinct()
+    # the matrix: a query's count of shingles in the union of a group's prefixes
+    matrix = own.select("token", "gid").distinct()
+    spans = grouped.groupBy("gid").agg(F.min("n").alias("least_n"))
+    met = first.join(own.select("id", "token"), "id").join(matrix, ["gid", "token"]).groupBy("id", "n", "gid").agg(
+        F.count("*").alias("c")).join(spans, "gid")
+    candidates = met.where(F.col("c") >= needed(F.col("n"), F.least("n", smallest))).select("id", "gid")
     rest = _compare(texts, candidates, grouped.select("gid", "id"), shingle, percent)
     comps = components(found.unionByName(rest))
 
