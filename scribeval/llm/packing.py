@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, text_batches
+from .tokens import encoder
 
 SENTENCE_PENALTY = 2.0
 INSIDE_PENALTY = 64.0
@@ -149,8 +149,8 @@ def _pack(path: str, length: int, end_id: int, block_tokens: int):
 
         for batch in batches:
             names = batch["id"].to_pylist()
-            for first, texts in text_batches(batch["text"]):
-                for i, x in enumerate(enc.encode(texts)):
+            for first, found in enc.encode(batch["text"]):
+                for i, x in enumerate(found):
                     ids.append(x + end)
                     docs.append(names[first + i])
                     size += len(x) // 4 + 1

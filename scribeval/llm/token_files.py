@@ -42,7 +42,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     WriterCommitMessage)
 
 from .files import new_name, open_folder, read_manifest, remove, write_manifest
-from .tokens import encoder, text_batches
+from .tokens import encoder
 
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
@@ -234,13 +234,13 @@ def _encode(path: str, end_id: int):
         width = 2 if max(enc.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for first, texts in text_batches(batch["text"]):
-                ids = [x + end for x in enc.encode(texts)]
+            for first, found in enc.encode(batch["text"]):
+                ids = [x + end for x in found]
                 if width == 2:
                     ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch["id"][first:first + len(texts)],
-                    "width": pa.array([width] * len(texts), pa.int32()), "ids": pa.array(ids, pa.binary())})
+                    "id": batch["id"][first:first + len(ids)],
+                    "width": pa.array([width] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
     return run
 
 

@@ -1,14 +1,16 @@
-"""Token ids of whole texts with the tokenizers library, unit by unit.
+"""Token ids of whole texts with the tokenizers library, word by word.
 
 A byte-level BPE splits a text into pieces before merging; a blank that is
 followed by a non-blank always opens a piece, and a single line break between
-non-blanks is a piece of its own.  So a text without other white space can be
-cut there into units, and equal units have equal ids: each distinct unit is
-encoded once (by the library) and looked up afterwards.  Texts with any other
-white space (runs, tabs, blanks at either end, non-ASCII blanks) go to the
-library whole.  ``tests/llm`` compares both ways.
-
-The table of units is bounded; it is emptied when full.
+non-blanks is a piece of its own.  So a text whose white space is single
+blanks and line breaks inside it can be cut into words (each with the blank
+or line break before it), and equal words have equal ids: each distinct word
+is encoded once, by the library, and its ids are copied to every place.
+Texts with any other white space (runs, tabs, blanks at either end, blanks
+outside ASCII) go to the library whole.  ``tests/llm`` compares both ways.
+
+Words are known by their 64-bit hash; the table of known words is bounded and
+emptied when full.
 """
 
 from __future__ import annotations
@@ -16,8 +18,19 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+
+from .words import finalise, text_buffer, text_slices, word_hashes, word_spans
 
 LONGEST_KEPT = 48
+#: Marks that are pieces of their own behind an ASCII letter at a word's end.
+MARKS = ".,;:!?"
+_MARK = np.full(256, -1, np.int64)
+_MARK[[ord(m) for m in MARKS]] = np.arange(len(MARKS))
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: What stands before a word.
+FIRST, BLANK, LINE = 0, 1, 2
 
 _encoders: dict = {}
 
@@ -29,85 +42,174 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _wide_blanks(buf: np.ndarray) -> np.ndarray:
+    """Places of white space outside ASCII (UTF-8): U+0085, U+00A0, U+1680,
+    U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000."""
+    at = np.flatnonzero(_LEAD[buf])
+    if not len(at):
+        return at
+    end = np.append(buf, np.zeros(2, np.uint8))
+    a, b, c = buf[at], end[at + 1], end[at + 2]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    ogham = (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+    general = (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    mathematical = (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+    ideographic = (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return at[two | ogham | general | mathematical | ideographic]
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
+    stop = np.cumsum(size)
+    total = int(stop[-1]) if len(stop) else 0
+    return np.repeat(begin - (stop - size), size) + np.arange(total)
+
+
+class _Known:
+    """Ids of known words as sorted runs of keys: (keys, begin, size, ids)."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.runs: list[tuple] = []
+
+    def find(self, keys: np.ndarray):
+        """(ids of all runs end to end, begin, size of each key; size -1: new)"""
+        begin, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        base = 0
+        for k, b, n, ids in self.runs:
+            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+            hit = k[at] == keys
+            begin[hit] = b[at[hit]] + base
+            size[hit] = n[at[hit]]
+            base += len(ids)
+        return np.concatenate([r[3] for r in self.runs] or [np.empty(0, "<u4")]), begin, size
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """``keys`` ascending, their ids end to end."""
+        if not len(keys):
+            return
+        if sum(len(r[0]) for r in self.runs) + len(keys) > self.most:
+            self.runs.clear()
+        self.runs.append((keys, np.cumsum(size) - size, size, ids))
+        if len(self.runs) > 6:
+            flat, base = np.concatenate([r[3] for r in self.runs]), np.cumsum([0] + [len(r[3]) for r in self.runs])
+            k, b, n = (np.concatenate([r[i] + (base[j] if i == 1 else 0) for j, r in enumerate(self.runs)]) if i == 1
+                       else np.concatenate([r[i] for r in self.runs]) for i in (0, 1, 2))
+            order = np.argsort(k, kind="stable")
+            self.runs = [(k[order], b[order], n[order], flat)]
+
+
 class Encoder:
-    def __init__(self, path: str, max_units: int = 800_000):
+    def __init__(self, path: str, max_words: int = 3_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units: dict[str, bytes] = {}
-        self.max_units = max_units
+        self.known = _Known(max_words)
         one = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_break = one[0] if len(one) == 1 else None
-        self.line_bytes = np.array(one, dtype="<u4").tobytes()
+        self.marks = self.whole(list(MARKS))
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, straight from the library."""
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lines(self, units: list[str]) -> list[bytes]:
-        """Ids of units, encoded as lines of one text: a line break between
-        units is one piece and one id, by which the ids are cut again."""
-        if self.line_break is None:
-            return self._plain(units)
-        out: list[bytes] = []
-        for lo in range(0, len(units), 2000):
-            part = units[lo:lo + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.append(np.flatnonzero(ids == self.line_break), len(ids))
-            begins = np.concatenate([[0], stops[:-1] + 1])
-            if len(stops) != len(part):  # a unit holds a line break itself
-                out += self._plain(part)
+    def _new(self, buf: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """(sizes, ids end to end) of words.  They are encoded as the lines of
+        texts: the break between lines is one piece and one id, by which the
+        ids are cut again."""
+        blank = (kind == BLANK).astype(np.int64)
+        length = ends - starts + blank + 1
+        stop = np.cumsum(length)
+        lines = np.empty(int(stop[-1]), np.uint8)
+        lines[(stop - length)[blank > 0]] = 0x20
+        lines[stop - 1] = 0x0A
+        size = ends - starts
+        lines[_ranges(stop - length + blank, size)] = buf[_ranges(starts, size)]
+        sizes, flat = [], []
+        for lo in range(0, len(kind), 2000):
+            hi = min(len(kind), lo + 2000)
+            text = lines[stop[lo] - length[lo]:stop[hi - 1] - 1].tobytes().decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            breaks = np.flatnonzero(ids == self.line_break)
+            if len(breaks) != hi - lo - 1:
+                raise ValueError("the tokenizer does not keep line breaks apart")
+            sizes.append(np.diff(np.concatenate([[-1], breaks, [len(ids)]])) - 1)
+            flat.append(np.delete(ids, breaks))
+        sizes, flat = np.concatenate(sizes), np.concatenate(flat)
+        after = kind == LINE
+        if after.any():
+            flat = np.insert(flat, (np.cumsum(sizes) - sizes)[after], self.line_break)
+            sizes = sizes + after
+        return sizes, flat
+
+    def _words(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(ids, offsets of each text's ids, which texts must go whole)."""
+        n_texts = len(offsets) - 1
+        starts, ends, first = word_spans(buf, offsets)
+        kind = np.full(len(starts), BLANK, np.int64)
+        before = buf[np.maximum(starts - 1, 0)]
+        kind[before == 0x0A] = LINE
+        heads = first[:-1][first[:-1] < first[1:]]
+        kind[heads] = FIRST
+        doc = np.repeat(np.arange(n_texts), np.diff(first))
+        gap = np.empty(len(starts), np.int64)
+        gap[1:] = starts[1:] - ends[:-1]
+        gap[heads] = 1
+        odd = np.zeros(n_texts, bool)
+        odd[doc[(gap != 1) | ((kind == BLANK) & (before != 0x20))]] = True
+        some = np.flatnonzero(first[:-1] < first[1:])
+        odd[some] |= (starts[first[some]] != offsets[some]) | (ends[first[some + 1] - 1] != offsets[some + 1])
+        odd |= (first[:-1] == first[1:]) & (offsets[:-1] < offsets[1:])
+        wide = _wide_blanks(buf)
+        if len(wide):
+            odd[np.searchsorted(offsets, wide, side="right") - 1] = True
+        use = ~odd[doc] if odd.any() else slice(None)
+        starts, ends, kind, doc = starts[use], ends[use], kind[use], doc[use]
+        mark = np.where((ends - starts >= 2) & _LETTER[buf[ends - 2]], _MARK[buf[ends - 1]], -1) if len(ends) else np.empty(0, np.int64)
+        ends = ends - (mark >= 0)
+        key = finalise(word_hashes(buf, starts, ends) + kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        distinct, at, back = np.unique(key, return_index=True, return_inverse=True)
+        flat, begin, size = self.known.find(distinct)
+        new = np.flatnonzero(size < 0)
+        if len(new):
+            where = at[new]
+            sizes, ids = self._new(buf, kind[where], starts[where], ends[where])
+            size[new] = sizes
+            begin[new] = len(flat) + np.cumsum(sizes) - sizes
+            short = (ends - starts)[where] <= LONGEST_KEPT
+            self.known.add(distinct[new][short], sizes[short], ids[np.repeat(short, sizes)])
+            flat = np.concatenate([flat, ids])
+        raw = flat[_ranges(begin, size)].tobytes()
+        stop = 4 * np.cumsum(size)
+        pieces = [raw[a:b] for a, b in zip((stop - 4 * size).tolist(), stop.tolist())]
+        marked = np.flatnonzero(mark >= 0)
+        back = np.insert(back, marked + 1, len(pieces) + mark[marked])
+        doc = np.insert(doc, marked + 1, doc[marked])
+        pieces += self.marks
+        size = np.append(size, [len(m) // 4 for m in self.marks])
+        ids = b"".join(map(pieces.__getitem__, back.tolist()))
+        tokens = np.concatenate([[0], np.cumsum(size[back])])
+        return ids, tokens[np.searchsorted(doc, np.arange(n_texts + 1))], odd
+
+    def encode(self, column: pa.Array, max_bytes: int = 2 << 20):
+        """(first row, little-endian 32-bit ids of each text) for runs of
+        texts of bounded size; a null text has none."""
+        buf, offsets = text_buffer(column)
+        for lo, hi in text_slices(offsets, max_bytes):
+            part = buf[offsets[lo]:offsets[hi]]
+            if self.line_break is None:  # words can't be told apart
+                yield lo, self.whole([t.as_py() or "" for t in column[lo:hi]])
                 continue
-            raw = ids.tobytes()
-            out += [raw[4 * a:4 * b] for a, b in zip(begins.tolist(), stops.tolist())]
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text (null: none)."""
-        out: list = [None] * len(texts)
-        cut, odd = [], []
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = b""
-            else:
-                units = ("\x01" + t.replace("\n", " \n\x01")).split(" ")
-                # as many units as words: all white space is single blanks and line breaks inside
-                if "\x01" in t or len(units) != len(t.split()):
-                    odd.append(i)
-                else:
-                    cut.append((i, units))
-        for i, ids in zip(odd, self._plain([texts[i] for i in odd])):
-            out[i] = ids
-        if not cut:
-            return out
-        if len(self.units) > self.max_units:
-            self.units.clear()
-        new = list(set().union(*(u for _, u in cut)).difference(self.units))
-        known = self.units
-        heads = [u for u in new if u[:2] == "\n\x01"]
-        others = [u for u in new if u[:2] != "\n\x01"]
-        both = self._lines([u[2:] for u in heads] + [u[1:] if u[0] == "\x01" else " " + u for u in others])
-        fresh = {u: self.line_bytes + v for u, v in zip(heads, both)}
-        fresh.update(zip(others, both[len(heads):]))
-        long = {u: v for u, v in fresh.items() if len(u) > LONGEST_KEPT}
-        known.update((u, v) for u, v in fresh.items() if u not in long)
-        for i, units in cut:
-            if long:
-                out[i] = b"".join([known.get(u) or long[u] for u in units])
-            else:
-                out[i] = b"".join(map(known.__getitem__, units))
-        return out
-
-
-def text_batches(column, max_bytes: int = 4 << 20):
-    """(first row, texts) of runs of a string column of bounded size."""
-    texts, size, at = [], 0, 0
-    for i, t in enumerate(column.to_pylist()):
-        texts.append(t)
-        size += len(t) if t else 0
-        if size >= max_bytes:
-            yield at, texts
-            texts, size, at = [], 0, i + 1
-    if texts:
-        yield at, texts
+            raw, cuts, odd = self._words(part, offsets[lo:hi + 1] - offsets[lo])
+            out = [raw[4 * a:4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            whole = np.flatnonzero(odd).tolist()
+            if whole:
+                for i, x in zip(whole, self.whole([column[lo + i].as_py() for i in whole])):
+                    out[i] = x
+            yield lo, out
