@@ -1,12 +1,12 @@
-"""Apply a caller's per-row function (an outside scorer or transcriber) to a
-DataFrame, with bounded concurrency, retries and an error column.
-
-Spark tasks replace the thread pool: ``partitions`` bounds how many calls run
-at once.  A failing row is retried up to ``attempts`` times with pauses of
-``2 ** k`` seconds; after the last failure the row keeps a null result and
-the error text (the task never fails for a row error; Spark's own task retry
-is left for lost executors).  The function receives Arrow batches as pandas
-Series, so vectorised callers pay no per-row serialisation.
+"""A caller's outside scorer or transcriber applied to a column, with bounded
+concurrency and an error column.
+
+``partitions`` bounds how many tasks, and so calls, run at once.  Each Arrow
+batch is worked off in rounds: a round hands the rows still open to the
+caller's function, one call for each row, and the rows that fail go to the next
+round after a pause that doubles.  After the last round a row that still fails
+keeps a null result and the text of its last error, so no row fails the task;
+Spark's own retry is left for lost executors.
 """
 
 from __future__ import annotations
@@ -17,36 +17,42 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# --- fixed values ---------------------------------------------------------------
-ATTEMPTS = 3
-# ---------------------------------------------------------------------------------
-
-
-def _call_with_retry(fn, value, attempts, sleep):
-    last = None
-    for k in range(1, attempts + 1):
-        try:
-            return fn(value), None
-        except Exception as exc:  # noqa: BLE001 - the error is the row's result
-            last = exc
-            if k < attempts:
-                sleep(2 ** k)
-    return None, f"{type(last).__name__}: {last}"
+ROUNDS = 3
+FIRST_PAUSE = 2.0
+CONCURRENT = 12
+
+
+def in_rounds(values: pd.Series, fn: Callable, rounds: int = ROUNDS, sleep=time.sleep) -> tuple[pd.Series, pd.Series]:
+    """(results, errors) of all values."""
+    results = pd.Series([None] * len(values), index=values.index, dtype="object")
+    errors = results.copy()
+    waiting, pause = list(range(len(values))), FIRST_PAUSE
+    for turn in range(rounds):
+        if turn:
+            sleep(pause)
+            pause *= 2
+        failed = []
+        for at in waiting:
+            try:
+                results.iat[at], errors.iat[at] = fn(values.iat[at]), None
+            except Exception as problem:  # noqa: BLE001 - it is the row's outcome
+                errors.iat[at] = f"{type(problem).__name__}: {problem}"
+                failed.append(at)
+        if not failed:
+            break
+        waiting = failed
+    return results, errors
 
 
 def enrich(df: DataFrame, in_col: str, fn: Callable, out_col: str, out_type: str = "string",
-           partitions: int | None = None, attempts: int = ATTEMPTS, sleep=time.sleep) -> DataFrame:
+           partitions: int = CONCURRENT, rounds: int = ROUNDS, sleep=time.sleep) -> DataFrame:
     """Adds ``out_col`` (``fn(in_col)``) and ``{out_col}_error``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += f", `{out_col}` {out_type}, `{out_col}_error` string"
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    schema = ", ".join([*fields, f"`{out_col}` {out_type}", f"`{out_col}_error` string"])
 
     def run(batches):
-        for pdf in batches:
-            res = [_call_with_retry(fn, v, attempts, sleep) for v in pdf[in_col]]
-            pdf = pdf.copy()
-            pdf[out_col] = pd.Series([r for r, _ in res], index=pdf.index, dtype="object")
-            pdf[f"{out_col}_error"] = pd.Series([e for _, e in res], index=pdf.index, dtype="object")
-            yield pdf
-
-    src = df.repartition(partitions) if partitions else df
-    return src.mapInPandas(run, schema)
+        for batch in batches:
+            result, error = in_rounds(batch[in_col], fn, rounds, sleep)
+            yield batch.assign(**{out_col: result, f"{out_col}_error": error})
+
+    return df.repartition(partitions).mapInPandas(run, schema)

@@ -22,11 +22,6 @@ from .ranking import range_row_number
 
 WS_TRIM = r"^[\t\n\f\r ]+|[\t\n\f\r ]+$"
 
-# Quotas up to this size use a window with a literal row limit, which Spark
-# turns into a per-task top-k before the shuffle (WindowGroupLimit); larger
-# quotas use the range-shuffled row numbers.
-WINDOW_LIMIT_MAX = 10_000
-
 
 @dataclass(frozen=True)
 class DatasetEntry:
@@ -37,22 +32,6 @@ class DatasetEntry:
     split: str
 
 
-# --- fixed values: the default dataset registry ------------------------------
-DEFAULT_REGISTRY = {
-    "earnings22": DatasetEntry("sanchit-gandhi/earnings22_robust_split", "default", "audio", "sentence", "test"),
-    "peoples": DatasetEntry("fixie-ai/peoples_speech", "clean", "audio", "text", "test"),
-    "ami": DatasetEntry("edinburghcstr/ami", "ihm", "audio", "text", "test"),
-    "loquacious": DatasetEntry("speechbrain/LoquaciousSet", "small", "wav", "text", "test"),
-    "gigaspeech": DatasetEntry("fixie-ai/gigaspeech", "dev", "audio", "text", "dev"),
-    "tedlium": DatasetEntry("sanchit-gandhi/tedlium-data", "default", "audio", "text", "test"),
-    "commonvoice": DatasetEntry("fixie-ai/common_voice_17_0", "en", "audio", "sentence", "test"),
-    "librispeech": DatasetEntry("openslr/librispeech_asr", "clean", "audio", "text", "test"),
-    "librispeech-other": DatasetEntry("openslr/librispeech_asr", "other", "audio", "text", "test"),
-    "atc": DatasetEntry("jacktol/ATC-ASR-Dataset", "default", "audio", "text", "test"),
-}
-# -----------------------------------------------------------------------------
-
-
 def not_ignore_marker(ref: Column) -> Column:
     """False only for references whose stripped text is the marker."""
     return ~F.coalesce(F.regexp_replace(ref, WS_TRIM, "") == F.lit(IGNORE_MARKER), F.lit(False))
@@ -100,22 +79,23 @@ def with_quota(registry: DataFrame, total: int, compat_min_one: bool = False) ->
     return registry.withColumn("quota", quota.cast("long"))
 
 
-def even_quota(samples: DataFrame, total: int, order_col: str = "sample_id",
-               compat_min_one: bool = False, dataset_col: str = "dataset") -> DataFrame:
+def even_quota(samples: DataFrame, total: int, order_col: str = "sample_id", compat_min_one: bool = False,
+               dataset_col: str = "dataset", registry: DataFrame | None = None) -> DataFrame:
     """win_even_quota: the first ``quota`` scorable rows of every dataset by
-    ``order_col``; adds ``rn`` (1-based rank within the dataset)."""
-    reg = with_quota(registry_of(samples, dataset_col), total, compat_min_one).select(dataset_col, "quota")
-    # The largest quota is total // n + 1 (n = number of datasets, a tiny
-    # aggregate); a literal bound that small lets Spark cut every task to its
-    # own top rows per dataset before the shuffle (WindowGroupLimit).
-    n = samples.select(dataset_col).distinct().count()
-    max_quota = max(int(total) // max(n, 1) + 1, 1)
-    limit_max = int(samples.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if max_quota <= min(WINDOW_LIMIT_MAX, limit_max):
-        # literal bound -> WindowGroupLimit (partial top-k per task), then the
-        # exact per-dataset quota after the join with the small registry.
-        w = Window.partitionBy(dataset_col).orderBy(order_col)
-        ranked = samples.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.lit(max_quota))
-    else:
-        ranked = range_row_number(samples, [order_col], dataset_col, out="rn")
+    ``order_col``; adds ``rn`` (long, 1-based rank within the dataset).  The
+    total is divided by the datasets of ``registry`` (default: those that
+    occur), whether or not they have scorable rows.  Pass only the columns
+    that are needed: the ranked rows are written once."""
+    reg = with_quota(registry_of(samples, dataset_col) if registry is None else registry, total, compat_min_one).select(
+        dataset_col, "quota")
+    ranked = range_row_number(samples, [order_col], dataset_col, out="rn")
     return ranked.join(reg, dataset_col).where(F.col("rn") <= F.col("quota")).drop("quota")
+
+
+def named_dataset(samples: DataFrame, name: str, registry: DataFrame, dataset_col: str = "dataset") -> DataFrame:
+    """The rows of one dataset.  Running it on an unknown name fails with the
+    available names; a known dataset without rows is empty."""
+    names = registry.agg(F.array_sort(F.collect_set(dataset_col)).alias("names"))
+    known = names.select(F.when(F.array_contains("names", name), F.lit(True)).otherwise(F.raise_error(F.concat(
+        F.lit(f"Unknown dataset '{name}'. Available: "), F.array_join("names", ", "))).cast("boolean")).alias("known"))
+    return samples.where((F.col(dataset_col) == name) & known.scalar())

@@ -6,14 +6,14 @@ Kept semantics:
 * the per-dataset LASER divides by all rows of the dataset (a missing score
   counts as 0), the overall LASER only by rows that have a score;
 * ``attempted`` counts failures too; ``scored`` and ``skipped`` split it;
-* per-dataset rows exist only when more than one distinct non-empty dataset
-  was scored, and untagged ("") rows count in the overall row only;
+* per-dataset rows exist only for datasets with scored rows, and only when
+  more than one non-empty dataset has any; and untagged ("") rows count in the overall row only;
 * latency: avg, P95 (linear interpolation, as numpy), min, max over the
   values that are present.
 
-P95 is exact and computed from ranks (``range_row_number``) rather than by a
-value-collecting aggregate, so a dataset with billions of rows is spread
-over many tasks instead of one.
+P95 is exact and computed from value counts: equal values are counted
+map-side, and the running counts over a group's distinct values give the two
+neighbours of the quantile.  It is made only when asked for.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import range_row_number
-
 ROUND = 9
 
 
@@ -30,22 +28,20 @@ def exact_percentile(df: DataFrame, value_col: str, key_cols: list[str], p: floa
                      out: str) -> DataFrame:
     """Per key: the p-quantile of ``value_col`` with linear interpolation
     (numpy ``percentile`` / SQL ``quantile_cont``); nulls ignored."""
-    v = df.select(*key_cols, value_col).where(F.col(value_col).isNotNull())
-    ranked = range_row_number(v, [value_col], key_cols, out="_prn")
-    counts = v.groupBy(*key_cols).agg(F.count("*").alias("_pn")).select(
-        *[F.col(c).alias(f"_pk{i}") for i, c in enumerate(key_cols)], "_pn")
-    h = (F.col("_pn") - 1) * F.lit(p)
-    lo = F.floor(h) + 1
-    picks = ranked.join(counts, [F.col(c).eqNullSafe(F.col(f"_pk{i}")) for i, c in enumerate(key_cols)]).select(
-        *key_cols, value_col, "_prn", h.alias("_h"), lo.alias("_lo"), "_pn")
-    picks = picks.where((F.col("_prn") == F.col("_lo")) | (F.col("_prn") == F.least(F.col("_lo") + 1, F.col("_pn"))))
-    agg = picks.groupBy(*key_cols).agg(
-        F.max(F.when(F.col("_prn") == F.col("_lo"), F.col(value_col))).alias("_vlo"),
-        F.max(F.when(F.col("_prn") == F.least(F.col("_lo") + 1, F.col("_pn")), F.col(value_col))).alias("_vhi"),
-        F.first("_h").alias("_h"),
-    )
-    frac = F.col("_h") - F.floor("_h")
-    return agg.select(*key_cols, (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias(out))
+    counts = df.where(F.col(value_col).isNotNull()).groupBy(*key_cols, value_col).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*key_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    seen = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
+        "_all", F.sum("_n").over(Window.partitionBy(*key_cols)))
+    # 0-based place of the quantile among the sorted values
+    place = (F.col("_all") - 1) * F.lit(p)
+
+    def value_at(i):
+        return F.min(F.when(F.col("_upto") > i, F.col(value_col)))
+
+    low = F.floor(place)
+    agg = seen.groupBy(*key_cols).agg(value_at(low).alias("_vlo"), value_at(F.least(low + 1, F.col("_all") - 1)).alias("_vhi"),
+                                      F.first(place - low).alias("_frac"))
+    return agg.select(*key_cols, (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias(out))
 
 
 def _latency_aggs(col: str, prefix: str):
@@ -56,13 +52,13 @@ def _latency_aggs(col: str, prefix: str):
     ]
 
 
-def eval_summary(results: DataFrame, laser: bool = False, latency_p: float = 0.95,
-                 approx_percentile: bool = False) -> DataFrame:
+def eval_summary(results: DataFrame, laser: bool = False, latency_p: float | None = 0.95) -> DataFrame:
     """agg_summary_grouping_sets over per-sample results.
 
     ``results`` columns: dataset, error (null = scored), wer, ttfb, ttfs and,
-    with ``laser``, laser_score.  Returns one ``overall`` row and, when
-    there is more than one non-empty dataset, one ``dataset`` row each."""
+    with ``laser``, laser_score.  Returns one ``overall`` row and, when more
+    than one non-empty dataset has scored rows, one ``dataset`` row for each
+    of these.  ``latency_p`` None leaves the percentiles out."""
     ok = F.col("error").isNull()
     aggs = [
         F.count("*").alias("attempted"),
@@ -72,8 +68,6 @@ def eval_summary(results: DataFrame, laser: bool = False, latency_p: float = 0.9
     ]
     for c in ("ttfb", "ttfs"):
         aggs += _latency_aggs(F.when(ok, F.col(c)), c)
-        if approx_percentile:
-            aggs.append(F.percentile_approx(F.when(ok, F.col(c)), latency_p, 10000).cast("double").alias(f"{c}_p95"))
     if laser:
         s = F.when(ok, F.col("laser_score"))
         aggs += [
@@ -85,8 +79,8 @@ def eval_summary(results: DataFrame, laser: bool = False, latency_p: float = 0.9
     tagged = results.withColumn("_ds", F.when(F.col("dataset") != "", F.col("dataset")))
     rolled = tagged.rollup("_ds").agg(*aggs, F.grouping_id().alias("_gid"))
     # the rollup also yields a (null) group for untagged rows; keep only real
-    # datasets and the grand total
-    rolled = rolled.where((F.col("_gid") == 1) | F.col("_ds").isNotNull())
+    # datasets with scored rows and the grand total
+    rolled = rolled.where((F.col("_gid") == 1) | (F.col("_ds").isNotNull() & (F.col("scored") > 0)))
     n_ds = F.count_if(F.col("_gid") == 0).over(Window.partitionBy())
     rolled = rolled.withColumn("_nds", n_ds).where((F.col("_gid") == 1) | (F.col("_nds") > 1))
     out = rolled.select(
@@ -94,8 +88,8 @@ def eval_summary(results: DataFrame, laser: bool = False, latency_p: float = 0.9
         F.col("_ds").alias("dataset"),
         *[c for c in rolled.columns if c not in ("_ds", "_gid", "_nds")],
     )
-    if not approx_percentile:
-        # one rank pass for both metrics and both levels
+    if latency_p is not None:
+        # one pass over value counts for both metrics and both levels
         vals = tagged.where(ok).select("_ds", F.explode(F.array(
             F.struct(F.lit("ttfb").alias("metric"), F.col("ttfb").alias("v")),
             F.struct(F.lit("ttfs").alias("metric"), F.col("ttfs").alias("v")))).alias("m")).select(
@@ -109,7 +103,7 @@ def eval_summary(results: DataFrame, laser: bool = False, latency_p: float = 0.9
         pct = pct.select(F.col("level").alias("_pl"), F.col("dataset").alias("_pd"), "ttfb_p95", "ttfs_p95")
         out = out.join(pct, [out["level"] == pct["_pl"], out["dataset"].eqNullSafe(pct["_pd"])],
                        "left").drop("_pl", "_pd")
-    lat = [f"{c}_{s}" for c in ("ttfb", "ttfs") for s in ("avg", "p95", "min", "max")]
+    lat = [f"{c}_{s}" for c in ("ttfb", "ttfs") for s in ("avg", "p95", "min", "max") if s != "p95" or latency_p is not None]
     out = out.select(*[F.round(c, ROUND).alias(c) if c in lat else F.col(c) for c in out.columns])
     out = out.withColumn("all_failed", F.col("scored") == 0)
     return out

@@ -1,27 +1,26 @@
 """Streaming-turn sessions as batch jobs.
 
 One session = one streaming call: a speaker's events up to and including a
-termination event.  Per session:
+termination event, or up to a silence: an event more than 30 seconds after the
+speaker's last one belongs to a new call.  Per session:
 
 * ``ttfb``: first turn event minus the session start (first event);
 * ``ttfs``: **last** final turn (end_of_turn) minus the start; null if none;
 * ``text``: final-turn transcripts joined by a blank in arrival order;
-* the first error (by time) fails the session; a session without a
-  termination event failed with a time-out.
+* a session without a termination event timed out; of one that ended, the
+  first error (by time) is its failure.
 
-Session numbers come from two exact row numbers (range-shuffled, so one busy
-speaker does not land in one task): for a termination event, the number of
-earlier terminations is its rank among terminations minus one; for any
-other event it is its overall rank minus its rank among non-terminations.
+Session numbers count the openings before an event.  A speaker's events are
+cut into days; neighbours and counts are taken inside a (speaker, day) and
+carried over by a table with one row for each of these, so one busy speaker is
+spread over as many windows as days.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import range_row_number
-
 # --- fixed values -----------------------------------------------------------
 TIMEOUT_MESSAGE = "timed out waiting for response"
 TIMEOUT_SECONDS = 30
@@ -35,11 +34,22 @@ def seconds_between(a, b):
 
 def sessionize(turns: DataFrame) -> DataFrame:
     """Adds ``session_no`` to turn events (session_id, event_id, ts, kind, ...)."""
-    t = turns.withColumn("_is_term", F.col("kind") == "termination")
-    t = range_row_number(t, ["ts", "event_id"], ["session_id"], out="_rn_all")
-    t = range_row_number(t, ["ts", "event_id"], ["session_id", "_is_term"], out="_rn_kind")
-    sno = F.when(F.col("_is_term"), F.col("_rn_kind") - 1).otherwise(F.col("_rn_all") - F.col("_rn_kind"))
-    return t.withColumn("session_no", sno).drop("_is_term", "_rn_all", "_rn_kind")
+    key = ["session_id", "_day"]
+    t = turns.withColumn("_day", F.floor(F.unix_seconds("ts") / F.lit(86_400)))
+    inside = Window.partitionBy(*key).orderBy("ts", "event_id")
+    days = Window.partitionBy("session_id").orderBy("_day")
+    last = t.groupBy(*key).agg(F.max(F.struct("ts", "event_id", "kind")).alias("_last")).select(
+        *key, F.lag("_last").over(days).alias("_before"))
+    t = t.join(last, key).withColumn(
+        "_prev", F.coalesce(F.lag(F.struct("ts", "event_id", "kind")).over(inside), F.col("_before")))
+    silent = seconds_between(F.col("_prev.ts"), F.col("ts")) > TIMEOUT_SECONDS
+    opens = F.coalesce((F.col("_prev.kind") == "termination") | silent, F.lit(False)).cast("long")
+    t = t.withColumn("_opens", opens)
+    earlier = t.groupBy(*key).agg(F.sum("_opens").alias("_n")).select(
+        *key, F.coalesce(F.sum("_n").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    counted = t.withColumn("_here", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return counted.join(earlier, key).withColumn("session_no", F.col("_earlier") + F.col("_here")).drop(
+        "_day", "_before", "_prev", "_opens", "_here", "_earlier")
 
 
 def session_summary(events: DataFrame) -> DataFrame:
@@ -64,5 +74,5 @@ def session_summary(events: DataFrame) -> DataFrame:
         F.round(seconds_between(F.col("start_ts"), F.col("_first_turn")), 6).alias("ttfb"),
         F.round(seconds_between(F.col("start_ts"), F.col("_last_final")), 6).alias("ttfs"),
         "first_error", "terminated",
-        F.coalesce(F.col("first_error"), F.when(~F.col("terminated"), F.lit(TIMEOUT_MESSAGE))).alias("failure"),
+        F.when(~F.col("terminated"), F.lit(TIMEOUT_MESSAGE)).otherwise(F.col("first_error")).alias("failure"),
     )

@@ -19,25 +19,21 @@ def _round_arr(c):
 
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """clip_id, sampling_rate, mono, mono16k, pcm (int16 at 16 kHz), pcm_hex."""
-    c = fx.clips(spark, sf).withColumn("mono", A.downmix(F.col("left"), F.col("right")))
+    """clip_id, sampling_rate, mono, mono16k, pcm (int16 at 16 kHz)."""
+    c = fx.recordings(spark, sf).withColumn("mono", A.downmix(F.col("left"), F.col("right")))
     c = c.withColumn("mono16k", A.resample(F.col("mono"), F.col("sampling_rate")))
-    c = c.withColumn("pcm", A.quantize(F.col("mono16k")))
-    return c.withColumn("pcm_hex", A.pcm_hex(F.col("pcm")))
+    return c.withColumn("pcm", A.quantize(F.col("mono16k")))
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    p = prepared(spark, sf).select("clip_id", "pcm_hex")
-    nb = (F.length("pcm_hex") / 2).cast("int")
-    nc = A.chunk_count(nb)
-    p = p.withColumn("_nc", nc).withColumn("_nb", nb)
-    ex = p.select("clip_id", "pcm_hex", "_nb", F.explode(F.when(F.col("_nc") > 0, F.sequence(F.lit(0), F.col("_nc") - 1))
-                                                    .otherwise(F.array().cast("array<int>"))).alias("chunk_no"))
-    hex_len = A.CHUNK_BYTES * 2
-    payload = F.substr(F.col("pcm_hex"), F.col("chunk_no") * hex_len + 1, F.lit(hex_len))
-    return ex.select("clip_id", "chunk_no", payload.alias("payload_hex"),
-                     (F.length(payload) / 2).cast("int").alias("n_bytes"),
-                     (F.col("chunk_no") * A.CHUNK_PAUSE_MS).alias("offset_ms"))
+    """The samples are cut first; only a chunk's own samples are encoded."""
+    size = A.CHUNK_BYTES // 2
+    p = prepared(spark, sf).select("clip_id", "pcm", A.chunk_count(F.size("pcm") * 2).alias("_nc"))
+    cuts = F.when(F.col("_nc") > 0, F.sequence(F.lit(0), F.col("_nc") - 1)).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(cuts, lambda k: F.slice(F.col("pcm"), k * size + 1, F.lit(size)))
+    ex = p.select("clip_id", F.posexplode(parts).alias("chunk_no", "part"))
+    return ex.select("clip_id", "chunk_no", A.pcm_hex(F.col("part")).alias("payload_hex"),
+                     (F.size("part") * 2).alias("n_bytes"), (F.col("chunk_no") * A.CHUNK_PAUSE_MS).alias("offset_ms"))
 
 
 def aud_downmix(spark, sf):
@@ -122,7 +118,11 @@ def _hex_sql(pcm: str) -> str:
 
 
 PREP = f"""
-mono AS (SELECT clip_id, sampling_rate, list_transform(range(len(l)), lambda i: (l[i + 1] + r[i + 1]) / 2) AS m FROM clips),
+recs AS (
+  SELECT clip_id, sampling_rate, l, list_reverse(l) AS r FROM (
+    SELECT min(clip_id) AS clip_id, sampling_rate, flatten(list(l ORDER BY clip_id)) AS l FROM clips
+    GROUP BY label, sampling_rate, clip_id // 256)),
+mono AS (SELECT clip_id, sampling_rate, list_transform(range(len(l)), lambda i: (l[i + 1] + r[i + 1]) / 2) AS m FROM recs),
 res AS (SELECT clip_id, sampling_rate, {_resample_sql('m', 'sampling_rate')} AS m16 FROM mono),
 prep AS (SELECT clip_id, sampling_rate, {_quant_sql('m16')} AS pcm FROM res),
 prephex AS (SELECT clip_id, sampling_rate, pcm, {_hex_sql('pcm')} AS hx FROM prep),
@@ -138,7 +138,7 @@ def _with(*tail):
 
 
 def sql_aud_downmix():
-    return _with() + " SELECT clip_id, list_transform(m, lambda x: round(x, 9)) AS mono FROM mono"
+    return _with() + """ SELECT clip_id, list_transform(range(len(l)), lambda i: round((l[i + 1] + r[i + 1]) / 2, 9)) AS mono FROM clips"""
 
 
 def sql_aud_resample():

@@ -12,6 +12,7 @@ from ..operators.scoring import with_normalized
 from ..operators.selection import (
     DatasetEntry,
     even_quota,
+    named_dataset,
     not_ignore_marker,
     not_inaudible,
     registry_of,
@@ -145,8 +146,10 @@ WHERE NOT coalesce(contains(lower(reference), 'inaudible'), false)"""
 
 
 def flt_named_dataset(spark, sf):
-    s = _scorable_samples(spark, sf)
-    return s.where(F.col("dataset") == NAMED_DATASET).select("sample_id", "dataset", "reference")
+    """One dataset by name; a name that occurs nowhere is an error of the
+    query itself that lists the names there are (no job while planning)."""
+    every = fx.samples(spark, sf)
+    return named_dataset(scorable(every), NAMED_DATASET, registry_of(every)).select("sample_id", "dataset", "reference")
 
 
 def sql_flt_named_dataset():
@@ -156,8 +159,8 @@ def sql_flt_named_dataset():
 # --- quota, limit, split ---------------------------------------------------------
 
 def win_even_quota(spark, sf):
-    q = even_quota(_scorable_samples(spark, sf), QUOTA_TOTAL)
-    return q.select("sample_id", "dataset", "rn")
+    every = fx.samples(spark, sf)
+    return even_quota(scorable(every).select("sample_id", "dataset"), QUOTA_TOTAL, registry=registry_of(every))
 
 
 def _quota_sql(total: int) -> str:
@@ -165,7 +168,7 @@ def _quota_sql(total: int) -> str:
 reg AS (
   SELECT dataset, position, {total} // n + CASE WHEN position < {total} % n THEN 1 ELSE 0 END AS quota
   FROM (SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS position, count(*) OVER () AS n
-        FROM {SCORABLE} GROUP BY dataset)
+        FROM samples GROUP BY dataset)
 ),
 ranked AS (
   SELECT sample_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY sample_id) AS rn FROM {SCORABLE}
@@ -179,9 +182,8 @@ SELECT r.sample_id, r.dataset, r.rn FROM ranked r JOIN reg USING (dataset) WHERE
 
 def join_registry(spark, sf):
     s = _scorable_samples(spark, sf)
-    reg = with_quota(registry_of(s), QUOTA_TOTAL).select("dataset", "position", "quota")
-    # one row per dataset: the registry is small by construction
-    return s.join(F.broadcast(reg), "dataset").select("sample_id", "dataset", "position", "quota")
+    reg = with_quota(registry_of(fx.samples(spark, sf)), QUOTA_TOTAL).select("dataset", "position", "quota")
+    return s.join(reg, "dataset").select("sample_id", "dataset", "position", "quota")
 
 
 def sql_join_registry():
@@ -232,8 +234,8 @@ def sql_win_audio_id():
 # --- joins and counts -------------------------------------------------------------
 
 def _joined(spark, sf):
-    s = _scorable_samples(spark, sf)
-    h = fx.hypotheses(spark, sf)
+    s = scorable(fx.samples(spark, sf, for_join=True))
+    h = fx.hypotheses(spark, sf, for_join=True)
     return s.join(h, "sample_id")
 
 
@@ -332,8 +334,7 @@ def sql_sort_names():
 
 def set_union_all(spark, sf):
     """Quota-selected samples of every dataset, concatenated, counted per dataset."""
-    q = even_quota(_scorable_samples(spark, sf), QUOTA_TOTAL)
-    return q.groupBy("dataset").agg(F.count("*").alias("rows"))
+    return win_even_quota(spark, sf).groupBy("dataset").agg(F.count("*").alias("rows"))
 
 
 def sql_set_union_all():
@@ -384,7 +385,7 @@ def sql_agg_wer_overall():
 
 
 def _wer_by_dataset(spark, sf):
-    s = eval_summary(eval_results(spark, sf)).where(F.col("level") == "dataset")
+    s = eval_summary(eval_results(spark, sf), latency_p=None).where(F.col("level") == "dataset")
     return s.select("dataset", F.col("scored").alias("samples"), "wer_pct")
 
 
@@ -413,7 +414,7 @@ def sql_str_pct_format():
 
 
 def agg_summary_grouping_sets(spark, sf):
-    s = eval_summary(eval_results(spark, sf))
+    s = eval_summary(eval_results(spark, sf), latency_p=None)
     return s.select("level", "dataset", "attempted", "scored", "skipped", "wer_pct")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scoring import score_wer
-from ..operators.selection import even_quota, scorable
+from ..operators.selection import even_quota, registry_of, scorable
 from ..operators.summary import eval_summary
 from ..session import materialize
 from ..sources import fixtures as fx
@@ -23,16 +23,17 @@ def eval_results(spark: SparkSession, sf_dir: str, total: int | None = None,
     """Per-sample results (the rows the tool prints one by one).
 
     All scorable samples when ``total`` is None, else the even quota."""
-    s = fx.samples(spark, sf_dir)
+    s = fx.samples(spark, sf_dir, for_join=True)
     if dataset and dataset != "all":
         s = s.where(F.col("dataset") == dataset)
     s = scorable(s)
     if total is not None:
-        s = even_quota(s, total).drop("rn")
+        chosen = even_quota(s.select("sample_id", "dataset"), total, registry=registry_of(fx.samples(spark, sf_dir)))
+        s = s.join(chosen.select("sample_id"), "sample_id", "left_semi")
     # Samples and hypotheses arrive hash-partitioned on sample_id (see
     # ``fixtures.utterances``), so the join needs no further shuffle and the
     # CPU-bound scoring (regex chain + edit distance) runs on every partition.
-    h = fx.hypotheses(spark, sf_dir)
+    h = fx.hypotheses(spark, sf_dir, for_join=True)
     j = s.join(h, "sample_id", "inner")
     scored = score_wer(j, "reference", "text")
     scored = scored.withColumn("wer", F.when(F.col("error").isNull(), F.col("wer")))
@@ -101,7 +102,7 @@ FROM (
            {', '.join(lat)}{laser_cols}
     FROM (SELECT *, CASE WHEN dataset <> '' THEN dataset END AS ds FROM {src})
     GROUP BY GROUPING SETS ((ds), ())
-  ) WHERE level = 'overall' OR dataset IS NOT NULL
+  ) WHERE level = 'overall' OR (dataset IS NOT NULL AND scored > 0)
 ) WHERE level = 'overall' OR nds > 1"""
 
 

@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import audio as A
 from ..functions.strings import fmt_fixed, sql_fmt_fixed
-from ..functions.toolcalls import TOOL_NAMES, ToolCalls
 from ..operators.align import align_ops, rubric_scores
 from ..operators.enrich import enrich
 from ..operators.sampling import shuffle_split
-from ..operators.selection import DatasetEntry, resolve_selection, scorable
+from ..operators.selection import DatasetEntry, named_dataset, registry_of, resolve_selection, scorable
 from ..operators.summary import eval_summary
 from ..sources import fixtures as fx
-from ..sources.audio_files import read_wavs, write_wavs
 from ..sources.tables import read_table
 from ..streaming import replay
-from ..streaming.turn_sessions import EVENT_SCHEMA, stage_events
 from . import oracle as O
 from .evaluation import eval_results, results_sql, summary_sql
 from .optimize import candidate_scores
@@ -35,8 +32,8 @@ REPORT_MODE = "batch"
 def load_samples(spark: SparkSession, sf: str, dataset: str | None = None,
                  adhoc: DatasetEntry | None = None) -> DataFrame:
     """flt_resolve_selection: the ad-hoc entry beats a name (both is an
-    error); None / "" / "all" keeps every dataset; an unknown name raises
-    with the available names (only then are names fetched)."""
+    error); None / "" / "all" keeps every dataset; an unknown name fails with
+    the available names when the query runs."""
     if adhoc is not None:
         resolve_selection([], None, adhoc)
         df = read_table(spark, sf, adhoc.path)
@@ -45,11 +42,7 @@ def load_samples(spark: SparkSession, sf: str, dataset: str | None = None,
     s = scorable(fx.samples(spark, sf)).select("sample_id", "dataset", "reference")
     if not dataset or dataset == "all":
         return s
-    picked = s.where(F.col("dataset") == dataset)
-    if picked.limit(1).count() == 0:
-        names = [r.dataset for r in s.select("dataset").distinct().orderBy("dataset").collect()]
-        resolve_selection(names, dataset)
-    return picked
+    return named_dataset(s, dataset, registry_of(fx.samples(spark, sf)))
 
 
 def flt_resolve_selection(spark, sf):
@@ -133,18 +126,6 @@ UNION ALL {lat}"""
 
 # --- streams -------------------------------------------------------------------------------
 
-def src_turn_stream(spark, sf):
-    """Turn events read through the streaming file source (declared schema)."""
-    path = replay.scratch(spark, "turn_feed")
-    stage_events(fx.turns(spark, sf), path)
-    return replay.replay_table(spark, path, EVENT_SCHEMA)
-
-
-def sql_src_turn_stream():
-    from .turns import TURNS
-    return "WITH " + TURNS + " SELECT session_id, event_id, ts, kind, end_of_turn, transcript, error FROM turns"
-
-
 RESULTS_SCHEMA = "sample_id long, dataset string, error string, wer double"
 
 
@@ -187,51 +168,6 @@ def sql_udaf_greedy_windows():
 
 # --- Python-side operators -----------------------------------------------------------------
 
-def code_texts(spark, sf) -> DataFrame:
-    """Assistant turns rendered as short code snippets that call tools (a
-    nested call every 7th turn, a syntax error every 5th)."""
-    c = read_table(spark, sf, "conversations").where(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    names = F.array(*[F.lit(n) for n in TOOL_NAMES])
-    k = len(TOOL_NAMES)
-    tool = F.get(names, (F.col("turn") % k).cast("int"))
-    inner = F.get(names, ((F.col("turn") + 1) % k).cast("int"))
-    word = F.regexp_replace(F.coalesce(F.get(F.split(F.col("text"), " "), 0), F.lit("")), r"[^A-Za-z0-9]", "")
-    simple = F.concat(F.lit("result = "), tool, F.lit('(query="'), word, F.lit('")\nprint(result)'))
-    nested = F.concat(F.lit("x = "), tool, F.lit("("), inner, F.lit('("'), word, F.lit('"))'))
-    broken = F.concat(F.lit("def broken(:\n    "), tool, F.lit("()"))
-    code = (F.when(F.col("turn") % 5 == 0, broken).when(F.col("turn") % 7 == 3, nested).otherwise(simple))
-    return c.select("conv_id", "turn", code.alias("code"))
-
-
-def udtf_tool_calls(spark, sf):
-    spark.udtf.register("tool_calls", ToolCalls)
-    return spark.sql("SELECT c.conv_id, c.turn, t.call_no, t.tool FROM {c} AS c, LATERAL tool_calls(c.code) AS t",
-                     c=code_texts(spark, sf))
-
-
-def _tool_calls_sql() -> str:
-    names = ", ".join("'" + n + "'" for n in TOOL_NAMES)
-    k = len(TOOL_NAMES)
-    return f"""WITH c AS (SELECT conv_id, turn, CAST(turn % {k} AS INTEGER) AS k, [{names}] AS names
-  FROM conversations WHERE role = 'assistant' AND turn % 5 <> 0)
-SELECT conv_id, turn, 0 AS call_no, names[k + 1] AS tool FROM c
-UNION ALL
-SELECT conv_id, turn, 1 AS call_no, names[(k + 1) % {k} + 1] AS tool FROM c WHERE turn % 7 = 3"""
-
-
-def sql_udtf_tool_calls():
-    """Expected calls from the snippet rules (the parser must recover them)."""
-    return _tool_calls_sql()
-
-
-def sql_str_tool_calls():
-    return f"SELECT tool, count(*) AS calls FROM ({_tool_calls_sql()}) GROUP BY tool"
-
-
-def str_tool_calls(spark, sf):
-    return udtf_tool_calls(spark, sf).groupBy("tool").agg(F.count("*").alias("calls"))
-
-
 def _ok_results(spark, sf):
     return eval_results(spark, sf).where(F.col("error").isNull()).select("sample_id", "norm_ref", "norm_hyp")
 
@@ -256,7 +192,7 @@ def udf_enrich(spark, sf):
     """A caller's Python scorer (here: hypothesis word count) applied to every
     result row through the retrying enrichment wrapper."""
     r = eval_results(spark, sf).select("sample_id", "norm_hyp")
-    out = enrich(r, "norm_hyp", lambda s: len(s.split()), "hyp_words", "int", partitions=None)
+    out = enrich(r, "norm_hyp", lambda s: len(s.split()), "hyp_words", "int")
     return out.select("sample_id", "hyp_words", "hyp_words_error")
 
 
@@ -266,25 +202,8 @@ CAST(len(list_filter(string_split(norm_hyp, ' '), lambda w: w <> '')) AS INTEGER
 CAST(NULL AS VARCHAR) AS hyp_words_error FROM results"""
 
 
-def src_audio_files(spark, sf):
-    """WAV files (staged from the clips) read with ``binaryFile`` and decoded."""
-    folder = replay.scratch(spark, "wav")
-    clips = fx.clips(spark, sf).select("clip_id", "sampling_rate", A.quantize(F.col("left")).alias("pcm"))
-    write_wavs(clips, folder)
-    d = read_wavs(spark, folder)
-    return d.select(F.regexp_extract("path", r"clip-(\d+)\.wav$", 1).cast("long").alias("clip_id"),
-                    "sampling_rate", "n_frames", "pcm", "error")
-
-
-def sql_src_audio_files():
-    return """SELECT vec_id AS clip_id, CASE WHEN label % 3 = 0 THEN 8000 WHEN label % 3 = 1 THEN 16000 ELSE 22050 END AS sampling_rate,
-CAST(len(embedding) AS INTEGER) AS n_frames,
-list_transform(embedding, lambda x: CAST(trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CAST(x AS DOUBLE))) * 32767) AS SMALLINT)) AS pcm,
-CAST(NULL AS VARCHAR) AS error FROM embeddings"""
-
-
-_KEYS = ("flt_resolve_selection", "flt_latency_present", "join_audio_store", "snk_report", "src_turn_stream",
-         "st_running_metrics", "st_prompt_dedup", "udaf_greedy_windows", "udtf_tool_calls", "str_tool_calls",
-         "udf_align", "laser_rubric_native", "udf_enrich", "src_audio_files")
+_KEYS = ("flt_resolve_selection", "flt_latency_present", "join_audio_store", "snk_report",
+         "st_running_metrics", "st_prompt_dedup", "udaf_greedy_windows",
+         "udf_align", "laser_rubric_native", "udf_enrich")
 QUERIES = {k: globals()[k] for k in _KEYS}
 ORACLE = {k: globals()["sql_" + k] for k in _KEYS if "sql_" + k in globals()}

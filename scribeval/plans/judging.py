@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import judge as J
@@ -111,9 +111,11 @@ def agg_laser_overall(spark, sf):
 
 def agg_laser_by_dataset(spark, sf):
     r = laser_results(spark, sf).where(F.col("error").isNull() & (F.col("dataset") != ""))
-    return r.groupBy("dataset").agg(
+    each = r.groupBy("dataset").agg(
         F.count("*").alias("samples"),
         F.round((1 - F.coalesce(F.sum("laser_score"), F.lit(0.0)) / F.count("*")) * 100, 9).alias("laser_pct"))
+    # a breakdown of one dataset says nothing the overall score does not
+    return each.withColumn("_n", F.count("*").over(Window.partitionBy())).where("_n > 1").drop("_n")
 
 
 def agg_error_counts(spark, sf):
@@ -290,7 +292,7 @@ FROM lasered WHERE error IS NULL"""
 def sql_agg_laser_by_dataset():
     return _laser() + """ SELECT dataset, count(*) AS samples,
 round((1 - coalesce(sum(laser_score), 0.0) / count(*)) * 100, 9) AS laser_pct
-FROM lasered WHERE error IS NULL AND dataset <> '' GROUP BY dataset"""
+FROM lasered WHERE error IS NULL AND dataset <> '' GROUP BY dataset QUALIFY count(*) OVER () > 1"""
 
 
 def sql_agg_error_counts():

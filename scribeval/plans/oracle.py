@@ -40,7 +40,7 @@ utter AS (
     FROM (SELECT doc_id, source, lang, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS parts FROM documents)
   )
   UNION ALL
-  SELECT item_id AS sample_id, '{BENCHMARK_DATASET}' AS dataset, 'en' AS lang, text FROM benchmark
+  SELECT -(item_id + 1) AS sample_id, '{BENCHMARK_DATASET}' AS dataset, 'en' AS lang, text FROM benchmark
 )"""
 
 
@@ -67,7 +67,7 @@ def hypotheses_cte() -> str:
     err = ("CASE WHEN sample_id % 17 = 0 THEN CASE WHEN sample_id % 34 = 0 THEN 'no spoken audio' "
            "ELSE 'server error 500' END END")
     model = f"CASE WHEN sample_id % 2 = 0 THEN '{STREAMING_MODEL}' ELSE '{BATCH_MODEL}' END"
-    ttfs = "((sample_id % 50) / 10.0 + 0.5)::DOUBLE"
+    ttfs = "((abs(sample_id) % 50) / 10.0 + 0.5)::DOUBLE"
     return f"""
 hyps AS (
   SELECT sample_id, model,

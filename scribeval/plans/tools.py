@@ -15,14 +15,7 @@ from ..functions.strings import (
     strip_ws,
     template_fill,
 )
-from ..operators.search import (
-    MAX_WINDOWS,
-    greedy_windows,
-    query_words,
-    score_lines,
-    top_hits,
-    window_lines,
-)
+from ..operators.search import query_words, search_texts, top_hits, window_blocks, window_lines, windows_of
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from .corpus import doc_split
@@ -35,6 +28,7 @@ PRUNE_CHARS = 200
 PRUNED_MARK = "\n[pruned]"
 MATCH_SEPARATOR = "\n\n---\n\n"
 CATALOG_LIMIT = 10
+SEARCH_WINDOWS = 15
 # ---------------------------------------------------------------------------------
 
 QUERY = "div the class"
@@ -161,40 +155,40 @@ def str_number_lines(spark, sf):
     return ln.select("doc_id", "line_no", number_line(F.col("line_no"), F.col("line")).alias("numbered"))
 
 
+def _found(spark, sf):
+    return search_texts(fx.searchable_texts(spark, sf), QUERY, limit=SEARCH_WINDOWS)
+
+
 def str_keyword_score(spark, sf):
-    return score_lines(fx.text_lines(spark, sf), QUERY)
+    return top_hits(_found(spark, sf)).select("doc_id", "line_no", "score")
 
 
 def top_line_hits(spark, sf):
-    return top_hits(score_lines(fx.text_lines(spark, sf), QUERY), MAX_WINDOWS)
+    return top_hits(_found(spark, sf), limit=SEARCH_WINDOWS)
 
 
 def win_greedy_windows(spark, sf):
-    return greedy_windows(fx.text_lines(spark, sf), QUERY)
+    return windows_of(_found(spark, sf))
 
 
 def join_line_window(spark, sf):
-    ln = fx.text_lines(spark, sf)
-    return window_lines(ln, greedy_windows(ln, QUERY))
+    return window_lines(_found(spark, sf))
 
 
 def set_covered_lines(spark, sf):
-    w = greedy_windows(fx.text_lines(spark, sf), QUERY)
-    return w.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("line_no")).distinct()
+    """The windows of a text do overlap at their edges; its covered lines are
+    merged inside its row."""
+    covered = F.array_distinct(F.flatten(F.transform(
+        "windows", lambda w: F.sequence(w.start, w.end - 1))))
+    return _found(spark, sf).select("doc_id", F.explode(covered).alias("line_no"))
 
 
 def q_line_search(spark, sf):
-    ln = fx.text_lines(spark, sf)
-    w = greedy_windows(ln, QUERY)
-    wl = window_lines(ln, w)
-    blocks = wl.groupBy("doc_id", "window_no").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line),
-                     "\n").alias("block"))
-    per_doc = blocks.groupBy("doc_id").agg(
-        F.count("*").alias("n_matches"),
-        F.transform(F.sort_array(F.collect_list(F.struct("window_no", "block"))), lambda x: x.block).alias("_b"))
+    found = _found(spark, sf).withColumn("n_matches", F.size("windows").cast("long"))
     header = F.concat(F.lit("Found "), F.col("n_matches").cast("string"), F.lit(f" match(es) for '{QUERY}':\n\n"))
-    return per_doc.select("doc_id", "n_matches", F.concat(header, F.array_join("_b", MATCH_SEPARATOR)).alias("result"))
+    text = F.when(F.col("n_matches") > 0, F.concat(header, window_blocks(MATCH_SEPARATOR))).otherwise(
+        F.lit(f"No matches for '{QUERY}'."))
+    return found.select("doc_id", "n_matches", F.col("total_hits").cast("long").alias("total_hits"), text.alias("result"))
 
 
 def _words_sql():
@@ -205,9 +199,10 @@ LINES_SQL = """
 lines AS (
   SELECT doc_id, CAST(pos - 1 AS INTEGER) AS line_no, line FROM (
     SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM (
-      SELECT page_id AS doc_id, regexp_split_to_array(coalesce(html, ''), '\\r?\\n') AS parts FROM pages
-      UNION ALL
-      SELECT -(doc_id + 1) AS doc_id, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS parts FROM documents))
+      SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[1:len(parts) - 1] ELSE parts END AS parts FROM (
+        SELECT page_id AS doc_id, regexp_split_to_array(coalesce(html, ''), '\\r?\\n') AS parts FROM pages
+        UNION ALL
+        SELECT -(doc_id + 1) AS doc_id, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS parts FROM documents)))
 ),
 scored AS (SELECT doc_id, line_no, SCORE AS score FROM lines),
 hits AS (
@@ -237,7 +232,7 @@ wlines AS (
 
 
 def _lines(tail):
-    return "WITH RECURSIVE " + LINES_SQL.replace("SCORE", _words_sql()).replace("MAXW", str(MAX_WINDOWS)) + tail
+    return "WITH RECURSIVE " + LINES_SQL.replace("SCORE", _words_sql()).replace("MAXW", str(SEARCH_WINDOWS)) + tail
 
 
 def sql_src_lines():
@@ -253,7 +248,8 @@ def sql_str_keyword_score():
 
 
 def sql_top_line_hits():
-    return _lines(f" SELECT doc_id, line_no, score, CAST(rk AS INTEGER) AS rank FROM hits WHERE rk <= {MAX_WINDOWS}")
+    return _lines(f" SELECT doc_id, line_no, score, CAST(rk AS INTEGER) AS rank, "
+                  f"CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_hits FROM hits QUALIFY rk <= {SEARCH_WINDOWS}")
 
 
 def sql_win_greedy_windows():
@@ -269,11 +265,16 @@ def sql_set_covered_lines():
 
 
 def sql_q_line_search():
-    return _lines(f""" SELECT doc_id, count(*) AS n_matches,
+    return _lines(f""", found AS (SELECT doc_id, count(*) AS n_matches,
 'Found ' || CAST(count(*) AS VARCHAR) || ' match(es) for ''{QUERY}'':' || chr(10) || chr(10) ||
 string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY window_no) AS result
 FROM (SELECT doc_id, window_no, string_agg(line, chr(10) ORDER BY line_no) AS block FROM wlines GROUP BY doc_id, window_no)
-GROUP BY doc_id""")
+GROUP BY doc_id),
+every AS (SELECT page_id AS doc_id FROM pages UNION ALL SELECT -(doc_id + 1) FROM documents),
+n AS (SELECT doc_id, count(*) AS k FROM hits GROUP BY doc_id)
+SELECT e.doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(k, 0) AS total_hits,
+coalesce(result, 'No matches for ''{QUERY}''.') AS result
+FROM every e LEFT JOIN found f USING (doc_id) LEFT JOIN n USING (doc_id)""")
 
 
 # --- catalogue and dataset profile ------------------------------------------------------
@@ -334,7 +335,7 @@ def agg_split_counts(spark, sf):
 def join_config_info(spark, sf):
     d = doc_split(spark, sf)
     configs = d.select(F.col("source").alias("dataset_id"), F.col("lang").alias("config")).distinct()
-    info = agg_split_counts(spark, sf).where(F.col("split") == "test")
+    info = agg_split_counts(spark, sf)
     return configs.join(info, ["dataset_id", "config"], "left").select(
         "dataset_id", "config", "split", "num_examples")
 
@@ -425,7 +426,7 @@ def sql_agg_split_counts():
 def sql_join_config_info():
     return _c(""" SELECT c.dataset_id, c.config, i.split, i.num_examples
 FROM (SELECT DISTINCT source AS dataset_id, lang AS config FROM documents) c
-LEFT JOIN (SELECT * FROM counts WHERE split = 'test') i USING (dataset_id, config)""")
+LEFT JOIN counts i USING (dataset_id, config)""")
 
 
 def sql_q_dataset_profile():

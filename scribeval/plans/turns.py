@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.turns import TIMEOUT_MESSAGE, seconds_between, session_summary, sessionize
@@ -17,7 +18,8 @@ def sessions(spark, sf):
 
 
 def agg_turn_latency(spark, sf):
-    return sessions(spark, sf).select("session_id", "session_no", "ttfb", "ttfs")
+    """Latencies of the sessions that did not fail."""
+    return sessions(spark, sf).where(F.col("failure").isNull()).select("session_id", "session_no", "ttfb", "ttfs")
 
 
 def agg_turn_concat(spark, sf):
@@ -41,10 +43,8 @@ def st_timeout(spark, sf):
 
 def dt_elapsed(spark, sf):
     ev = sessionize(fx.turns(spark, sf))
-    starts = ev.groupBy("session_id", "session_no").agg(F.min("ts").alias("start_ts"))
-    j = ev.join(starts, ["session_id", "session_no"])
-    return j.select("session_id", "event_id", F.round(seconds_between(F.col("start_ts"), F.col("ts")), 6)
-                    .alias("elapsed"))
+    start = F.min("ts").over(Window.partitionBy("session_id", "session_no"))
+    return ev.select("session_id", "event_id", F.round(seconds_between(start, F.col("ts")), 6).alias("elapsed"))
 
 
 def dt_utc_iso(spark, sf):
@@ -58,17 +58,18 @@ def dt_utc_iso(spark, sf):
 
 def st_turn_sessions(spark, sf):
     """Streaming: turn events replayed from time-ordered files through the
-    stateful session collector (emits terminated and timed-out sessions)."""
+    stateful session collector (emits terminated and timed-out sessions).  A
+    last event far behind the others closes the sessions still open."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/turn_events/{uuid.uuid4().hex}"
     stage_events(fx.turns(spark, sf), base)
-    return run_turn_sessions(spark, base)
+    return run_turn_sessions(spark, base).withColumn("start_us", F.unix_micros("start_ts")).drop("start_ts")
 
 
 # --- oracle -------------------------------------------------------------------------
 
 TURNS = """
 turns AS (
-  SELECT user_id AS session_id, event_id, ts,
+  SELECT user_id AS session_id, event_id, make_timestamp(epoch_us(ts) // """ + str(fx.TURN_SPEED) + """) AS ts,
          CASE WHEN event_type IN ('purchase', 'view', 'click') THEN 'turn' WHEN event_type = 'error' THEN 'error'
               WHEN event_type = 'signup' THEN 'termination' ELSE 'other' END AS kind,
          CASE WHEN event_type IN ('purchase', 'view', 'click') THEN event_type = 'purchase' END AS end_of_turn,
@@ -77,10 +78,10 @@ turns AS (
   FROM events
 ),
 sess AS (
-  SELECT *, coalesce(sum(CASE WHEN kind = 'termination' THEN 1 ELSE 0 END) OVER (
-              PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-            AS session_no
-  FROM turns
+  SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no
+  FROM (SELECT *, CASE WHEN lag(kind) OVER w = 'termination' OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 30000000
+               THEN 1 ELSE 0 END AS opens
+        FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id))
 ),
 summ AS (
   SELECT session_id, session_no, min(ts) AS start_ts, count(*) AS n_events,
@@ -93,7 +94,7 @@ summ AS (
   FROM sess GROUP BY session_id, session_no
 ),
 summ2 AS (
-  SELECT *, coalesce(first_error, CASE WHEN NOT terminated THEN '""" + TIMEOUT_MESSAGE + """' END) AS failure FROM summ
+  SELECT *, CASE WHEN NOT terminated THEN '""" + TIMEOUT_MESSAGE + """' ELSE first_error END AS failure FROM summ
 )"""
 
 
@@ -102,7 +103,7 @@ def _w(tail):
 
 
 def sql_agg_turn_latency():
-    return _w(" SELECT session_id, CAST(session_no AS BIGINT) AS session_no, ttfb, ttfs FROM summ2")
+    return _w(" SELECT session_id, CAST(session_no AS BIGINT) AS session_no, ttfb, ttfs FROM summ2 WHERE failure IS NULL")
 
 
 def sql_agg_turn_concat():
@@ -132,6 +133,11 @@ CASE WHEN microsecond(start_ts) % 1000000 = 0 THEN strftime(start_ts, '%Y-%m-%dT
      ELSE strftime(start_ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') END AS started_at FROM summ2""")
 
 
+def sql_st_turn_sessions():
+    return _w(""" SELECT session_id, CAST(session_no AS BIGINT) AS session_no, n_events, n_final, text, ttfb, ttfs,
+first_error, terminated, failure, epoch_us(start_ts) AS start_us FROM summ2""")
+
+
 QUERIES = {k: globals()[k] for k in (
     "agg_turn_latency", "agg_turn_concat", "agg_first_error", "st_error_fail", "st_timeout",
     "dt_elapsed", "dt_utc_iso", "st_turn_sessions")}

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import split_words
+from ..operators.search import split_lines
 from .tables import read_events, read_table
 
 # --- fixed values -----------------------------------------------------------
@@ -33,35 +34,40 @@ IGNORE_MARKER = "ignore_time_segment_in_scoring"
 STREAMING_MODEL = "stream-v3"
 BATCH_MODEL = "batch-v3"
 LINE_BREAK = r"\r?\n"
-# Sample ids of document lines: (doc_id + 1) * LINE_ID_BASE + line_no.
-LINE_ID_BASE = 1_000_000
+# Sample ids of document lines: (doc_id + 1) * LINE_ID_BASE + line_no; benchmark
+# items take the ids below 0.  A text with more lines raises an error.
+LINE_ID_BASE = 1 << 24
 BENCHMARK_DATASET = "benchmark"
+TURN_SPEED = 3600
 # ---------------------------------------------------------------------------
 
 
-def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, dataset, lang, text: document lines and benchmark items."""
+def utterances(spark: SparkSession, sf_dir: str, for_join: bool = False) -> DataFrame:
+    """sample_id, dataset, lang, text: document lines and benchmark items.
+
+    With ``for_join`` the rows are hash-partitioned on sample_id once, so
+    that the tables derived from them (samples, hypotheses, judge replies) meet
+    without further shuffles; filters and projections need no shuffle."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    line_no = F.when(F.col("line_no") < LINE_ID_BASE, F.col("line_no")).otherwise(
+        F.raise_error(F.lit("a text has more lines than sample ids allow")).cast("int"))
     lines = docs.select(
         "doc_id", "source", "lang",
         F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_BREAK)).alias("line_no", "line"),
     ).select(
-        ((F.col("doc_id") + 1) * LINE_ID_BASE + F.col("line_no")).alias("sample_id"),
+        ((F.col("doc_id") + 1) * LINE_ID_BASE + line_no).alias("sample_id"),
         F.col("source").alias("dataset"),
         "lang",
         F.col("line").alias("text"),
     )
     bench = read_table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("sample_id"),
+        (-(F.col("item_id") + 1)).alias("sample_id"),
         F.lit(BENCHMARK_DATASET).alias("dataset"),
         F.lit("en").alias("lang"),
         "text",
     )
-    # One hash shuffle on sample_id: every table derived from the utterances
-    # (samples, hypotheses, judge replies) is then co-partitioned for the
-    # joins on sample_id, and the per-row text work runs on all partitions
-    # instead of one per file block.
-    return lines.unionByName(bench).repartition(_partitions(spark), "sample_id")
+    both = lines.unionByName(bench)
+    return both.repartition(_partitions(spark), "sample_id") if for_join else both
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -77,9 +83,9 @@ def inject_reference(sample_id: Column, text: Column) -> Column:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, for_join: bool = False) -> DataFrame:
     """X1: sample_id, dataset, lang, reference."""
-    u = utterances(spark, sf_dir)
+    u = utterances(spark, sf_dir, for_join)
     return u.select(
         "sample_id", "dataset", "lang",
         inject_reference(F.col("sample_id"), F.col("text")).alias("reference"),
@@ -98,9 +104,9 @@ def edit_words(words: Column) -> Column:
     return F.flatten(F.transform(words, one))
 
 
-def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hypotheses(spark: SparkSession, sf_dir: str, for_join: bool = False) -> DataFrame:
     """X3: sample_id, model, text, ttfb, ttfs, error."""
-    u = utterances(spark, sf_dir)
+    u = utterances(spark, sf_dir, for_join)
     sid = F.col("sample_id")
     hyp = F.array_join(edit_words(split_words(F.col("text"))), " ")
     model = F.when(sid % 2 == 0, F.lit(STREAMING_MODEL)).otherwise(F.lit(BATCH_MODEL))
@@ -108,7 +114,7 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
         sid % 17 == 0,
         F.when(sid % 34 == 0, F.lit("no spoken audio")).otherwise(F.lit("server error 500")),
     )
-    ttfs = (sid % 50) / F.lit(10.0) + F.lit(0.5)
+    ttfs = (F.abs(sid) % 50) / F.lit(10.0) + F.lit(0.5)
     return u.select(
         "sample_id",
         model.alias("model"),
@@ -191,11 +197,21 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips long enough for several chunks: the vectors of one label within
+    256 successive ids, laid end to end in id order; named by the first id."""
+    whole = clips(spark, sf_dir).groupBy("label", "sampling_rate", F.floor(F.col("clip_id") / 256).alias("_part")).agg(
+        F.min("clip_id").alias("clip_id"), F.flatten(F.transform(
+            F.array_sort(F.collect_list(F.struct("clip_id", "left"))), lambda c: c["left"])).alias("left"))
+    return whole.select("clip_id", "label", "sampling_rate", "left", F.reverse("left").alias("right"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X6: turn events per streaming session (``events`` per user).
 
     purchase -> final turn, view/click -> partial turn, error -> error,
-    signup -> termination.  ``start_ts`` is the session's first event."""
+    signup -> termination.  An hour of the table plays as a second, so that
+    calls with and without silences of 30 seconds occur."""
     ev = read_events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value")
     et = F.col("event_type")
     kind = (F.when(et.isin("purchase", "view", "click"), F.lit("turn"))
@@ -204,7 +220,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("user_id").alias("session_id"),
         "event_id",
-        "ts",
+        F.timestamp_micros(F.floor(F.unix_micros("ts") / F.lit(TURN_SPEED)).cast("long")).alias("ts"),
         kind.alias("kind"),
         F.when(et.isin("purchase", "view", "click"), et == "purchase").alias("end_of_turn"),
         F.when(et.isin("purchase", "view", "click"),
@@ -225,21 +241,19 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", text.alias("text"))
 
 
-def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X8: numbered lines of every page (``html``) and document (``text``).
-
-    doc_id: pages keep page_id, documents use -(doc_id + 1); line_no from 0."""
+def searchable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X8: every page (``html``) and document (``text``) as (doc_id, body);
+    pages keep page_id, documents use -(doc_id + 1)."""
     pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("body"))
     docs = read_table(spark, sf_dir, "documents").select(
         (-(F.col("doc_id") + 1)).alias("doc_id"), F.col("text").alias("body"))
-    return lines_of(pages.unionByName(docs), "doc_id", "body")
+    return pages.unionByName(docs)
 
 
-def lines_of(df: DataFrame, key: str, body: str) -> DataFrame:
-    """src_lines: (key, body) -> (key, line_no, line), whole texts, 0-based."""
-    return df.select(
-        key, F.posexplode(F.split(F.coalesce(F.col(body), F.lit("")), LINE_BREAK)).alias("line_no", "line")
-    )
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines of the searchable texts; line_no from 0."""
+    return searchable_texts(spark, sf_dir).select(
+        "doc_id", F.posexplode(split_lines(F.col("body"))).alias("line_no", "line"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,14 +279,3 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         "languages",
         "n_docs",
     )
-
-
-def dataset_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X10 infos: (dataset_id, config = lang, split, doc rows)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return d.select(
-        F.col("source").alias("dataset_id"),
-        F.col("lang").alias("config"),
-        F.when(F.col("doc_id") % 10 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
-        "doc_id",
-    )

@@ -31,8 +31,3 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     return ev.withColumn("ts", F.col("ts").cast("timestamp"))
 
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Expose the tables to ``spark.sql`` under their own names."""
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)

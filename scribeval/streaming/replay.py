@@ -22,15 +22,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stage_slices(df: DataFrame, path: str, order_col: str, n_slices: int = 6) -> str:
-    """Write ``df`` as ``n_slices`` files by ``order_col`` ranges, one after the other."""
+    """Write ``df`` once, as ``n_slices`` folders by ranges of ``order_col``."""
     b = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo, hi = (b.lo or 0), (b.hi or 0)
     width = max((hi - lo) / n_slices, 1e-9)
-    sl = F.least(F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)), F.lit(n_slices - 1))
-    staged = df.withColumn("_slice", sl)
-    for i in range(n_slices):
-        staged.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("overwrite").parquet(
-            f"{path}/part{i:04d}")
+    part = F.least(F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)), F.lit(n_slices - 1))
+    df.withColumn("_slice", part).write.partitionBy("_slice").mode("overwrite").parquet(path)
     return path
 
 
@@ -56,20 +53,12 @@ def running_metrics(spark: SparkSession, src: str, schema) -> DataFrame:
     return spark.read.parquet(f"{out}/snapshot")
 
 
-def prompt_dedup(spark: SparkSession, src: str, schema, delay: str = "1 hour") -> DataFrame:
-    """Each prompt announced once: ``dropDuplicatesWithinWatermark``."""
+def prompt_dedup(spark: SparkSession, src: str, schema) -> DataFrame:
+    """Each prompt announced once, however late it comes again: the state is
+    one entry for each different prompt."""
     out = scratch(spark, "prompt_dedup")
-    s = _source(spark, src, schema).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["prompt"])
+    s = _source(spark, src, schema).dropDuplicates(["prompt"])
     q = (s.select("prompt", "candidate_id").writeStream.format("parquet").option("path", f"{out}/out")
          .option("checkpointLocation", f"{out}/ckpt").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema("prompt string, candidate_id int").parquet(f"{out}/out")
-
-
-def replay_table(spark: SparkSession, src: str, schema) -> DataFrame:
-    """Read a staged feed with the streaming file source and sink it as is."""
-    out = scratch(spark, "replay")
-    q = (_source(spark, src, schema).writeStream.format("parquet").option("path", f"{out}/out")
-         .option("checkpointLocation", f"{out}/ckpt").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/out")

@@ -4,12 +4,16 @@ Turn events arrive as files (any file source works the same way; Kafka would
 only change ``readStream``).  A stateful operator keyed by speaker
 (``applyInPandasWithState``) keeps the open session's partial aggregates,
 emits the session when its termination event arrives, and emits it as
-timed out when the event-time watermark passes its last event + 30 s.
-State per key is one open session (bounded by the session, not the stream).
+timed out when the event-time watermark passes its last event + 30 s, or when
+the next event stands more than 30 s behind the last: the same rule as the
+batch form, so the result does not depend on how events fall into batches.
+State per key is one open session and the speaker's session counter, which
+outlives time-outs.
 """
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 import pandas as pd
@@ -39,7 +43,7 @@ def _emit(key, st, terminated):
     start = st["start_us"]
     ttfb = None if st["first_turn_us"] is None else round((st["first_turn_us"] - start) / 1e6, 6)
     ttfs = None if st["last_final_us"] is None else round((st["last_final_us"] - start) / 1e6, 6)
-    failure = st["err"] if st["err"] is not None else (None if terminated else TIMEOUT_MESSAGE)
+    failure = st["err"] if terminated else TIMEOUT_MESSAGE
     return dict(session_id=key, session_no=st["session_no"], start_ts=pd.Timestamp(start, unit="us"),
                 n_events=st["n_events"], n_final=st["n_final"], text=text, ttfb=ttfb, ttfs=ttfs,
                 first_error=st["err"], terminated=terminated, failure=failure)
@@ -51,8 +55,10 @@ def _collect(key, pdfs, state):
         (sno, start, ft, lf, last, n, nf, finals, ek, err) = state.get
         st = dict(session_no=sno, start_us=start, first_turn_us=ft, last_final_us=lf, last_us=last,
                   n_events=n, n_final=nf, finals=list(finals), err_key=ek, err=err)
-        state.remove()
-        yield pd.DataFrame([_emit(key, st, False)])
+        # the counter stays: the speaker's next session has the next number
+        state.update((sno + 1, None, None, None, None, 0, 0, [], None, None))
+        if start is not None:
+            yield pd.DataFrame([_emit(key, st, False)])
         return
     if state.exists:
         (sno, start, ft, lf, last, n, nf, finals, ek, err) = state.get
@@ -64,9 +70,12 @@ def _collect(key, pdfs, state):
     ev = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
     for row in ev.itertuples(index=False):
         us = int(pd.Timestamp(row.ts).value // 1000)
+        if st["start_us"] is not None and us - st["last_us"] > TIMEOUT_SECONDS * 1_000_000:
+            out.append(_emit(key, st, False))
+            st = _empty_state(st["session_no"] + 1)
         if st["start_us"] is None:
-            st["start_us"] = us
-        st["last_us"] = us
+            st["start_us"] = st["last_us"] = us
+        st["last_us"] = max(st["last_us"], us)
         st["n_events"] += 1
         k = f"{us:020d}|{int(row.event_id):020d}"
         if row.kind == "turn":
@@ -111,12 +120,15 @@ def run_turn_sessions(spark: SparkSession, source_dir: str, max_files_per_trigge
     return spark.read.schema(OUT_SCHEMA).parquet(f"{base}/out")
 
 
-def stage_events(turns: DataFrame, path: str, n_files: int = 8) -> str:
-    """Write turn events as ``n_files`` time slices, one write after the
-    other, so the file source sees them in arrival order."""
+def stage_events(turns: DataFrame, path: str, n_files: int | None = None) -> str:
+    """Write turn events as ``n_files`` time slices (default: as many as keep
+    a slice at about 100,000 events), one file and one write after the other,
+    so the file source sees them in arrival order, and last an event of no
+    speaker (id -1) an hour later, behind which all sessions are closed."""
     cols = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
     t = turns.select(*cols)
-    bounds = t.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    bounds = t.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).first()
+    n_files = n_files or max(8, -(-bounds.n // 100_000))
     if bounds.lo is None:
         t.limit(0).write.mode("overwrite").parquet(f"{path}/slice=0")
         return path
@@ -127,5 +139,11 @@ def stage_events(turns: DataFrame, path: str, n_files: int = 8) -> str:
     staged = t.withColumn("_slice", sl)
     for i in range(n_files):
         (staged.where(F.col("_slice") == i).drop("_slice").coalesce(1)
-         .write.mode("overwrite").parquet(f"{path}/part{i:04d}"))
+         .write.mode("overwrite").parquet(f"{path}/part{i:06d}"))
+    end = turns.sparkSession.range(1).select(
+        F.lit(-1).cast("long").alias("session_id"), F.lit(-1).cast("long").alias("event_id"),
+        F.lit(hi + datetime.timedelta(hours=1)).cast("timestamp").alias("ts"), F.lit("other").alias("kind"),
+        F.lit(None).cast("boolean").alias("end_of_turn"), F.lit(None).cast("string").alias("transcript"),
+        F.lit(None).cast("string").alias("error"))
+    end.write.mode("overwrite").parquet(f"{path}/part{n_files:06d}")
     return path

@@ -21,6 +21,19 @@ def test_resample_lengths_and_values(spark):
     assert _resample(spark, rnd, 16000, 16000) == rnd
 
 
+def test_chunks_are_cut(spark):
+    from scribeval.plans import audio
+    rows = audio.aud_chunks(spark, "/root/testdata/sf0.01").collect()
+    last = {}
+    for r in rows:
+        last[r.clip_id] = max(last.get(r.clip_id, 0), r.chunk_no)
+    assert max(last.values()) > 1
+    for r in rows:
+        assert r.n_bytes == len(r.payload_hex) // 2
+        assert r.n_bytes == 3200 if r.chunk_no < last[r.clip_id] else 0 < r.n_bytes <= 3200
+    assert any(r.n_bytes < 3200 for r in rows)
+
+
 def test_quantize_and_chunks(spark):
     sig = [0.5, -0.5, 1.2, -1.0, 0.99999]
     df = spark.createDataFrame([(sig,)], "a array<double>")

@@ -1,26 +1,30 @@
-from scribeval.operators.enrich import _call_with_retry, enrich
+import pandas as pd
 
+from scribeval.operators.enrich import enrich, in_rounds
 
-def test_retry_pauses_and_error_text():
+
+def test_rounds_pauses_and_error_text():
     pauses, calls = [], []
 
     def flaky(v):
         calls.append(v)
-        if len(calls) < 3:
+        if v == 21 and calls.count(21) < 3:
             raise RuntimeError("busy")
         return v * 2
 
-    assert _call_with_retry(flaky, 21, 3, pauses.append) == (42, None)
-    assert pauses == [2, 4]
+    got, errors = in_rounds(pd.Series([1, 21, 3]), flaky, 3, pauses.append)
+    assert got.tolist() == [2, 42, 6] and errors.isna().all()
+    assert pauses == [2, 4] and calls == [1, 21, 3, 21, 21]  # rows that worked are not called again
 
     pauses.clear()
-    res, err = _call_with_retry(lambda v: 1 / 0, 1, 3, pauses.append)
-    assert res is None and err.startswith("ZeroDivisionError") and pauses == [2, 4]
+    got, errors = in_rounds(pd.Series([1]), lambda v: 1 / 0, 3, pauses.append)
+    assert got.isna().all() and errors[0].startswith("ZeroDivisionError") and pauses == [2, 4]
 
 
 def test_enrich_keeps_rows_and_reports_errors(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string")
-    out = enrich(df, "t", lambda s: len(s.split()), "n", "int", sleep=lambda s: None)
+    out = enrich(df, "t", lambda s: len(s.split()), "n", "int", partitions=2, sleep=lambda s: None)
     rows = {r.id: r for r in out.collect()}
+    assert out.rdd.getNumPartitions() == 2
     assert rows[1].n == 2 and rows[1].n_error is None
     assert rows[2].n is None and rows[2].n_error.startswith("AttributeError")

@@ -36,7 +36,8 @@ def test_filter_pushed_to_scan(spark):
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in p
 
 
-def test_small_quota_and_top_hits_cut_before_shuffle(spark):
+def test_maps_and_filters_do_not_shuffle(spark):
     from scribeval.plans import corpus, tools
-    assert "WindowGroupLimit" in _plan(corpus.win_even_quota(spark, SF))
-    assert "WindowGroupLimit" in _plan(tools.top_line_hits(spark, SF))
+    for q in (corpus.src_multi_union, corpus.flt_ignore_marker, corpus.flt_inaudible, corpus.flt_error_triage,
+              corpus.prj_route_model, corpus.str_word_count, corpus.str_latency_line, tools.top_line_hits):
+        assert "Exchange" not in _plan(q(spark, SF)), q.__name__

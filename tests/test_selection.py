@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scribeval.operators.selection import even_quota, resolve_selection, scorable
+from scribeval.operators.selection import even_quota, named_dataset, registry_of, resolve_selection, scorable
 
 
 def _samples(spark, per_ds):
@@ -39,6 +39,21 @@ def test_large_quota_uses_range_ranks(spark):
     assert _counts(q) == {"a": 30, "b": 5}
 
 
+def test_quota_divides_by_registered_datasets(spark):
+    every = _samples(spark, [("a", 10), ("b", 10), ("gone", 3)])
+    q = even_quota(every.where("dataset <> 'gone'"), 9, registry=registry_of(every))
+    assert _counts(q) == {"a": 3, "b": 3}
+    assert dict(q.dtypes)["rn"] == "bigint" and dict(even_quota(every, 50_000).dtypes)["rn"] == "bigint"
+
+
+def test_named_dataset(spark):
+    every = _samples(spark, [("a", 3), ("b", 2)])
+    assert named_dataset(every, "b", registry_of(every)).count() == 2
+    assert named_dataset(every.where("dataset = 'a'"), "b", registry_of(every)).count() == 0
+    with pytest.raises(Exception, match="Unknown dataset 'zz'. Available: a, b"):
+        named_dataset(every, "zz", registry_of(every)).collect()
+
+
 def test_unscorable_filters(spark):
     df = spark.createDataFrame([(1, "  ignore_time_segment_in_scoring "), (2, "word [inaudible] word"),
                                 (3, "keep me"), (4, None), (5, "INAUDIBLE")], "sample_id int, reference string")

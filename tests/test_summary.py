@@ -33,6 +33,14 @@ def test_summary_levels_and_guards(spark):
     assert ov.ttfb_min == 1.0 and ov.ttfb_max == 2.0
 
 
+def test_failed_datasets_are_not_broken_out(spark):
+    rows = [("ds1", None, 0.0, 1.0, 1.0, None), ("ds2", "boom", None, None, None, None)]
+    assert [r.level for r in eval_summary(_results(spark, rows)).collect()] == ["overall"]
+    three = rows + [("ds3", None, 0.5, 1.0, 1.0, None)]
+    out = eval_summary(_results(spark, three), latency_p=None)
+    assert sorted(r.dataset or "" for r in out.collect()) == ["", "ds1", "ds3"] and "ttfb_p95" not in out.columns
+
+
 def test_single_dataset_has_no_breakdown(spark):
     rows = [("ds1", None, 0.0, 1.0, 1.0, None), ("ds1", None, 1.0, 1.0, 1.0, None)]
     levels = [r.level for r in eval_summary(_results(spark, rows)).collect()]

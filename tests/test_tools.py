@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from scribeval.functions.strings import count_occurrences, fmt_fixed, number_line, replace_first
-from scribeval.functions.toolcalls import tool_calls
 from scribeval.plans import tools as T
 
 
@@ -22,15 +21,6 @@ def test_fixed_formatting(spark):
     assert got == ["0.13", "2.50", "-1.00", "0.00", "12.35", None]
 
 
-def test_tool_calls_parsing():
-    names = {"eval_prompt", "read_file"}
-    assert tool_calls("eval_prompt(x)", names) == ["eval_prompt"]
-    assert sorted(tool_calls("a = read_file('x')\neval_prompt(read_file('y'))", names)) == \
-        ["eval_prompt", "read_file", "read_file"]
-    assert tool_calls("def broken(:\n  eval_prompt()", names) == []
-    assert tool_calls("print(1)", names) == []
-
-
 def test_step_preview_rules(spark):
     head = T.win_head_lines(spark, "/root/testdata/sf0.001").collect()
     assert all(r.more >= 0 for r in head)
