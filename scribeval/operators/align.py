@@ -2,7 +2,8 @@
 
 ``align_ops`` is the one Python step: per (reference, hypothesis) pair it
 runs the word edit-distance DP with numpy (row by row; the insertion chain
-inside a row is a running minimum) and backtraces one optimal alignment
+inside a row is a running minimum; of n rows about 3 * sqrt(n) are held) and
+backtraces one optimal alignment
 (ties: match/substitution, then deletion, then insertion).  It runs in
 ``mapInPandas`` on Arrow batches; Spark partitions the pairs.
 
@@ -28,6 +29,7 @@ DISCOURSE = ("well", "so", "and", "but", "like", "okay", "ok", "yeah", "right")
 ARTICLES = ("a", "an", "the")
 PREPOSITIONS = ("in", "on", "at", "of", "for", "to", "with", "about", "by", "from", "into", "onto")
 SPELLING_MIN_LEN = 5
+CONFUSED = ("affect effect", "effect affect")  # one letter apart, yet different words
 # -------------------------------------------------------------------------------------
 
 
@@ -40,22 +42,43 @@ def edit_ops(ref: list[str], hyp: list[str]) -> list[tuple[str, str | None, str
     vocab: dict[str, int] = {}
     a = np.array([vocab.setdefault(w, len(vocab)) for w in ref], dtype=np.int64)
     b = np.array([vocab.setdefault(w, len(vocab)) for w in hyp], dtype=np.int64)
-    d = np.empty((n + 1, m + 1), dtype=np.int32)
-    d[0] = np.arange(m + 1)
     j = np.arange(m + 1)
-    for i in range(1, n + 1):
-        prev = d[i - 1]
+
+    def below(row, i):
         t = np.empty(m + 1, dtype=np.int32)
         t[0] = i
-        t[1:] = np.minimum(prev[1:] + 1, prev[:-1] + (a[i - 1] != b).astype(np.int32))
-        d[i] = np.minimum.accumulate(t - j) + j
+        t[1:] = np.minimum(row[1:] + 1, row[:-1] + (a[i - 1] != b).astype(np.int32))
+        return (np.minimum.accumulate(t - j) + j).astype(np.int32)
+
+    # Only every step-th row is kept; the backtrace makes the rows between two
+    # of them anew, so memory is m * sqrt(n), not m * n.
+    step = int(n ** 0.5) + 1
+    row = j.astype(np.int32)
+    kept = [row]
+    for i in range(1, n + 1):
+        row = below(row, i)
+        if i % step == 0:
+            kept.append(row)
+    blocks: dict[int, list] = {}
+
+    def rows(i):
+        at = i // step
+        if at not in blocks:
+            while len(blocks) > 1:
+                blocks.pop(max(blocks))
+            made = [kept[at]]
+            for r in range(at * step + 1, min((at + 1) * step, n + 1)):
+                made.append(below(made[-1], r))
+            blocks[at] = made
+        return blocks[at][i - at * step]
+
     ops = []
     i, k = n, m
     while i > 0 or k > 0:
-        if i > 0 and k > 0 and d[i, k] == d[i - 1, k - 1] + (a[i - 1] != b[k - 1]):
+        if i > 0 and k > 0 and rows(i)[k] == rows(i - 1)[k - 1] + (a[i - 1] != b[k - 1]):
             ops.append(("ok" if a[i - 1] == b[k - 1] else "sub", ref[i - 1], hyp[k - 1]))
             i, k = i - 1, k - 1
-        elif i > 0 and d[i, k] == d[i - 1, k] + 1:
+        elif i > 0 and rows(i)[k] == rows(i - 1)[k] + 1:
             ops.append(("del", ref[i - 1], None))
             i -= 1
         else:
@@ -65,9 +88,13 @@ def edit_ops(ref: list[str], hyp: list[str]) -> list[tuple[str, str | None, str
     return ops
 
 
+ROWS_A_BATCH = 50_000
+
+
 def _align_batches(batches):
+    columns = ["sample_id", "op_no", "op", "ref_word", "hyp_word", "prev_hyp"]
+    rows = []
     for pdf in batches:
-        rows = []
         for sid, r, h in zip(pdf["sample_id"], pdf["norm_ref"], pdf["norm_hyp"]):
             ref = r.split() if isinstance(r, str) else []
             hyp = h.split() if isinstance(h, str) else []
@@ -76,7 +103,10 @@ def _align_batches(batches):
                 rows.append((int(sid), no, op, rw, hw, prev))
                 if hw is not None:
                     prev = hw
-        yield pd.DataFrame(rows, columns=["sample_id", "op_no", "op", "ref_word", "hyp_word", "prev_hyp"])
+            if len(rows) >= ROWS_A_BATCH:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+    yield pd.DataFrame(rows, columns=columns)
 
 
 def align_ops(pairs: DataFrame) -> DataFrame:
@@ -104,6 +134,7 @@ def op_points(ops: DataFrame) -> DataFrame:
         .when((op == "sub") & plural, F.lit("plural"))
         .when(op.isin("ins", "del") & word.isin(*ARTICLES), F.lit("article"))
         .when((op == "sub") & r.isin(*PREPOSITIONS) & h.isin(*PREPOSITIONS), F.lit("preposition"))
+        .when((op == "sub") & F.concat_ws(" ", r, h).isin(*CONFUSED), F.lit("content"))
         .when((op == "sub") & (F.length(r) >= SPELLING_MIN_LEN) & _one_char_apart(r, h), F.lit("spelling"))
         .otherwise(F.lit("content"))
     )

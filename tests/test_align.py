@@ -22,3 +22,19 @@ def test_edit_ops_are_optimal_and_consistent():
         assert sum(op != "ok" for op, _, _ in ops) == dp(a, b)
         assert [r for _, r, _ in ops if r is not None] == a
         assert [h for _, _, h in ops if h is not None] == b
+
+
+def test_long_pairs_in_bounded_rows():
+    import random
+    rnd = random.Random(3)
+    for n, m in ((1, 1), (2, 5), (40, 37), (9, 300), (400, 380)):
+        ref = [rnd.choice("abcde") for _ in range(n)]
+        hyp = [rnd.choice("abcde") for _ in range(m)]
+        d = list(range(m + 1))
+        for i, r in enumerate(ref, 1):
+            last, d[0] = d[0], i
+            for k, h in enumerate(hyp, 1):
+                last, d[k] = d[k], min(d[k] + 1, d[k - 1] + 1, last + (r != h))
+        ops = edit_ops(ref, hyp)
+        assert sum(o != "ok" for o, _, _ in ops) == d[m]
+        assert [r for _, r, _ in ops if r is not None] == ref and [h for _, _, h in ops if h is not None] == hyp
