@@ -22,6 +22,7 @@ from ..operators.sampling import one_row_join, shuffle_split
 from ..operators.selection import scorable
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources.tables import read_events
 
 # --- fixed values ---------------------------------------------------------------
 STARTING_PROMPT = "Transcribe verbatim."
@@ -37,6 +38,7 @@ METRIC = "LASER"
 OPTIMIZER = "DSPy-GEPA"
 MODEL = "batch-v3"
 NUM_TRIALS = 50
+JUDGE = "judge-v1"
 # ---------------------------------------------------------------------------------
 
 
@@ -135,12 +137,16 @@ def q_optimize_leaderboard(spark, sf):
 
 
 def result_record(spark, sf) -> DataFrame:
+    """One row about the run; its time is the newest event's."""
     bf = _baseline_final(spark, sf)
-    n = scorable(fx.samples(spark, sf)).agg(F.count("*").alias("total_eval_samples"))
-    return one_row_join(bf, n).select(
+    n = scorable(fx.samples(spark, sf)).agg(F.count("*").alias("total_eval_samples"),
+                                            F.array_sort(F.collect_set("dataset")).alias("datasets"))
+    at = read_events(spark, sf).agg(F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"))
+    return one_row_join(one_row_join(bf, n), at).select(
         "best_prompt", F.col("best_score"), F.lit(METRIC).alias("metric"),
         F.lit(STARTING_PROMPT).alias("starting_prompt"), F.lit(MODEL).alias("model"),
-        "total_eval_samples", F.lit(OPTIMIZER).alias("optimizer"), F.lit(NUM_TRIALS).alias("num_trials"))
+        "total_eval_samples", F.lit(OPTIMIZER).alias("optimizer"), F.lit(NUM_TRIALS).alias("num_trials"),
+        F.lit(JUDGE).alias("llm_model"), "timestamp", "datasets")
 
 
 def snk_result_json(spark, sf):
@@ -229,7 +235,9 @@ def sql_snk_result_json():
     return _opt(", " + BF + f""" SELECT best_prompt, round(best, 9) AS best_score, '{METRIC}' AS metric,
 '{STARTING_PROMPT}' AS starting_prompt, '{MODEL}' AS model,
 (SELECT count(*) FROM samples WHERE {O.not_unscorable('reference')}) AS total_eval_samples,
-'{OPTIMIZER}' AS optimizer, {NUM_TRIALS} AS num_trials FROM bf""")
+'{OPTIMIZER}' AS optimizer, {NUM_TRIALS} AS num_trials, '{JUDGE}' AS llm_model,
+(SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%S+00:00') FROM events) AS timestamp,
+(SELECT list_sort(list(DISTINCT dataset)) FROM samples WHERE {O.not_unscorable('reference')}) AS datasets FROM bf""")
 
 
 _KEYS = ("join_candidate_cross", "agg_candidate_scores", "win_best_candidate", "agg_baseline_final",
