@@ -16,6 +16,7 @@ from ..operators.selection import (
     not_ignore_marker,
     not_inaudible,
     registry_of,
+    resolve_selection,
     scorable,
     with_quota,
 )
@@ -49,27 +50,87 @@ SCORABLE = f"(SELECT * FROM samples WHERE {O.not_unscorable('reference')})"
 
 # --- sources -------------------------------------------------------------------
 
+#: The datasets there are: each entry names a table, the configuration and
+#: split of its rows, and the columns that hold the audio and the text.
+REGISTRY = {
+    "documents-en": DatasetEntry("documents", "en", "doc_id", "text", "test"),
+    "documents-de": DatasetEntry("documents", "de", "doc_id", "text", "train"),
+    "benchmark": DatasetEntry("benchmark", None, "item_id", "text", "test"),
+    "conversations": DatasetEntry("conversations", None, "turn", "text", "test"),
+    "pages": DatasetEntry("pages", None, "page_id", "html", "test"),
+}
+ADHOC = DatasetEntry("benchmark", None, "item_id", "text", "test")
+
+
+def map_columns(df: DataFrame, entry: DatasetEntry, name: str) -> DataFrame:
+    """prj_map_columns: configured audio/text columns -> audio, reference."""
+    return df.select(F.col(entry.audio_column).alias("audio"), F.col(entry.text_column).alias("reference"),
+                     F.lit(name).alias("dataset"))
+
+
+def scan_entry(spark, sf, entry: DatasetEntry, name: str) -> DataFrame:
+    """The rows of one entry.  A configuration is a language; documents with
+    a label row are the ``test`` split, the others ``train``."""
+    df = read_table(spark, sf, entry.path)
+    if entry.config is not None:
+        df = df.where(F.col("lang") == entry.config)
+    if entry.path == "documents":
+        labelled = read_table(spark, sf, "labels").select("doc_id")
+        df = df.join(labelled, "doc_id", "left_semi" if entry.split == "test" else "left_anti")
+    return map_columns(df, entry, name)
+
+
+def load_datasets(spark, sf, dataset: str | None = None, adhoc: DatasetEntry | None = None,
+                  registry: dict[str, DatasetEntry] = REGISTRY) -> DataFrame:
+    """audio, reference, dataset of the chosen entries, scorable rows only: an
+    ad-hoc entry replaces the registry and is called 'custom', a name picks
+    one entry, None / "" / "all" keeps all; an unknown name is an error that
+    lists the names."""
+    names = resolve_selection(list(registry), dataset, adhoc)
+    entries = {"custom": adhoc} if adhoc is not None else registry
+    frames = [scan_entry(spark, sf, entries[n], n) for n in names]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return scorable(out)
+
+
 def src_registry(spark, sf):
-    u = fx.utterances(spark, sf)
-    reg = registry_of(u)
-    return reg.select("dataset", "position", "rows",
-                      F.when(F.col("dataset") == fx.BENCHMARK_DATASET, "benchmark").otherwise("documents")
-                      .alias("source_table"))
+    """The registry with the rows each entry has."""
+    rows = [(n, i, e.path, e.config, e.audio_column, e.text_column, e.split) for i, (n, e) in enumerate(REGISTRY.items())]
+    entries = spark.createDataFrame(rows, "dataset string, position int, path string, config string, "
+                                          "audio_column string, text_column string, split string")
+    counts = None
+    for n, e in REGISTRY.items():
+        one = scan_entry(spark, sf, e, n).groupBy("dataset").agg(F.count("*").alias("rows"))
+        counts = one if counts is None else counts.unionByName(one)
+    return entries.join(counts, "dataset", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+def _entry_sql(name: str, e: DatasetEntry) -> str:
+    where = [f"lang = '{e.config}'"] if e.config else []
+    if e.path == "documents":
+        where.append(f"doc_id {'IN' if e.split == 'test' else 'NOT IN'} (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+    return (f"SELECT {e.audio_column} AS audio, {e.text_column} AS reference, '{name}' AS dataset FROM {e.path} "
+            f"WHERE {' AND '.join(where) or 'true'}")
 
 
 def sql_src_registry():
-    return _ctes() + """
-SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS position, count(*) AS rows,
-       CASE WHEN dataset = 'benchmark' THEN 'benchmark' ELSE 'documents' END AS source_table
-FROM utter GROUP BY dataset"""
+    lit = lambda v: "NULL::VARCHAR" if v is None else f"'{v}'"
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS dataset, {i} AS position, '{e.path}' AS path, {lit(e.config)} AS config, '{e.audio_column}' AS audio_column, "
+        f"'{e.text_column}' AS text_column, '{e.split}' AS split, (SELECT count(*) FROM ({_entry_sql(n, e)})) AS rows"
+        for i, (n, e) in enumerate(REGISTRY.items()))
 
 
 def src_multi_union(spark, sf):
-    return fx.utterances(spark, sf)
+    """All entries of the registry, one scan each, concatenated."""
+    return load_datasets(spark, sf)
 
 
 def sql_src_multi_union():
-    return _ctes() + " SELECT sample_id, dataset, lang, text FROM utter"
+    every = " UNION ALL ".join(_entry_sql(n, e) for n, e in REGISTRY.items())
+    return f"SELECT audio, reference, dataset FROM ({every}) WHERE {O.not_unscorable('reference')}"
 
 
 def doc_split(spark, sf) -> DataFrame:
@@ -82,29 +143,17 @@ def doc_split(spark, sf) -> DataFrame:
 
 
 def src_scan_split(spark, sf):
-    """Scan the 'test' split (documents that have labels), text never read."""
-    d = read_table(spark, sf, "documents").select("doc_id", "source", "lang")
-    lab = read_table(spark, sf, "labels").select("doc_id")
-    return d.join(lab, "doc_id", "left_semi")
+    """One entry's scan: its configuration and split, two columns read."""
+    return load_datasets(spark, sf, "documents-en")
 
 
 def sql_src_scan_split():
-    return "SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
-
-
-ADHOC = DatasetEntry("benchmark", None, "item_id", "text", "test")
-
-
-def map_columns(df: DataFrame, entry: DatasetEntry, name: str) -> DataFrame:
-    """prj_map_columns: configured audio/text columns -> audio, reference."""
-    return df.select(F.col(entry.audio_column).alias("audio"), F.col(entry.text_column).alias("reference"),
-                     F.lit(name).alias("dataset"))
+    return f"SELECT * FROM ({_entry_sql('documents-en', REGISTRY['documents-en'])}) WHERE {O.not_unscorable('reference')}"
 
 
 def src_adhoc_override(spark, sf):
     """An ad-hoc dataset replaces the registry: one entry called 'custom'."""
-    df = map_columns(read_table(spark, sf, ADHOC.path), ADHOC, "custom")
-    return scorable(df)
+    return load_datasets(spark, sf, adhoc=ADHOC)
 
 
 def sql_src_adhoc_override():

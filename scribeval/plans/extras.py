@@ -12,7 +12,7 @@ from ..functions.strings import fmt_fixed, sql_fmt_fixed
 from ..operators.align import align_ops, rubric_scores
 from ..operators.enrich import enrich
 from ..operators.sampling import shuffle_split
-from ..operators.selection import DatasetEntry, named_dataset, registry_of, resolve_selection, scorable
+from ..operators.selection import named_dataset, registry_of, scorable
 from ..operators.summary import eval_summary
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
@@ -29,20 +29,12 @@ REPORT_MODE = "batch"
 
 # --- selection ---------------------------------------------------------------------
 
-def load_samples(spark: SparkSession, sf: str, dataset: str | None = None,
-                 adhoc: DatasetEntry | None = None) -> DataFrame:
-    """flt_resolve_selection: the ad-hoc entry beats a name (both is an
-    error); None / "" / "all" keeps every dataset; an unknown name fails with
-    the available names when the query runs."""
-    if adhoc is not None:
-        resolve_selection([], None, adhoc)
-        df = read_table(spark, sf, adhoc.path)
-        return scorable(df.select(F.col(adhoc.audio_column).alias("sample_id"), F.lit("custom").alias("dataset"),
-                                  F.col(adhoc.text_column).alias("reference")))
-    s = scorable(fx.samples(spark, sf)).select("sample_id", "dataset", "reference")
-    if not dataset or dataset == "all":
-        return s
-    return named_dataset(s, dataset, registry_of(fx.samples(spark, sf)))
+def load_samples(spark: SparkSession, sf: str, dataset: str | None = None) -> DataFrame:
+    """Scorable samples of one dataset, or of all for None / "" / "all"; an
+    unknown name fails with the available names when the query runs."""
+    every = fx.samples(spark, sf)
+    s = scorable(every).select("sample_id", "dataset", "reference")
+    return s if not dataset or dataset == "all" else named_dataset(s, dataset, registry_of(every))
 
 
 def flt_resolve_selection(spark, sf):

@@ -38,6 +38,6 @@ def test_filter_pushed_to_scan(spark):
 
 def test_maps_and_filters_do_not_shuffle(spark):
     from scribeval.plans import corpus, tools
-    for q in (corpus.src_multi_union, corpus.flt_ignore_marker, corpus.flt_inaudible, corpus.flt_error_triage,
+    for q in (corpus.flt_ignore_marker, corpus.flt_inaudible, corpus.flt_error_triage,
               corpus.prj_route_model, corpus.str_word_count, corpus.str_latency_line, tools.top_line_hits):
         assert "Exchange" not in _plan(q(spark, SF)), q.__name__

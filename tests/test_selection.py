@@ -54,6 +54,20 @@ def test_named_dataset(spark):
         named_dataset(every, "zz", registry_of(every)).collect()
 
 
+def test_loader_follows_the_registry(spark):
+    from scribeval.plans.corpus import ADHOC, REGISTRY, load_datasets
+    sf = "/root/testdata/sf0.001"
+    every = _counts(load_datasets(spark, sf))
+    assert set(every) <= set(REGISTRY) and {"benchmark", "pages", "conversations", "documents-en"} <= set(every)
+    assert _counts(load_datasets(spark, sf, "all")) == every
+    assert _counts(load_datasets(spark, sf, "benchmark")) == {"benchmark": every["benchmark"]}
+    assert set(_counts(load_datasets(spark, sf, adhoc=ADHOC))) == {"custom"}
+    with pytest.raises(KeyError, match="Available"):
+        load_datasets(spark, sf, "zz")
+    with pytest.raises(ValueError, match="mutually exclusive"):
+        load_datasets(spark, sf, "benchmark", ADHOC)
+
+
 def test_unscorable_filters(spark):
     df = spark.createDataFrame([(1, "  ignore_time_segment_in_scoring "), (2, "word [inaudible] word"),
                                 (3, "keep me"), (4, None), (5, "INAUDIBLE")], "sample_id int, reference string")
