@@ -25,7 +25,9 @@ whole chain stays inside the JVM (whole-stage codegen, no Python worker):
     whole-word contractions only ever match whole words, so mapping them on
     tokens gives the same text as the regex form.
 
-Parity with the third-party implementation is not claimed for steps 2 and 10:
+The patterns and word tables are those of the public ``whisper-normalizer``
+package (MIT licence), stated below as fixed values.  Parity with it is not
+claimed for steps 2 and 10:
 its number grammar (hundreds, ordinals, currency words) and its 1,700-entry
 spelling table are not reproduced.  The patterns avoid look-around and back
 references so that DuckDB (RE2) runs exactly the same chain in the oracle.
