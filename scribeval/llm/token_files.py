@@ -14,8 +14,8 @@ checksums apart.  The index file beside it lists the offset of every record
 (uint64 each) and ends with their masked checksum, so records can be read in
 any order: the reader's option ``shuffle_seed`` does that.
 
-``write`` sorts by id over the whole corpus (range shuffle), encodes and
-writes one record and one index file per partition.  The manifest names each
+``write`` sorts by id over the whole corpus (range shuffle); the tasks of
+the sink encode the texts and write one record and one index file each.  The manifest names each
 partition's files, records and tokens; the reader turns the running sum of
 tokens over partitions (one number per file) into each record's place in the
 corpus.  A lost executor's partitions are encoded and written anew under new
@@ -42,6 +42,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     WriterCommitMessage)
 
 from .files import new_name, open_folder, read_manifest, remove, write_manifest
+from .memory import release
 from .tokens import encoder
 
 _HEAD = struct.Struct("<QI")
@@ -71,8 +72,10 @@ class Written(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Rows of id and text, in the order of the records."""
+
+    def __init__(self, path: str, tokenizer: str, end_id: int):
+        self.path, self.tokenizer, self.end_id = path, tokenizer, end_id
 
     def write(self, batches) -> Written:
         number = TaskContext.get().partitionId()
@@ -80,14 +83,21 @@ class TokenWriter(DataSourceArrowWriter):
         system.create_dir(folder, recursive=True)
         file, index = new_name(number, ".tok"), new_name(number, ".idx")
         offsets, at, tokens = [], 0, 0
-        with system.open_output_stream(f"{folder}/{file}") as out:
+        enc = encoder(self.tokenizer)
+        width = 2 if max(enc.tokenizer.get_vocab_size() - 1, self.end_id) < 1 << 16 else 4
+        end = np.array([self.end_id], "<u4").tobytes()
+        with system.open_output_stream(f"{folder}/{file}", buffer_size=1 << 20) as out:
             for batch in batches:
-                for i, width, ids in zip(batch["id"].to_pylist(), batch["width"].to_pylist(), batch["ids"].to_pylist()):
-                    record = frame(_PAYLOAD.pack(0 if i is None else i, i is None, width) + ids)
-                    out.write(record)
-                    offsets.append(at)
-                    at += len(record)
-                    tokens += len(ids) // width
+                names = batch["id"].to_pylist()
+                for first, found in enc.encode(batch["text"]):
+                    for k, x in enumerate(found, first):
+                        ids = np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes()
+                        record = frame(_PAYLOAD.pack(names[k] or 0, names[k] is None, width) + ids)
+                        out.write(record)
+                        offsets.append(at)
+                        at += len(record)
+                        tokens += len(ids) // width
+        release(now=True)
         raw = np.array(offsets, "<u8").tobytes()
         with system.open_output_stream(f"{folder}/{index}") as out:
             out.write(raw + _TAIL.pack(masked(raw)))
@@ -208,8 +218,9 @@ class TokenReader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """``spark.read.format("token_records")``; options: path, with_ids (true:
-    also the ids as little-endian 32-bit bytes), shuffle_seed."""
+    """``token_records``; options for reading: path, with_ids (true: also the
+    ids as little-endian 32-bit bytes), shuffle_seed; for writing: path,
+    tokenizer (its file), end_id."""
 
     @classmethod
     def name(cls):
@@ -225,23 +236,7 @@ class TokenFiles(DataSource):
                            None if seed is None else int(seed))
 
     def writer(self, schema, overwrite):
-        return TokenWriter(self.options["path"])
-
-
-def _encode(path: str, end_id: int):
-    def run(batches):
-        enc = encoder(path)
-        width = 2 if max(enc.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for first, found in enc.encode(batch["text"]):
-                ids = [x + end for x in found]
-                if width == 2:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_pydict({
-                    "id": batch["id"][first:first + len(ids)],
-                    "width": pa.array([width] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
-    return run
+        return TokenWriter(self.options["path"], self.options["tokenizer"], int(self.options.get("end_id", "0")))
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id",
@@ -250,8 +245,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
     docs.sparkSession.dataSource.register(TokenFiles)
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
         .repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(_encode(tokenizer_path, end_id), "id long, width int, ids binary") \
-        .write.format("token_records").mode("append").save(path)
+    ordered.write.format("token_records").option("tokenizer", tokenizer_path).option("end_id", str(end_id)) \
+        .mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
