@@ -78,10 +78,10 @@ def best(columns: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: i
     return partial[first].astype(np.int64), ids[found[first]]
 
 
-def _best_big(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int):
+def _best_big(rows: list[list[int]], ids: np.ndarray, query: list[int], own: int, k: int):
     """The same for integers that doubles do not hold."""
     score = [(-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(r, query)))), int(i))
-             for r, i in zip(rows.tolist(), ids.tolist()) if i != own]
+             for r, i in zip(rows, ids.tolist()) if i != own]
     score.sort()
     return np.array([-s for s, _ in score[:k]], np.int64), np.array([i for _, i in score[:k]], np.int64)
 
@@ -95,11 +95,12 @@ def _search(k: int, scale: float):
             ids = right["id"].to_numpy()
             small = asks.dtype != object and holds.dtype != object and dim < 1 << 13
             columns = np.ascontiguousarray(holds.T) if small else None
+            whole = None if small else [[int(v) for v in r] for r in holds.tolist()]
             for q, key, x in zip(left["id"].to_pylist(), left["key"].to_pylist(), asks):
                 if small:
                     scores, found = best(columns, ids, x, q, k)
                 else:
-                    scores, found = _best_big(holds.astype(object).astype(int) if holds.dtype != object else holds, ids, [int(v) for v in x], q, k)
+                    scores, found = _best_big(whole, ids, [int(v) for v in x.tolist()], q, k)
                 out[0] += [q] * len(found)
                 out[1] += [key] * len(found)
                 out[2] += found.tolist()
