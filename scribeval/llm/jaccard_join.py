@@ -87,7 +87,7 @@ def _sketch(k: int):
             buf, offsets = text_buffer(batch["text"])
             for lo, hi in text_slices(offsets):
                 h, _ = shingle_sets(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], k)
-                counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         for s in range(SKETCH_SLICES):
             yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()),
                                               "counts": [counts[s * width:(s + 1) * width].tobytes()]})

@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
 from .tokens import encoder
 
 SENTENCE_PENALTY = 2.0
@@ -159,6 +160,7 @@ def _pack(path: str, length: int, end_id: int, block_tokens: int):
                         size = 0
         if ids:
             yield flush()
+        release(now=True)
     return run
 
 

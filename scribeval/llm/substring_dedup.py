@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import release
 from .words import text_buffer, window_hashes, word_hashes, word_spans
 
 RESULT = ("n_words", "n_removed", "kept_text", "removed_spans")
@@ -106,6 +107,7 @@ def _send(window: int, ranges: int):
         block = table["_block"][0].as_py()
         rows = [(b, block, h, i, r) for b, h, i, r in _Windows(table, window, ranges).sent()]
         cols = list(zip(*rows)) if rows else [[]] * 5
+        release()
         return pa.table({"_range": pa.array(cols[0], pa.int64()), "_block": pa.array(cols[1], pa.int64()),
                          "_hashes": pa.array(cols[2], pa.binary()), "_ids": pa.array(cols[3], pa.binary()),
                          "_runs": pa.array(cols[4], pa.binary())})
@@ -133,6 +135,7 @@ def _judge(table: pa.Table) -> pa.Table:
     for x in hs:
         bits.append(np.packbits(lost[at:at + len(x)]).tobytes())
         at += len(x)
+    release()
     return pa.table({"_block": table["_block"], "_range": table["_range"], "_bits": pa.array(bits, pa.binary()),
                      "_count": pa.array([len(x) for x in hs], pa.int64())})
 
@@ -176,6 +179,7 @@ def _cut(window: int, ranges: int, columns: list[str]):
             else:
                 spans.append([])
             kept.append(b" ".join(parts))
+        release()
         place = {int(r): i for i, r in enumerate(w.rows)}
         back = np.array([place[int(x)] for x in w.same], dtype=np.int64)
         out = {c: left[c] for c in columns}

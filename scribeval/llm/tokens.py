@@ -70,46 +70,61 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class _Known:
-    """Ids of known words as sorted runs of keys: (keys, begin, size, ids)."""
+    """Ids of known words as sorted runs: (keys, begin, size, ids, used).  When
+    full, words that were never looked up again are forgotten."""
 
-    def __init__(self, most: int):
-        self.most = most
+    def __init__(self, most: int, kind: str):
+        self.most, self.kind = most, kind
         self.runs: list[tuple] = []
 
     def find(self, keys: np.ndarray):
         """(ids of all runs end to end, begin, size of each key; size -1: new)"""
         begin, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
         base = 0
-        for k, b, n, ids in self.runs:
+        for k, b, n, ids, used in self.runs:
             at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
             hit = k[at] == keys
-            begin[hit] = b[at[hit]] + base
-            size[hit] = n[at[hit]]
+            at = at[hit]
+            begin[hit] = b[at] + base
+            size[hit] = n[at]
+            used[at] = True
             base += len(ids)
-        return np.concatenate([r[3] for r in self.runs] or [np.empty(0, "<u4")]), begin, size
+        return np.concatenate([r[3] for r in self.runs] or [np.empty(0, self.kind)]), begin, size
 
     def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
         """``keys`` ascending, their ids end to end."""
         if not len(keys):
             return
-        if sum(len(r[0]) for r in self.runs) + len(keys) > self.most:
-            self.runs.clear()
-        self.runs.append((keys, np.cumsum(size) - size, size, ids))
-        if len(self.runs) > 6:
-            flat, base = np.concatenate([r[3] for r in self.runs]), np.cumsum([0] + [len(r[3]) for r in self.runs])
-            k, b, n = (np.concatenate([r[i] + (base[j] if i == 1 else 0) for j, r in enumerate(self.runs)]) if i == 1
-                       else np.concatenate([r[i] for r in self.runs]) for i in (0, 1, 2))
-            order = np.argsort(k, kind="stable")
-            self.runs = [(k[order], b[order], n[order], flat)]
+        full = sum(len(r[0]) for r in self.runs) + len(keys) > self.most
+        if full or len(self.runs) > 5:
+            self._merge(only_used=full)
+            if sum(len(r[0]) for r in self.runs) + len(keys) > self.most:
+                self.runs.clear()
+        self.runs.append((keys, (np.cumsum(size) - size).astype(np.int32), size.astype(np.int32), ids, np.zeros(len(keys), bool)))
+
+    def _merge(self, only_used: bool) -> None:
+        if not self.runs:
+            return
+        kept = [r[4] if only_used else np.ones(len(r[0]), bool) for r in self.runs]
+        ids = [r[3][_ranges(r[1][k].astype(np.int64), r[2][k].astype(np.int64))] for r, k in zip(self.runs, kept)]
+        keys, size, used = (np.concatenate([r[i][k] for r, k in zip(self.runs, kept)]) for i in (0, 2, 4))
+        self.runs.clear()
+        if not len(keys):
+            return
+        flat = np.concatenate(ids)
+        begin = (np.cumsum(size) - size).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        self.runs = [(keys[order], begin[order], size[order], flat, np.zeros(len(keys), bool) if only_used else used[order])]
 
 
 class Encoder:
-    def __init__(self, path: str, max_words: int = 3_000_000):
+    def __init__(self, path: str, max_words: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = _Known(max_words)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known = _Known(max_words, self.kind)
         one = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_break = one[0] if len(one) == 1 else None
         self.marks = self.whole(list(MARKS))
@@ -141,7 +156,7 @@ class Encoder:
                 raise ValueError("the tokenizer does not keep line breaks apart")
             sizes.append(np.diff(np.concatenate([[-1], breaks, [len(ids)]])) - 1)
             flat.append(np.delete(ids, breaks))
-        sizes, flat = np.concatenate(sizes), np.concatenate(flat)
+        sizes, flat = np.concatenate(sizes), np.concatenate(flat).astype(self.kind)
         after = kind == LINE
         if after.any():
             flat = np.insert(flat, (np.cumsum(sizes) - sizes)[after], self.line_break)
@@ -185,7 +200,7 @@ class Encoder:
             short = (ends - starts)[where] <= LONGEST_KEPT
             self.known.add(distinct[new][short], sizes[short], ids[np.repeat(short, sizes)])
             flat = np.concatenate([flat, ids])
-        raw = flat[_ranges(begin, size)].tobytes()
+        raw = flat[_ranges(begin, size)].astype("<u4").tobytes()
         stop = 4 * np.cumsum(size)
         pieces = [raw[a:b] for a, b in zip((stop - 4 * size).tolist(), stop.tolist())]
         marked = np.flatnonzero(mark >= 0)

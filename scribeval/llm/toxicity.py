@@ -60,6 +60,15 @@ class Model:
     cut: float
     held_out: dict
 
+    def lookup(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of every place, and which places have one (made once)."""
+        if not hasattr(self, "_lookup"):
+            weight, wanted = np.zeros(1 << self.bits, np.float32), np.zeros(1 << self.bits, bool)
+            weight[self.places] = self.weights
+            wanted[self.places] = True
+            self._lookup = weight, wanted
+        return self._lookup
+
     def severity(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected severity and the most probable grade."""
         if not len(self.thresholds):
@@ -111,7 +120,7 @@ def _counts(bits: int, slices: int):
             for lo, hi in text_slices(offsets):
                 doc, place = _distinct(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], bits)
                 for side in (0, 1):
-                    counts[side] += np.bincount(place[positive[lo:hi][doc] == side], minlength=1 << bits).astype(np.uint32)
+                    np.add.at(counts[side], place[positive[lo:hi][doc] == side], np.uint32(1))
         for s in range(slices):
             part = counts[:, s * width:(s + 1) * width]
             yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "n0": [int(docs[0])], "n1": [int(docs[1])],
@@ -262,10 +271,7 @@ def _judge(spark, model: Model):
     @F.arrow_udf("struct<severity: double, grade: int, toxic: boolean>")
     def judge(text: pa.Array) -> pa.Array:
         m = shared.value
-        weight = np.zeros(1 << m.bits)
-        weight[m.places] = m.weights
-        wanted = np.zeros(1 << m.bits, bool)
-        wanted[m.places] = True
+        weight, wanted = m.lookup()
         buf, offsets = text_buffer(text)
         margin = np.zeros(len(text))
         for lo, hi in text_slices(offsets):

@@ -20,9 +20,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
+from .memory import release
+
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -73,7 +75,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - first
 
 
-def text_slices(offsets: np.ndarray, max_bytes: int = 4 << 20):
+def text_slices(offsets: np.ndarray, max_bytes: int = 1 << 20):
     """(first, last + 1) of runs of texts of about ``max_bytes`` together; a
     longer text is a run of its own."""
     lo, n = 0, len(offsets) - 1
@@ -81,6 +83,7 @@ def text_slices(offsets: np.ndarray, max_bytes: int = 4 << 20):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, side="right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
+    release()
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
