@@ -27,8 +27,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Long transcripts make large rows; keep Arrow batches moderate.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Long texts make large rows; keep Arrow batches small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 
