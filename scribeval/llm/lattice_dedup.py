@@ -10,9 +10,9 @@ are probed too.  Two vectors meet where one is at home and the other at home
 or probing; all pairs that meet are verified by cosine in double precision.
 
 Links are counted, not listed.  A cell's members are cut into parts of
-bounded size; a group of one task compares two parts as a matrix product and
+bounded size; two parts are compared as a matrix product in one task, which
 returns one row per vector with its number of links and its root among the
-linked ones.  A pair that meets in several cells is counted in the smallest
+linked ones (small cells share a group of a task).  A pair that meets in several cells is counted in the smallest
 of these cells only, which both vectors' cells tell.  Cells with one member
 or nobody at home are dropped before any vector moves.
 
@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .graph import components
+from .memory import release
 from .topk_search import finite
 from .words import finalise
 
 SEED = 20_240_601
 MEMBERS = 1024
+BUCKET_ROWS = 4096
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -117,57 +119,73 @@ def _hash(tables: int, blocks: int, scale: float):
     return run
 
 
-def _roots(link: np.ndarray) -> np.ndarray:
-    """The smallest member reachable from each, by spreading labels."""
-    label = np.arange(len(link))
-    rows, cols = np.nonzero(link)
+def _meeting(x, norm, named, home, part, cell: int, across: bool, threshold: float, neighbours: int):
+    """(i, j, counted) for linked pairs i < j of two parts of one cell: where
+    ``across``, of different parts only.  ``counted`` says that this cell is
+    the smallest in which the pair meets."""
+    link = (x @ x.T) / np.outer(norm, norm) >= threshold
+    link &= home[:, None] | home[None, :]
+    if across:
+        link &= part[:, None] != part[None, :]
+    i, j = np.nonzero(np.triu(link, 1))
+    homes = named[:, ::neighbours]
+    first = np.full(len(i), np.iinfo(np.int64).max)
+    for lo in range(0, len(i), 1 << 16):
+        s = slice(lo, lo + (1 << 16))
+        for one, other in ((i[s], j[s]), (j[s], i[s])):
+            for t in range(homes.shape[1]):
+                at = homes[one, t]
+                meets = (named[other, t * neighbours:(t + 1) * neighbours] == at[:, None]).any(axis=1)
+                first[s] = np.where(meets, np.minimum(first[s], at), first[s])
+    return i, j, first == cell
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The smallest name reachable from each of n members, by spreading."""
+    label = names.copy()
     while True:
         new = label.copy()
-        np.minimum.at(new, rows, label[cols])
-        new = new[new]
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
         if (new == label).all():
             return label
         label = new
 
 
 def _count(threshold: float, neighbours: int):
+    """One bucket: small cells whole, or two parts of a large cell."""
     def run(table: pa.Table) -> pa.Table:
-        cell, a, b = (table[c][0].as_py() for c in ("cell", "a", "b"))
-        n = table.num_rows
+        cell, a, b = (table[c].to_numpy() for c in ("cell", "a", "b"))
+        order = np.lexsort((b, a, cell))
+        table = table.take(pa.array(order))
+        cell, a, b = cell[order], a[order], b[order]
+        cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
         lists = table["vector"].combine_chunks()
-        x = lists.flatten().to_numpy().reshape(n, -1)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        norm = np.sqrt((x * x).sum(axis=1))
-        named = table["cells"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-        home = table["home"].to_numpy()
-        part = table["part"].to_numpy()
-        link = (x @ x.T) / np.outer(norm, norm) >= threshold
-        np.fill_diagonal(link, False)
-        link &= home[:, None] | home[None, :]
-        if a != b:
-            link &= part[:, None] != part[None, :]
-        i, j = np.nonzero(np.triu(link))
-        homes = named[:, ::neighbours]
-        first = np.full(len(i), np.iinfo(np.int64).max)
-        for lo in range(0, len(i), 1 << 16):
-            s = slice(lo, lo + (1 << 16))
-            for one, other in ((i[s], j[s]), (j[s], i[s])):
-                for t in range(homes.shape[1]):
-                    at = homes[one, t]
-                    meets = (named[other, t * neighbours:(t + 1) * neighbours] == at[:, None]).any(axis=1)
-                    first[s] = np.where(meets, np.minimum(first[s], at), first[s])
-        counted = first == cell
-        copies = table["copies"].to_numpy()
-        links = np.bincount(i[counted], weights=copies[j[counted]], minlength=n) + np.bincount(
-            j[counted], weights=copies[i[counted]], minlength=n)
-        reps = table["rep"].to_numpy()
-        order = np.argsort(reps, kind="stable")
-        root = np.empty(n, np.int64)
-        root[order] = reps[order][_roots(link[np.ix_(order, order)])]
-        some = np.flatnonzero(link.any(axis=1))
+        sizes = lists.value_lengths().to_numpy()
+        flat, begin = lists.flatten().to_numpy(), np.cumsum(sizes) - sizes
+        named = table["cells"].combine_chunks().flatten().to_numpy().reshape(len(cell), -1)
+        home, part, copies, reps = (table[c].to_numpy() for c in ("home", "part", "copies", "rep"))
+        links = np.zeros(len(cell), np.int64)
+        root = reps.copy()
+        linked = np.zeros(len(cell), bool)
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)]):
+            if hi - lo < 2:
+                continue
+            s = slice(lo, hi)
+            x = flat[begin[lo]:begin[hi - 1] + sizes[hi - 1]].reshape(hi - lo, -1)  # a cell holds one length
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            i, j, counted = _meeting(x, np.sqrt((x * x).sum(axis=1)), named[s], home[s], part[s], cell[lo], a[lo] != b[lo],
+                                     threshold, neighbours)
+            if len(i):
+                ci, cj, held = i[counted], j[counted], copies[s]
+                links[s] = np.bincount(ci, weights=held[cj], minlength=hi - lo) + np.bincount(cj, weights=held[ci], minlength=hi - lo)
+                root[s] = _roots(hi - lo, i, j, reps[s])
+                linked[lo + i] = linked[lo + j] = True
+        release()
+        some = np.flatnonzero(linked)
         take = pa.array(some)
         return pa.table({"h1": table["h1"].take(take), "h2": table["h2"].take(take), "rep": pa.array(reps[some]),
-                         "links": pa.array(links[some].astype(np.int64)), "root": pa.array(root[some])})
+                         "links": pa.array(links[some]), "root": pa.array(root[some])})
     return run
 
 
@@ -191,10 +209,13 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     live = spots.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("at_home")).where(
         "n > 1 AND at_home > 0").select("cell", F.ceil(F.col("n") / MEMBERS).cast("long").alias("parts"))
     placed = spots.join(live, "cell").withColumn("part", F.pmod(F.xxhash64("h1", "h2"), "parts"))
-    pairs = placed.select("h1", "h2", "cell", "home", "part", F.explode(F.sequence(
+    pairs = placed.select("h1", "h2", "cell", "home", "part", "parts", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).select(
-        "h1", "h2", "cell", "home", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    met = materialize(pairs.join(hashed, ["h1", "h2"]).groupBy("cell", "a", "b").applyInArrow(
+        "h1", "h2", "cell", "home", "part", "parts", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    # small cells share a task's group; a pair of parts of a large cell has its own
+    buckets = max(1, hashed.count() * tables // BUCKET_ROWS)
+    bucket = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(buckets))).otherwise(F.xxhash64("cell", "a", "b"))
+    met = materialize(pairs.withColumn("bucket", bucket).join(hashed, ["h1", "h2"]).groupBy("bucket").applyInArrow(
         _count(threshold, neighbours), "h1 long, h2 long, rep long, links long, root long"), "links")
     counts = met.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     comps = components(met.where("rep >= 0 AND root >= 0").select(F.col("rep").alias("u"), F.col("root").alias("v"))).toDF("rep", "component")
