@@ -201,7 +201,7 @@ def _empty(left: pa.Table, columns: list[str]) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
                    carry: list[str] | None = None, keep_text: bool = True,
-                   block_bytes: int = 4 << 20, range_bytes: int = 8 << 20) -> DataFrame:
+                   block_bytes: int = 2 << 20, range_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` (the id, the text if ``keep_text``, and the columns in
     ``carry``; default: all) with n_words, n_removed, kept_text (kept words joined by one space) and
     removed_spans (maximal runs of removed words)."""
