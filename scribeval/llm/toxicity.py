@@ -17,7 +17,8 @@ Fitting (Spark does the counting; the sample bound is a parameter):
    by how many tell-tale features they hold (quantiles among positives);
 4. one task fits weights and thresholds on the kept features of four fifths
    of the sample; the rejection cut is the expected severity with the best F1
-   on the held-out fifth (midway between the classes where they separate).
+   on the held-out fifth, among those that keep the wanted precision (midway
+   between the classes where they separate).
 
 Scoring is one Arrow function over all whole texts; nothing is shuffled.
 
@@ -193,17 +194,20 @@ def fit_cumulative_link(row: np.ndarray, col: np.ndarray, n_cols: int, grades: n
     return params[:n_cols], params[n_cols] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
-def _best_cut(severity: np.ndarray, positive: np.ndarray) -> float:
-    """The cut with the best F1; midway between the neighbours."""
+def _best_cut(severity: np.ndarray, positive: np.ndarray, precision: float) -> float:
+    """The cut with the best F1 among those of which at least ``precision``
+    of the rejections are right, midway between its neighbours; none: infinity."""
     order = np.argsort(-severity, kind="stable")
     s, hit = severity[order], np.cumsum(positive[order])
     ends = np.flatnonzero(np.append(s[1:] != s[:-1], True))
-    f1 = 2 * hit[ends] / (ends + 1 + positive.sum())
+    f1 = np.where(hit[ends] >= precision * (ends + 1), 2 * hit[ends] / (ends + 1 + positive.sum()), 0.0)
+    if not f1.any():
+        return float("inf")
     best = ends[int(np.argmax(f1))]
     return float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best] / 2)
 
 
-def _train(places: np.ndarray, z: np.ndarray, levels: int):
+def _train(places: np.ndarray, z: np.ndarray, levels: int, precision: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
         grades = table["grade"].to_numpy().astype(np.int64)
@@ -225,7 +229,7 @@ def _train(places: np.ndarray, z: np.ndarray, levels: int):
         model = Model(0, places, w, t, 0.0, {})
         severity, _ = model.severity(np.bincount(row, weights=w[col], minlength=len(grades)))
         check = held if held.any() else ~held
-        cut = _best_cut(severity[check], grades[check] > 0)
+        cut = _best_cut(severity[check], grades[check] > 0, precision)
         said, true = severity[check] >= cut, grades[check] > 0
         figures = {"rows": int(check.sum()), "toxic": int(true.sum()), "hits": int((said & true).sum()), "said": int(said.sum())}
         return pa.table({"weights": [w.tobytes()], "thresholds": [t.tobytes()], "cut": [cut], "figures": [json.dumps(figures)]})
@@ -234,8 +238,9 @@ def _train(places: np.ndarray, z: np.ndarray, levels: int):
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         max_rows: int = 20_000, bits: int = 20, n_features: int = 4096, levels: int = 3,
-        least_z: float = 3.0, slices: int = 16) -> Model:
-    """Fit on at most ``max_rows`` labelled documents."""
+        least_z: float = 3.0, precision: float = 0.9, slices: int = 16) -> Model:
+    """Fit on at most ``max_rows`` labelled documents.  Where no cut reaches
+    ``precision`` on held-out rows (too few labels), nothing is rejected."""
     empty = Model(bits, np.empty(0, np.int64), np.empty(0), np.empty(0), float("inf"), {})
     sample = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("grade"))
               .where("grade >= 0 AND _id IS NOT NULL")
@@ -255,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     z = np.array([r["z"] for r in chosen])
     kept = rows.mapInArrow(_kept(bits, places), "key long, grade int, places array<long>")
     fitted = kept.groupBy(F.lit(1).alias("all")).applyInArrow(
-        lambda t: _train(places, z, levels)(t) if (t["grade"].to_numpy() > 0).any() and (t["grade"].to_numpy() == 0).any()
+        lambda t: _train(places, z, levels, precision)(t) if (t["grade"].to_numpy() > 0).any() and (t["grade"].to_numpy() == 0).any()
         else pa.table({"weights": pa.array([], pa.binary()), "thresholds": pa.array([], pa.binary()),
                        "cut": pa.array([], pa.float64()), "figures": pa.array([], pa.string())}),
         "weights binary, thresholds binary, cut double, figures string").collect()
