@@ -15,10 +15,12 @@ Fitting (Spark does the counting; the sample bound is a parameter):
    log-odds z-score; the ``n_features`` with the largest are kept;
 3. where labels are binary, positives are split into ``levels - 1`` grades
    by how many tell-tale features they hold (quantiles among positives);
-4. one task fits weights and thresholds on the kept features of four fifths
-   of the sample; the rejection cut is the expected severity with the best F1
-   on the held-out fifth, among those that keep the wanted precision (midway
-   between the classes where they separate).
+4. one task fits weights and thresholds on the kept features of the sample,
+   and again without each fifth of either class in turn, which gives every
+   row a severity by a model that was not fitted on it; the rejection cut is
+   the one with the best F1 on these severities, lessened in proportion where
+   less than the wanted precision of its rejections are right (midway between
+   the classes where they separate).  It is always finite.
 
 Scoring is one Arrow function over all whole texts; nothing is shuffled.
 
@@ -195,18 +197,27 @@ def fit_cumulative_link(row: np.ndarray, col: np.ndarray, n_cols: int, grades: n
 
 
 def _best_cut(severity: np.ndarray, positive: np.ndarray, precision: float) -> float:
-    """The cut with the best F1 among those of which at least ``precision``
-    of the rejections are right, midway between its neighbours; none: infinity."""
+    """The cut with the best F1, which counts in proportion where less than
+    ``precision`` of the rejections are right, midway between its neighbours."""
     order = np.argsort(-severity, kind="stable")
     s, hit = severity[order], np.cumsum(positive[order])
     ends = np.flatnonzero(np.append(s[1:] != s[:-1], True))
-    f1 = np.where(hit[ends] >= precision * (ends + 1), 2 * hit[ends] / (ends + 1 + positive.sum()), 0.0)
-    if not f1.any():
-        return float("inf")
-    best = ends[int(np.argmax(f1))]
+    f1 = 2 * hit[ends] / (ends + 1 + positive.sum())
+    best = ends[int(np.argmax(f1 * np.minimum(hit[ends] / (ends + 1) / precision, 1.0)))]
     return float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best] / 2)
 
 
+def _folds(positive: np.ndarray, most: int = 5) -> np.ndarray:
+    """Fold of each row: either class is dealt in turn, so each fold leaves
+    rows of both to fit on; all -1 where a class has a single row."""
+    n = min(most, int(positive.sum()), int((~positive).sum()))
+    fold = np.full(len(positive), -1)
+    if n > 1:
+        for side in (positive, ~positive):
+            fold[side] = np.arange(side.sum()) % n
+    return fold
+
+
 def _train(places: np.ndarray, z: np.ndarray, levels: int, precision: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
@@ -220,18 +231,24 @@ def _train(places: np.ndarray, z: np.ndarray, levels: int, precision: float):
             steps = np.quantile(telling[grades > 0], np.arange(1, levels - 1) / (levels - 1))
             grades = np.where(grades > 0, 1 + (telling[:, None] > steps).sum(axis=1), 0)
         top = int(grades.max()) + 1
-        held = (table["key"].to_numpy() % 5) == 0
-        if not (grades[~held] > 0).any() or not (grades[held] > 0).any():
-            held = np.zeros(len(grades), bool)
-        renumber = np.cumsum(~held) - 1
-        use = ~held[row]
-        w, t = fit_cumulative_link(renumber[row[use]], col[use], len(places), grades[~held], top)
-        model = Model(0, places, w, t, 0.0, {})
-        severity, _ = model.severity(np.bincount(row, weights=w[col], minlength=len(grades)))
-        check = held if held.any() else ~held
-        cut = _best_cut(severity[check], grades[check] > 0, precision)
-        said, true = severity[check] >= cut, grades[check] > 0
-        figures = {"rows": int(check.sum()), "toxic": int(true.sum()), "hits": int((said & true).sum()), "said": int(said.sum())}
+
+        def fitted(held: np.ndarray):
+            """Weights and thresholds without the held rows, severity of all."""
+            renumber = np.cumsum(~held) - 1
+            use = ~held[row]
+            w, t = fit_cumulative_link(renumber[row[use]], col[use], len(places), grades[~held], top)
+            margin = np.bincount(row, weights=w[col], minlength=len(grades))
+            return w, t, Model(0, places, w, t, 0.0, {}).severity(margin)[0]
+
+        true = grades > 0
+        w, t, severity = fitted(np.zeros(len(grades), bool))
+        fold = _folds(true)
+        for k in range(fold.max() + 1):
+            held = fold == k
+            severity[held] = fitted(held)[2][held]
+        cut = _best_cut(severity, true, precision)
+        said = severity >= cut
+        figures = {"rows": len(grades), "toxic": int(true.sum()), "hits": int((said & true).sum()), "said": int(said.sum())}
         return pa.table({"weights": [w.tobytes()], "thresholds": [t.tobytes()], "cut": [cut], "figures": [json.dumps(figures)]})
     return run
 
@@ -239,8 +256,7 @@ def _train(places: np.ndarray, z: np.ndarray, levels: int, precision: float):
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         max_rows: int = 20_000, bits: int = 20, n_features: int = 4096, levels: int = 3,
         least_z: float = 3.0, precision: float = 0.9, slices: int = 16) -> Model:
-    """Fit on at most ``max_rows`` labelled documents.  Where no cut reaches
-    ``precision`` on held-out rows (too few labels), nothing is rejected."""
+    """Fit on at most ``max_rows`` labelled documents."""
     empty = Model(bits, np.empty(0, np.int64), np.empty(0), np.empty(0), float("inf"), {})
     sample = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("grade"))
               .where("grade >= 0 AND _id IS NOT NULL")
