@@ -7,7 +7,11 @@ blanks and line breaks inside it can be cut into words (each with the blank
 or line break before it), and equal words have equal ids: each distinct word
 is encoded once, by the library, and its ids are copied to every place.
 Texts with any other white space (runs, tabs, blanks at either end, blanks
-outside ASCII) go to the library whole.  ``tests/llm`` compares both ways.
+outside ASCII) go to the library whole, and so do texts that hold the content
+of an added token (``<|endoftext|>``).  ``tests/llm`` compares both ways.
+
+``encoder`` gives the ids that the library gives for the file as it is, where
+an added token's content is that token; a plain ``Encoder`` takes it as text.
 
 Words are known by their 64-bit hash; the table of known words is bounded and
 emptied when full.
@@ -38,7 +42,7 @@ _encoders: dict = {}
 def encoder(path: str) -> "Encoder":
     """The process-wide encoder of a tokenizer file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added_as_text=False)
     return _encoders[path]
 
 
@@ -118,15 +122,17 @@ class _Known:
 
 
 class Encoder:
-    def __init__(self, path: str, max_words: int = 2_000_000):
+    def __init__(self, path: str, max_words: int = 2_000_000, added_as_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if added_as_text:
+            self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known = _Known(max_words, self.kind)
         one = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_break = one[0] if len(one) == 1 else None
+        self.line_break = one[0] if len(one) == 1 and not any(b"\n" in t for t in self.added) else None
         self.marks = self.whole(list(MARKS))
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -134,6 +140,16 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _added(self, buf: np.ndarray) -> np.ndarray:
+        """Places where an added token's content begins."""
+        raw, found = buf.tobytes(), []
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(content, at + 1)
+        return np.array(found, np.int64)
+
     def _new(self, buf: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """(sizes, ids end to end) of words.  They are encoded as the lines of
         texts: the break between lines is one piece and one id, by which the
@@ -184,6 +200,7 @@ class Encoder:
         wide = _wide_blanks(buf)
         if len(wide):
             odd[np.searchsorted(offsets, wide, side="right") - 1] = True
+        odd[np.searchsorted(offsets, self._added(buf), side="right") - 1] = True
         use = ~odd[doc] if odd.any() else slice(None)
         starts, ends, kind, doc = starts[use], ends[use], kind[use], doc[use]
         mark = np.where((ends - starts >= 2) & _LETTER[buf[ends - 2]], _MARK[buf[ends - 1]], -1) if len(ends) else np.empty(0, np.int64)

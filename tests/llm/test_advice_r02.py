@@ -1,11 +1,16 @@
 """Places where less than the whole job was done."""
 
+import zlib
+
 import duckdb
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scribeval.llm import toxicity
+from scribeval.llm import packing, queries, tokens, toxicity
 from scribeval.sources.tables import table_path
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +52,28 @@ def test_pipeline_drops_toxic_documents(spark):
     labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{table_path(SF, 'labels')}'").fetchall())
     toxic = {r.doc_id for r in docs.select("doc_id").collect() if labels.get(r.doc_id) == 1}
     assert len(toxic - kept) >= len(toxic) / 2
+
+
+# -- 1, 4 token ids: added tokens --------------------------------------------------
+
+ADDED = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b, c.", "plain words", None, "",
+         "x <|endoftext|>", "<|endoftext|> <|endoftext|>\ny", "<|endof", "text|> after", "hello world, again."]
+
+
+def test_ids_are_those_of_the_library_as_it_loads():
+    path = public_tokenizers.path(queries.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in ADDED]
+    enc = tokens.encoder(path)
+    for size in (1 << 20, 20):
+        assert [x for _, part in enc.encode(pa.array(ADDED), max_bytes=size) for x in part] == want
+    assert np.frombuffer(want[0], "<u4").tolist() == [31373, 220, 50256, 995]
+
+
+def test_packing_keeps_added_tokens(spark):
+    path = public_tokenizers.path(queries.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(docs, path).collect()}
+    ids = [np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for t in ADDED]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
