@@ -11,7 +11,8 @@ return the columns of ``documents``.
 4. mixing: documents are repeated or left out to meet the sources' targets,
    and sorted by training position;
 5. packing: the texts, in that order, become sequences of at most 1024 tokens
-   (one row per piece).
+   (one row per piece).  Files are read in any order, so the written order is
+   restored first, by the part files' numbers and the rows' places in them.
 
 There is no SQL twin (the first stage is a fitted model); ``tests/llm`` holds
 every stage against a brute-force version.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +60,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.training_order(docs)
 
 
+def as_written(docs: DataFrame) -> DataFrame:
+    """The ids and texts of reread Parquet files in the order they were
+    written; rows that come from no files keep their partitions' order."""
+    name = F.col("_metadata.file_name")
+    try:
+        rows = docs.select("doc_id", "text", F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long").alias("_part"),
+                           name.alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return docs
+    order = ["_part", "_file", "_at"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), length=1024)
+    return packing.pack(as_written(docs), public_tokenizers.path(TOKENIZER), length=1024)
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -77,3 +78,31 @@ def test_packing_keeps_added_tokens(spark):
     got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack(docs, path).collect()}
     ids = [np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for t in ADDED]
     assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
+# -- pipeline: the training order reaches the sequences ------------------------------
+
+def test_packing_keeps_the_written_order_of_several_files(spark, tmp_path):
+    # later part files are larger, and are read first
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(
+        F.lit(0).cast("long"), F.col("id") % 50 + F.floor(F.col("id") / 4)), lambda k: F.concat(F.lit("w"), F.xxhash64("id", k).cast("string")))).alias("text"))
+    docs.withColumn("at", F.xxhash64("doc_id") % 5 + F.col("doc_id")).repartitionByRange(12, "at").sortWithinPartitions(
+        "at", "doc_id").drop("at").write.parquet(f"{tmp_path}/mixed")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) == 12
+    written = [i for f in sorted((tmp_path / "mixed").glob("part-*")) for (i,) in duckdb.sql(
+        f"SELECT doc_id FROM read_parquet('{f}', file_row_number = true) ORDER BY file_row_number").fetchall()]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        rows = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/mixed"), SF).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = [r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert got == written
+
+
+def test_packing_takes_rows_of_no_file(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in corpus_pipeline.pack_sequences(spark, docs, SF).collect()] == [1, 2]
