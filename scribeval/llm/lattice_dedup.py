@@ -23,8 +23,11 @@ and tables.
 Edge cases: vectors that are null, zero or hold null or non-finite components
 link with nothing and are their own component; vectors meet only vectors of
 their own length; rows with equal vectors are linked to each other; rows that
-repeat an id are vectors of their own and share its component; a row with a
-null id is counted as a vector but is no component's name.
+repeat an id are vectors of their own and share its component; ids may be
+negative; a row with a null id is counted as a vector and links its neighbours
+into one component, but is no component's name: vectors without any id stand
+in the components under numbers above the largest id (an error where there
+are none left).
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import range_row_number
 from ..session import materialize
 from .graph import components
 from .memory import release
@@ -43,6 +47,7 @@ from .topk_search import finite
 from .words import finalise
 
 SEED = 20_240_601
+LARGEST = (1 << 63) - 1
 MEMBERS = 1024
 BUCKET_ROWS = 4096
 
@@ -189,6 +194,19 @@ def _count(threshold: float, neighbours: int):
     return run
 
 
+def _numbered(hashed: DataFrame, nameless: int, top: int) -> DataFrame:
+    """Classes with only null ids get numbers of their own above all ids, so
+    that they join components but any id there is smaller."""
+    if not nameless:
+        return hashed
+    if top + nameless > LARGEST:
+        raise ValueError("no numbers above the largest id are left for vectors with a null id")
+    numbers = range_row_number(hashed.where("rep IS NULL").select("h1", "h2"), ["h1", "h2"]).select(
+        "h1", "h2", (F.col("rn") + F.lit(top).cast("long")).alias("_number"))
+    return materialize(hashed.join(numbers, ["h1", "h2"], "left").select(
+        "h1", "h2", F.coalesce("rep", "_number").alias("rep"), "copies", "vector", "cells"), "cells")
+
+
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
           tables: int = 8, blocks: int = 2, scale: float = 3.0) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
@@ -200,10 +218,12 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rows = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit("second"), "vector"))
     classes = rows.where("vector IS NOT NULL").groupBy("h1", "h2").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector")).select(
-        "h1", "h2", F.coalesce("rep", F.lit(-1).cast("long")).alias("rep"), "copies", "vector")
+        "h1", "h2", "rep", "copies", "vector")
     hashed = materialize(classes.mapInArrow(
         _hash(tables, blocks, scale),
         "h1 long, h2 long, rep long, copies long, vector array<double>, cells array<long>"), "cells")
+    sizes = hashed.agg(F.count("*").alias("all"), F.count("rep").alias("named"), F.max("rep").alias("top")).first()
+    hashed = _numbered(hashed, sizes["all"] - sizes["named"], 0 if sizes["top"] is None else sizes["top"])
     spots = hashed.select("h1", "h2", F.posexplode("cells").alias("pos", "cell")).groupBy("h1", "h2", "cell").agg(
         F.max(F.col("pos") % neighbours == 0).alias("home"))
     live = spots.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("at_home")).where(
@@ -213,12 +233,12 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).select(
         "h1", "h2", "cell", "home", "part", "parts", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
     # small cells share a task's group; a pair of parts of a large cell has its own
-    buckets = max(1, hashed.count() * tables // BUCKET_ROWS)
+    buckets = max(1, sizes["all"] * tables // BUCKET_ROWS)
     bucket = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(buckets))).otherwise(F.xxhash64("cell", "a", "b"))
     met = materialize(pairs.withColumn("bucket", bucket).join(hashed, ["h1", "h2"]).groupBy("bucket").applyInArrow(
         _count(threshold, neighbours), "h1 long, h2 long, rep long, links long, root long"), "links")
     counts = met.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
-    comps = components(met.where("rep >= 0 AND root >= 0").select(F.col("rep").alias("u"), F.col("root").alias("v"))).toDF("rep", "component")
+    comps = components(met.select(F.col("rep").alias("u"), F.col("root").alias("v"))).toDF("rep", "component")
     known = hashed.select("h1", "h2", "rep", "copies").join(counts, ["h1", "h2"], "left").join(comps, "rep", "left").select(
         "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
         F.coalesce("component", "rep").alias("component"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scribeval.llm import packing, queries, tokens, toxicity
+from scribeval.llm import lattice_dedup, packing, queries, tokens, toxicity
 from scribeval.sources.tables import table_path
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +106,49 @@ def test_packing_keeps_the_written_order_of_several_files(spark, tmp_path):
 def test_packing_takes_rows_of_no_file(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").coalesce(1)
     assert [r.doc_id for r in corpus_pipeline.pack_sequences(spark, docs, SF).collect()] == [1, 2]
+
+
+# -- 7 lattice: null and negative ids ------------------------------------------------
+
+def _near(n, seed, spread=0.01):
+    """Unit vectors in a tight group of their own."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal(64)
+    x = x / np.linalg.norm(x) + spread * r.standard_normal((n, 64)) / 8
+    return x.tolist()
+
+
+def _found(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice_dedup.dedup(df).collect()),
+                  key=lambda t: (t[0] is None, t[0] or 0))
+
+
+def test_lattice_null_ids_keep_their_neighbours_together(spark):
+    one, other, alone = _near(5, 1), _near(4, 2), _near(2, 3)
+    rows = [(7, one[0]), (5, one[1]), (9, one[2]), (None, one[3]), (None, one[4]), (20, other[0]), (21, other[1]),
+            (None, other[2]), (1 << 62, other[3]), (None, alone[0]), (None, alone[1])]
+    got = _found(spark, rows)
+    assert got[:6] == [(5, 4, 5, True), (7, 4, 5, False), (9, 4, 5, False), (20, 3, 20, True), (21, 3, 20, False),
+                       (1 << 62, 3, 20, False)]
+    assert sorted(got[6:], key=repr) == sorted([(None, n, None, None) for n in (4, 4, 3, 1, 1)], key=repr)
+
+
+def test_lattice_null_id_joins_what_links_only_through_it(spark):
+    # the ends are at cosine 0.92 of each other, the middle at 0.98 of both
+    at = [np.eye(64)[0] * np.cos(a) + np.eye(64)[1] * np.sin(a) for a in (-0.2, 0.0, 0.2)]
+    got = _found(spark, [(3, at[0].tolist()), (None, at[1].tolist()), (8, at[2].tolist())])
+    assert got == [(3, 1, 3, True), (8, 1, 3, False), (None, 2, None, None)]
+
+
+def test_lattice_negative_ids(spark):
+    one, other = _near(4, 4), _near(3, 5)
+    got = _found(spark, [(-1, one[0]), (-9, one[1]), (4, one[2]), (None, one[3]), (-2, other[0]), (6, other[1]), (8, other[2])])
+    assert got == [(-9, 3, -9, True), (-2, 2, -2, True), (-1, 3, -9, False), (4, 3, -9, False), (6, 2, -2, False),
+                   (8, 2, -2, False), (None, 3, None, None)]
+
+
+def test_lattice_says_when_no_number_is_left(spark):
+    one = _near(2, 6)
+    with pytest.raises(ValueError, match="null id"):
+        _found(spark, [((1 << 63) - 1, one[0]), (None, one[1])])
