@@ -128,3 +128,67 @@ SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(digits, '') AS paylo
   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM bits
 """
+
+IMPORTANCE = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS crc
+  FROM (SELECT unnest(range(256))::BIGINT AS b)),
+texts AS (
+  SELECT 0 AS side, doc_id AS id, row_number() OVER () AS r, text FROM documents
+  UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark),
+w AS (
+  SELECT side, id, r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+f AS (
+  SELECT side, r, array_to_string(ws[i:i + n], ' ') AS k
+  FROM (SELECT side, r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (SELECT unnest([0, 1, 2]) AS n)
+  WHERE i + n <= len(ws)),
+g AS (SELECT side, r, k, count(*) AS c FROM f GROUP BY ALL),
+names AS (
+  SELECT k, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(k) + 1), lambda p: ('0x' || substr(h, (2 * p - 1)::INT, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT k, hex(encode(k)) AS h FROM (SELECT DISTINCT k FROM g)), (SELECT crc AS t FROM crc_table)),
+n AS (
+  SELECT b.bucket, coalesce(sum(c) FILTER (side = 0), 0)::BIGINT AS s, coalesce(sum(c) FILTER (side = 1), 0)::BIGINT AS t
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN names USING (bucket) LEFT JOIN g USING (k) GROUP BY b.bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+d AS (
+  SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (('0x' || sha256('42:' || coalesce(id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u
+  FROM w LEFT JOIN (
+    SELECT r, sum(c) AS n_features, sum(c * gain) AS weight FROM g JOIN names USING (k) JOIN gain USING (bucket)
+    WHERE side = 0 GROUP BY r) USING (r)
+  WHERE side = 0),
+e AS (SELECT doc_id, n_words, n_features, weight, (weight + floor(-1000 * ln(-ln(u))))::BIGINT AS score FROM d),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) OVER (PARTITION BY n_words >= 20) AS n FROM e)
+SELECT doc_id, n_features, weight, score,
+  (CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END)::BIGINT AS rank FROM o
+"""
+
+HARD_NEGATIVES = f"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND {FINITE}),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other,
+    list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score, (row_number() OVER w)::INT AS positive_rank
+  FROM pairs WHERE same
+  WINDOW w AS (PARTITION BY anchor_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other AS negative_id, positive_score,
+  score AS negative_score, positive_rank
+FROM p JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_rank ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10
+"""

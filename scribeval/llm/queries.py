@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from ..sources.tables import read_table
 from . import oracle
-from . import jaccard_join, lattice_dedup, mixing, packing, token_files, topk_search, toxicity, url_filter, warc
+from . import hard_negatives, importance, jaccard_join, lattice_dedup, mixing, packing, quality, token_files, topk_search, toxicity, url_filter, warc
 from .substring_dedup import remove_repeats
 
 
@@ -97,6 +97,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", *toxicity.RESULT)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of 5 % of ``documents`` towards the texts of ``benchmark``."""
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
+                               percent=5, least_words=20, seed=42)
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by the model fitted on the labels that are
+    not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector, some labels made wrong first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label,
+                               positives=5, negatives=10, least=30, most=90, scale=256.0)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_topk_search": op2_topk_search,
@@ -108,6 +130,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE = {
@@ -118,4 +143,6 @@ ORACLE = {
     "op5_mixing": oracle.MIXING,
     "op6_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_jaccard_join": oracle.JACCARD_JOIN,
+    "op11_importance_resampling": oracle.IMPORTANCE,
+    "op13_hard_negatives": oracle.HARD_NEGATIVES,
 }
