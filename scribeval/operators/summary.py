@@ -11,9 +11,8 @@ Kept semantics:
 * latency: avg, P95 (linear interpolation, as numpy), min, max over the
   values that are present.
 
-P95 is exact and computed from value counts: equal values are counted
-map-side, and the running counts over a group's distinct values give the two
-neighbours of the quantile.  It is made only when asked for.
+P95 is exact and found by histogram refinement (``quantile.py``), without a
+sort or a window over the values.  It is made only when asked for.
 """
 
 from __future__ import annotations
@@ -21,27 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUND = 9
-
-
-def exact_percentile(df: DataFrame, value_col: str, key_cols: list[str], p: float,
-                     out: str) -> DataFrame:
-    """Per key: the p-quantile of ``value_col`` with linear interpolation
-    (numpy ``percentile`` / SQL ``quantile_cont``); nulls ignored."""
-    counts = df.where(F.col(value_col).isNotNull()).groupBy(*key_cols, value_col).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*key_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    seen = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
-        "_all", F.sum("_n").over(Window.partitionBy(*key_cols)))
-    # 0-based place of the quantile among the sorted values
-    place = (F.col("_all") - 1) * F.lit(p)
+from .quantile import exact_percentile
 
-    def value_at(i):
-        return F.min(F.when(F.col("_upto") > i, F.col(value_col)))
-
-    low = F.floor(place)
-    agg = seen.groupBy(*key_cols).agg(value_at(low).alias("_vlo"), value_at(F.least(low + 1, F.col("_all") - 1)).alias("_vhi"),
-                                      F.first(place - low).alias("_frac"))
-    return agg.select(*key_cols, (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias(out))
+ROUND = 9
 
 
 def _latency_aggs(col: str, prefix: str):
@@ -89,7 +70,7 @@ def eval_summary(results: DataFrame, laser: bool = False, latency_p: float | Non
         *[c for c in rolled.columns if c not in ("_ds", "_gid", "_nds")],
     )
     if latency_p is not None:
-        # one pass over value counts for both metrics and both levels
+        # both metrics and both levels in the same rounds
         vals = tagged.where(ok).select("_ds", F.explode(F.array(
             F.struct(F.lit("ttfb").alias("metric"), F.col("ttfb").alias("v")),
             F.struct(F.lit("ttfs").alias("metric"), F.col("ttfs").alias("v")))).alias("m")).select(

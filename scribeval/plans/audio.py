@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import audio as A
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..streaming.chunk_windows import chunk_times, chunk_windows, stage_chunks
 
 R = 9  # decimals kept in double arrays
 
@@ -70,10 +71,10 @@ def snk_pcm_chunks(spark, sf):
 
 
 def st_chunk_tumbling(spark, sf):
-    """Batch twin of the 100 ms tumbling window over chunk send times."""
-    ch = chunks(spark, sf)
-    return ch.groupBy("clip_id", F.floor(F.col("offset_ms") / 100).alias("window_no")).agg(
-        F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"))
+    """Streaming: chunks by send time in event-time windows of 100 ms."""
+    feed = stage_chunks(chunk_times(chunks(spark, sf)), f"{checkpoint_dir(spark).rstrip('/')}/chunk_feed/{uuid.uuid4().hex}")
+    return chunk_windows(spark, feed).windows.select(
+        "clip_id", F.floor(F.unix_millis("start") / 100).alias("window_no"), "n_chunks", "n_bytes")
 
 
 def q_audio_prepare(spark, sf):

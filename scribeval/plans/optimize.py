@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.sampling import one_row_join, shuffle_split
+from ..operators.sampling import one_row_join, shuffle_split, train_split
 from ..operators.selection import scorable
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
@@ -46,15 +46,17 @@ def candidates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(CANDIDATE_PROMPTS)), "candidate_id int, prompt string")
 
 
-def split_samples(spark: SparkSession, sf: str) -> DataFrame:
+def split_samples(spark: SparkSession, sf: str, ranked: bool = False) -> DataFrame:
+    """The scorable samples with their split; ``ranked``: numbered as well."""
     s = scorable(fx.samples(spark, sf)).select("sample_id", "dataset")
-    return shuffle_split(s)
+    return shuffle_split(s) if ranked else train_split(s)
 
 
-def candidate_scores(spark: SparkSession, sf: str, split: str = "val") -> DataFrame:
-    s = split_samples(spark, sf).where(F.col("split") == split).select("sample_id", "audio_id", "shuffle_rank")
+def candidate_scores(spark: SparkSession, sf: str, split: str = "val", ranked: bool = False) -> DataFrame:
+    rank = ["shuffle_rank"] if ranked else []
+    s = split_samples(spark, sf, ranked).where(F.col("split") == split).select("sample_id", *rank)
     ids = F.array(*[F.lit(i) for i in range(len(CANDIDATE_PROMPTS))])
-    pairs = s.select("sample_id", "audio_id", "shuffle_rank", F.explode(ids).alias("candidate_id"))
+    pairs = s.select("sample_id", *rank, F.explode(ids).alias("candidate_id"))
     key = F.concat(F.col("candidate_id").cast("string"), F.lit("#"), F.col("sample_id").cast("string"))
     score = F.conv(F.substr(F.md5(key), F.lit(1), F.lit(4)), 16, 10).cast("double") / F.lit(65535.0)
     # the candidate table has one row per prompt: broadcast by construction
@@ -114,7 +116,7 @@ def flt_skip_perfect(spark, sf):
 def lim_minibatch(spark, sf):
     """Reflection minibatch: the first min(train, 100) non-perfect training
     samples in shuffled order."""
-    c = candidate_scores(spark, sf, split="train").where((F.col("candidate_id") == 0) & (F.col("score") < 1.0))
+    c = candidate_scores(spark, sf, split="train", ranked=True).where((F.col("candidate_id") == 0) & (F.col("score") < 1.0))
     return c.orderBy("shuffle_rank").limit(MINIBATCH).select("sample_id", "shuffle_rank")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.turns import TIMEOUT_MESSAGE, seconds_between, session_summary, sessionize
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
-from ..streaming.turn_sessions import run_turn_sessions, stage_events
+from ..streaming.turn_sessions import collect_sessions, late_events, run_turn_sessions, stage_events
 
 
 def sessions(spark, sf):
@@ -65,6 +65,27 @@ def st_turn_sessions(spark, sf):
     return run_turn_sessions(spark, base).withColumn("start_us", F.unix_micros("start_ts")).drop("start_ts")
 
 
+#: The feed of ``st_late_events``: every 97th event arrives 300 seconds late,
+#: and the arrivals come in 12 files of equal time.
+LATE_EVERY, LATE_US, LATE_FILES = 97, 300_000_000, 12
+
+
+def st_late_events(spark, sf):
+    """Streaming: the events of a feed with stragglers that the session
+    collector's watermark drops, one file a batch; ``dropped`` is the count
+    that the stream itself reports."""
+    arrival = F.unix_micros("ts") + F.when(F.col("event_id") % LATE_EVERY == 0, LATE_US).otherwise(0)
+    turns = fx.turns(spark, sf).withColumn("_arrival", arrival)
+    lo, hi = turns.agg(F.min("_arrival"), F.max("_arrival")).first()
+    batch = F.least(F.floor((F.col("_arrival") - F.lit(lo)) * LATE_FILES / F.lit(max((hi or 0) - (lo or 0), 1))), F.lit(LATE_FILES - 1))
+    turns = turns.withColumn("batch", batch.cast("int"))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/late_events/{uuid.uuid4().hex}"
+    stage_events(turns, base, LATE_FILES, slice_col="batch")
+    run = collect_sessions(spark, base, max_files_per_trigger=1)
+    return late_events(turns).select("event_id", "session_id", "kind", F.unix_micros("ts").alias("ts_us"), "batch", "watermark_us",
+                                     F.lit(run.dropped).cast("long").alias("dropped"))
+
+
 # --- oracle -------------------------------------------------------------------------
 
 TURNS = """
@@ -138,7 +159,23 @@ def sql_st_turn_sessions():
 first_error, terminated, failure, epoch_us(start_ts) AS start_us FROM summ2""")
 
 
+def sql_st_late_events():
+    return _w(f""", arr AS (
+  SELECT *, epoch_us(ts) AS ts_us, epoch_us(ts) + CASE WHEN event_id % {LATE_EVERY} = 0 THEN {LATE_US} ELSE 0 END AS arrival FROM turns
+),
+fed AS (
+  SELECT arr.*, CAST(least((arrival - lo) * {LATE_FILES} // greatest(hi - lo, 1), {LATE_FILES - 1}) AS INTEGER) AS batch
+  FROM arr, (SELECT min(arrival) AS lo, max(arrival) AS hi FROM arr)
+),
+marks AS (
+  SELECT batch, CAST(max(latest) OVER (ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) // 1000 * 1000 - 30000000 AS BIGINT) AS watermark_us
+  FROM (SELECT batch, max(ts_us) AS latest FROM fed GROUP BY batch)
+)
+SELECT event_id, session_id, kind, ts_us, batch, watermark_us, count(*) OVER () AS dropped
+FROM fed JOIN marks USING (batch) WHERE ts_us <= watermark_us""")
+
+
 QUERIES = {k: globals()[k] for k in (
     "agg_turn_latency", "agg_turn_concat", "agg_first_error", "st_error_fail", "st_timeout",
-    "dt_elapsed", "dt_utc_iso", "st_turn_sessions")}
+    "dt_elapsed", "dt_utc_iso", "st_turn_sessions", "st_late_events")}
 ORACLE = {k: globals()["sql_" + k] for k in QUERIES if "sql_" + k in globals()}

@@ -1,8 +1,9 @@
 """Structured Streaming jobs over files that arrive in order.
 
-``stage_slices`` writes a table as consecutive file slices (the arrival order
-of a feed); the streaming jobs read them with ``maxFilesPerTrigger`` so each
-micro-batch sees a few slices, and write to a sink in the shared checkpoint
+``stage_slices`` writes a table as file slices by ranges of a column, in one
+write; ``stage_feed`` also puts the files into the order of time, for streams
+with a watermark.  The streaming jobs read them with ``maxFilesPerTrigger`` so
+each micro-batch sees a few slices, and write to a sink in the shared checkpoint
 folder.  The returned DataFrames read the sink back (batch), which is what a
 downstream consumer would do.
 """
@@ -13,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
@@ -31,6 +33,33 @@ def stage_slices(df: DataFrame, path: str, order_col: str, n_slices: int = 6) ->
     return path
 
 
+def stage_feed(events: DataFrame, path: str, ts_col: str, n_files: int, beat: dict, beat_after: str,
+               slice_col: str | None = None) -> str:
+    """Write ``events`` as ``n_files`` files in the order of ``ts_col``, or one
+    file for each value of ``slice_col`` (0 to n_files - 1), and last a single
+    row ``beat`` (other columns null) whose time is ``beat_after`` (an
+    interval) behind the last event, to move the watermark past all of them.
+    The input is read once and written as one partitioned table; as file
+    sources take files by age, its slices are then copied one after the other,
+    each read alone."""
+    spark = events.sparkSession
+    cols = [c for c in events.columns if c != slice_col]
+    schema = events.select(*cols).schema
+    if slice_col is None:
+        # a range shuffle gives slices of like size, also where events are dense
+        staged = events.repartitionByRange(n_files, ts_col, *[c for c in cols if c != ts_col]).withColumn("_slice", F.spark_partition_id())
+    else:
+        staged = events.select(*cols, F.col(slice_col).cast("int").alias("_slice")).repartition(n_files, "_slice")
+    staged.write.partitionBy("_slice").parquet(f"{path}-table")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(f"{path}-table")
+    for i in range(n_files):
+        rows.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.parquet(f"{path}/part{i:06d}")
+    last = rows.agg(F.max(ts_col).alias("_last")).where("_last IS NOT NULL")
+    one = [(F.col("_last") + F.expr(beat_after) if f.name == ts_col else F.lit(beat.get(f.name))).cast(f.dataType).alias(f.name) for f in schema]
+    last.select(*one).coalesce(1).write.parquet(f"{path}/part{n_files:06d}")
+    return path
+
+
 def _source(spark: SparkSession, path: str, schema, max_files: int = 2) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
             .option("recursiveFileLookup", "true").parquet(path))
