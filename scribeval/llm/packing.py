@@ -18,6 +18,12 @@ Each task packs its own run of documents in blocks of ``block_tokens``
 nothing is shuffled, and a lost task is redone alone.  A block's last sequence
 may be short; that is one in several hundred.
 
+Order: Spark deals files to tasks in any order, so without more the order is
+that of the partitions.  With ``places`` (``written_places``: the file's number
+and the row's place in it) a block ends where the run of places breaks, and a
+sequence's number holds the place of its block's first document: sequences are
+in the written order by their numbers, without a shuffle or a sort.
+
 Edge cases: a null or empty text is its end token alone; repeated rows are
 packed as often as they occur; documents longer than a sequence are cut.
 Columns other than the id and the text are ignored.
@@ -25,17 +31,21 @@ Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import release
 from .tokens import encoder
 
+#: A sequence's number: file, row of its block's first document, place in the block.
+FILE_BITS, ROW_BITS, SEQUENCE_BITS = 20, 26, 17
+PART_FILE = r"part-(\d+)"
 SENTENCE_PENALTY = 2.0
 INSIDE_PENALTY = 64.0
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -112,12 +122,13 @@ def _closing(tokenizer) -> np.ndarray:
     return out
 
 
-def _pack(path: str, length: int, end_id: int, block_tokens: int):
+def _pack(path: str, length: int, end_id: int, block_tokens: int, placed: bool):
     def run(batches):
         enc = encoder(path)
         closing = _closing(enc.tokenizer)
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 32
+        run_of, after = None, None  # file and next row of the open block
         end = np.array([end_id], "<u4").tobytes()
         ids: list[bytes] = []
         docs: list = []
@@ -130,6 +141,8 @@ def _pack(path: str, length: int, end_id: int, block_tokens: int):
             ends = np.cumsum([len(x) // 4 for x in ids])
             at, penalty = _boundaries(stream, ends, closing, length)
             cuts = at[cut_points(at, penalty, length)]
+            if run_of is not None and len(cuts) > 1 << SEQUENCE_BITS:
+                raise ValueError("a block has more sequences than numbers allow")
             stops = np.union1d(ends, cuts)
             begins = np.concatenate([[0], stops[:-1]])
             doc = np.searchsorted(ends, begins, side="right")
@@ -150,8 +163,17 @@ def _pack(path: str, length: int, end_id: int, block_tokens: int):
 
         for batch in batches:
             names = batch["id"].to_pylist()
+            files, rows = (batch[c].to_pylist() if placed else None for c in ("file", "row"))
             for first, found in enc.encode(batch["text"]):
                 for i, x in enumerate(found):
+                    if placed:
+                        place = files[first + i], rows[first + i]
+                        if ids and place != (run_of, after):
+                            yield flush()
+                            size = 0
+                        if not ids:
+                            number = sequence_base(*place)
+                        run_of, after = place[0], place[1] + 1
                     ids.append(x + end)
                     docs.append(names[first + i])
                     size += len(x) // 4 + 1
@@ -164,11 +186,38 @@ def _pack(path: str, length: int, end_id: int, block_tokens: int):
     return run
 
 
+def sequence_base(file: int, row: int) -> int:
+    """The number of the first sequence of a block that begins at this place."""
+    if not (0 <= file < 1 << FILE_BITS and 0 <= row < 1 << ROW_BITS):
+        raise ValueError(f"file {file}, row {row}: no sequence number")
+    return (file << ROW_BITS | row) << SEQUENCE_BITS
+
+
+def written_places(docs: DataFrame) -> dict[str, Column]:
+    """``file`` and ``row`` of the rows of Parquet files that one job wrote:
+    the part file's number and the row's place in the file.  Empty for rows
+    that come from no files; an error where the files' names give no order."""
+    names = [n.rsplit("/", 1)[-1] for n in docs.inputFiles()]
+    if not names:
+        return {}
+    if len({_part_number(n) for n in names}) < len(names):
+        raise ValueError("the part files' names give no order")
+    number = F.regexp_extract(F.col("_metadata.file_name"), PART_FILE, 1)
+    return {"file": F.when(number == "", F.lit(0)).otherwise(number.cast("long")), "row": F.col("_metadata.row_index")}
+
+
+def _part_number(name: str) -> int:
+    m = re.match(PART_FILE, name)
+    return int(m[1]) if m else 0
+
+
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id",
-         text_col: str = "text", block_tokens: int = 1 << 18) -> DataFrame:
+         text_col: str = "text", block_tokens: int = 1 << 18, places: dict[str, Column] | None = None) -> DataFrame:
     """One row per piece: where it starts in its document and in its sequence.
-    The order of documents is that of the input's partitions."""
+    The order of documents is that of ``places``, else that of the input's
+    partitions."""
     if length < 1:
         raise ValueError("length must be at least 1")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _pack(tokenizer_path, length, end_id, block_tokens), SCHEMA)
+    more = [c.cast("long").alias(n) for n, c in (places or {}).items()]
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more).mapInArrow(
+        _pack(tokenizer_path, length, end_id, block_tokens, bool(places)), SCHEMA)

@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("long").alias("_block"),
         F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"),
-        *([F.struct(*rest).alias("_rest")] if rest else []))
+        *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")] if rest else []))
     sent = base.groupBy("_block").applyInArrow(
         _send(window, ranges), "_range long, _block long, _hashes binary, _ids binary, _runs binary")
     judged = sent.groupBy("_range").applyInArrow(_judge, "_block long, _range long, _bits binary, _count long")

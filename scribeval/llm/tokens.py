@@ -10,8 +10,8 @@ Texts with any other white space (runs, tabs, blanks at either end, blanks
 outside ASCII) go to the library whole, and so do texts that hold the content
 of an added token (``<|endoftext|>``).  ``tests/llm`` compares both ways.
 
-``encoder`` gives the ids that the library gives for the file as it is, where
-an added token's content is that token; a plain ``Encoder`` takes it as text.
+The ids are those that the library gives for the file as it is, where an added
+token's content is that token; ``added_as_text`` takes it as text.
 
 Words are known by their 64-bit hash; the table of known words is bounded and
 emptied when full.
@@ -42,7 +42,7 @@ _encoders: dict = {}
 def encoder(path: str) -> "Encoder":
     """The process-wide encoder of a tokenizer file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path, added_as_text=False)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -122,7 +122,7 @@ class _Known:
 
 
 class Encoder:
-    def __init__(self, path: str, max_words: int = 2_000_000, added_as_text: bool = True):
+    def __init__(self, path: str, max_words: int = 1_000_000, added_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)

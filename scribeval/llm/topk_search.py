@@ -12,8 +12,8 @@ survivors are compacted before the next block.  What survives all blocks has
 its exact score, so the result is exact.  The best k of each block pair are
 merged by a window that keeps k rows per query and task before the shuffle.
 
-Edge cases: null vectors, vectors with null or non-finite components and rows
-with a null id take no part; vectors meet only vectors of their own length;
+Edge cases: null and empty vectors, vectors with null or non-finite components
+and rows with a null id take no part; vectors meet only vectors of their own length;
 rows that share the query's id are its own and no candidates; repeated
 candidate rows are candidates each, repeated queries are answered once; ties
 go to the smaller id.  Components beyond 2**20 are multiplied as Python
@@ -114,7 +114,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     """(query_id, rank, vec_id, score) of every row for which ``is_query``."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows = vectors.where(finite(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
+    rows = vectors.where(finite(F.col(vector_col)) & F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).select(
         F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"),
         F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
     n, asking = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()

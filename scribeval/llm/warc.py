@@ -11,7 +11,8 @@ Reading: partitions are the files of the manifest (or of a folder of
 predicates on the record type and on headers are tested on them, and only the
 payload of a record that passes, and only if payloads are asked for, is
 decoded, checked against its digest and returned.  Others are stepped over.
-Files of other writers (no lengths in the gzip header, or not compressed) are
+Files of other writers (no lengths in the gzip header, or not compressed, or
+with digests of other algorithms, whose names stay in ``payload_digest``) are
 read too.
 
 Options: ``path``; ``payload`` (default true).  Predicates are pushed when
@@ -202,6 +203,18 @@ def _headers(raw: bytes) -> dict[str, str]:
     return out
 
 
+def agrees(stated: str | None, payload: bytes) -> bool:
+    """Whether a stated digest is the payload's: ``algorithm:value``, the value
+    in base 32 or hexadecimal.  Algorithms not known here can't be tested."""
+    name, _, value = (stated or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not value or name not in hashlib.algorithms_available or name.startswith("shake"):
+        return True
+    found = hashlib.new(name, payload)
+    value = value.strip()
+    return value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=") or value.lower() == found.hexdigest()
+
+
 def _page(value: str | None):
     m = _ID.search(value or "")
     return None if m is None or m[1] == "null" else int(m[1])
@@ -251,8 +264,14 @@ class WarcReader(DataSourceReader):
             length = int(head.get("content-length", 0))
             passes = all(FROM_HEADERS[c](head) in values for c, values in self.wanted)
             if passes:
-                http = item.some(end + 4 + length) if self.payload else item.some(min(end + 4 + length, end + 4 + HEAD_BYTES))
-                yield head, http[end + 4:end + 4 + length]
+                upto = end + 4 + length
+                if self.payload:
+                    http = item.some(upto)
+                else:  # as far as the HTTP headers go
+                    n = min(upto, end + 4 + HEAD_BYTES)
+                    while (http := item.some(n)).find(b"\r\n\r\n", end + 4, upto) < 0 and n < upto:
+                        n = min(upto, 2 * n)
+                yield head, http[end + 4:upto]
             item.close(end + 4 + length + 4)
 
     def read(self, part: Archive):
@@ -279,7 +298,7 @@ class WarcReader(DataSourceReader):
                 values["payload"] = None
                 if self.payload and values["record_type"] == "response":
                     values["payload"] = block[end + 4:]
-                    if values["payload_digest"] not in (None, digest(values["payload"])):
+                    if not agrees(head.get("warc-payload-digest"), values["payload"]):
                         raise ValueError(f"{part.file}: the digest of {head.get('warc-record-id')} differs")
                 for c, column in zip(names, rows):
                     column.append(values[c])

@@ -4,7 +4,9 @@ A word is a maximal run of bytes outside 0x20 and 0x09-0x0D of the UTF-8
 text.  All hashes are unsigned 64-bit with wrap-around arithmetic:
 
 * a word's hash is a polynomial over its bytes in an odd base, mixed with its
-  length by a bijective finaliser;
+  length by a bijective finaliser.  Such polynomials collide for certain long
+  words (Thue-Morse words of 1,024 letters for every base), so words of more
+  than ``LONG_WORD`` bytes get a BLAKE2 hash;
 * a window of ``k`` words has the Rabin-Karp hash ``sum(word[i] * R**i)``,
   taken from prefix sums (one subtraction and one product per window,
   whatever ``k``), and finalised again.
@@ -25,6 +27,7 @@ from .memory import release
 BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
 SLICE_BYTES = 1 << 18
+LONG_WORD = 256
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -115,20 +118,21 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes:
     i = 0
     while i < n:
         j = int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right"))
-        if j <= i:  # one word longer than a slice
-            word = buf[starts[i]:ends[i]].tobytes()
-            for a, cut in zip([out, *more], [len(word), *prefixes]):
-                a[i] = int.from_bytes(hashlib.blake2b(word[:cut], digest_size=8).digest(), "little")
-            i += 1
-            continue
-        lo, hi = int(starts[i]), int(ends[j - 1])
+        if j <= i:  # one word longer than a slice; hashed below
+            j = i + 1
+        lo, hi = int(starts[i]), min(int(ends[j - 1]), int(starts[i]) + SLICE_BYTES)
         power, inverse = _power_table(BYTE_BASE, hi - lo)
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * power[:hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
+        s, e = starts[i:j] - lo, np.minimum(ends[i:j], hi) - lo
         for a, stop in zip([out, *more], [e, *(np.minimum(e, s + cut) for cut in prefixes)]):
             a[i:j] = (sums[stop] - sums[s]) * inverse[s] + (stop - s).astype(np.uint64) * np.uint64(WORD_BASE)
         i = j
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = buf[starts[i]:ends[i]].tobytes()
+        for a, cut in zip([out, *more], [len(word), *prefixes]):
+            if cut > LONG_WORD:
+                a[i] = int.from_bytes(hashlib.blake2b(word[:cut], digest_size=8).digest(), "little")
     return [finalise(a) for a in (out, *more)] if prefixes else finalise(out)
 
 
