@@ -11,8 +11,8 @@ return the columns of ``documents``.
 4. mixing: documents are repeated or left out to meet the sources' targets,
    and sorted by training position;
 5. packing: the texts, in that order, become sequences of at most 1024 tokens
-   (one row per piece).  Files are read in any order, so the written order is
-   restored first, by the part files' numbers and the rows' places in them.
+   (one row per piece).  Files are read in any order; the written order is in
+   the sequences' numbers (file, row, place), without a shuffle.
 
 There is no SQL twin (the first stage is a fitted model); ``tests/llm`` holds
 every stage against a brute-force version.
@@ -23,7 +23,6 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,17 +41,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return keep.one_of_each(docs, jaccard_join.link(docs, shingle=5, percent=80))
+    name = keep.named(docs)
+    groups = jaccard_join.link(docs.select(name.alias("doc_id"), "text"), shingle=5, percent=80)
+    return keep.one_of_each(docs, groups, name=name)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    out = substring_dedup.remove_repeats(docs, window=20)
+    # packed, so that no column of the documents clashes with the operator's
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    out = substring_dedup.remove_repeats(docs.select("doc_id", "text", rest.alias("_rest_of_it")), window=20)
     cut = F.col("n_removed") > 0
-    out = out.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    columns = {c: F.col("_rest_of_it")[c] for c in docs.columns}
+    columns |= {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in columns:
+        n_chars = columns["n_chars"]
+        columns["n_chars"] = F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(n_chars)
+    return out.select(*[columns[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,22 +65,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.training_order(docs)
 
 
-def as_written(docs: DataFrame) -> DataFrame:
-    """The ids and texts of reread Parquet files in the order they were
-    written; rows that come from no files keep their partitions' order."""
-    name = F.col("_metadata.file_name")
-    try:
-        rows = docs.select("doc_id", "text", F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long").alias("_part"),
-                           name.alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    except AnalysisException:
-        return docs
-    order = ["_part", "_file", "_at"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return packing.pack(as_written(docs), public_tokenizers.path(TOKENIZER), length=1024)
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), length=1024, places=packing.written_places(docs))
 
 
 STAGES = [
