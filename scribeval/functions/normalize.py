@@ -20,17 +20,17 @@ whole chain stays inside the JVM (whole-stage codegen, no Python worker):
    currency signs next to numbers)
 9. collapse blanks, trim
 10. token maps: whole-word contractions and titles ("gonna", "mr", ...),
-    number words 0-99 to digits, British -> American spelling (small
-    built-in tables; callers may pass a larger spelling table).  Titles and
-    whole-word contractions only ever match whole words, so mapping them on
-    tokens gives the same text as the regex form.
+    spelled-out numbers to digits (``numbers.py``), British -> American
+    spelling (a small built-in table; callers pass larger tables as
+    DataFrames, see ``operators/wordmap.py``).  Titles and whole-word
+    contractions only ever match whole words, so mapping them on tokens gives
+    the same text as the regex form.
 
 The patterns and word tables are those of the public ``whisper-normalizer``
 package (MIT licence), stated below as fixed values.  Parity with it is not
-claimed for steps 2 and 10:
-its number grammar (hundreds, ordinals, currency words) and its 1,700-entry
-spelling table are not reproduced.  The patterns avoid look-around and back
-references so that DuckDB (RE2) runs exactly the same chain in the oracle.
+claimed for steps 2 and 10: its 1,700-entry spelling table is not reproduced.
+The patterns avoid look-around and back references so that DuckDB (RE2) runs
+exactly the same chain in the oracle.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbers import TRIGGERS, duckdb_fold, number_tokens, spark_fold
+
 # --- fixed values -----------------------------------------------------------
 # Diacritic folding, one character to one character (lower-case forms).
 FOLD_FROM = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőŕřśšşťùúûüūůűųýÿźżž"
@@ -102,19 +104,6 @@ CONTRACTIONS = (
     (r"'m\b", " am"),
 )
 
-# Number words (single tokens) and tens that combine with a following unit.
-NUMBER_UNITS = (
-    ("zero", 0), ("one", 1), ("two", 2), ("three", 3), ("four", 4), ("five", 5),
-    ("six", 6), ("seven", 7), ("eight", 8), ("nine", 9), ("ten", 10),
-    ("eleven", 11), ("twelve", 12), ("thirteen", 13), ("fourteen", 14),
-    ("fifteen", 15), ("sixteen", 16), ("seventeen", 17), ("eighteen", 18),
-    ("nineteen", 19),
-)
-NUMBER_TENS = (
-    ("twenty", 20), ("thirty", 30), ("forty", 40), ("fifty", 50),
-    ("sixty", 60), ("seventy", 70), ("eighty", 80), ("ninety", 90),
-)
-
 # British -> American spellings (small default table).
 SPELLINGS = (
     ("colour", "color"), ("colours", "colors"), ("favour", "favor"),
@@ -231,73 +220,31 @@ def normalize_stages(df: DataFrame, src: str, out: str) -> DataFrame:
     return d.withColumn(out, F.trim(c))
 
 
-def mapped_words(spellings=SPELLINGS) -> list[str]:
-    return ([w for w, _ in WORD_RULES] + [w for w, _ in NUMBER_UNITS] + [w for w, _ in NUMBER_TENS]
-            + [a for a, _ in (spellings or ())])
-
-
-def _map_literal(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
-
-
-def map_tokens(tokens: Column, spellings=SPELLINGS) -> Column:
-    """Step 10 on a token array: whole-word contractions and titles, number
-    words -> digits (tens + unit merged), British -> American spellings.
-    Arrays with none of the mapped words pass through after one
-    ``arrays_overlap`` test.  (Single-expression form: ``tokens`` is used
-    inside lambdas, so pass a column reference; ``with_mapped_tokens`` is the
-    staged form used by the scoring plans.)"""
-    words = F.array(*[F.lit(w) for w in mapped_words(spellings)])
-    expanded = _expand(tokens)
-    return F.when(F.arrays_overlap(tokens, words),
-                  _spell(_merge_numbers(expanded, _number_values(expanded)), spellings)).otherwise(tokens)
-
+def _words(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
-def _expand(tokens: Column) -> Column:
-    wm = _map_literal(WORD_RULES)
-    return F.flatten(F.transform(tokens, lambda t: F.when(F.try_element_at(wm, t).isNull(), F.array(t))
-                                 .otherwise(F.split(F.try_element_at(wm, t), " "))))
 
-
-def _number_values(tokens: Column) -> Column:
-    nm = _map_literal(NUMBER_UNITS + NUMBER_TENS)
-    return F.transform(tokens, lambda t: F.try_element_at(nm, t))
-
-
-def _merge_numbers(tokens: Column, values: Column) -> Column:
-    """Tens followed by a unit 1-9 become one number; other number words
-    become digits.  ``values`` holds each token's number (or null)."""
-    n = F.size(tokens)
-
-    def one(t, i):
-        v = F.get(values, i)
-        nv = F.when(i + 1 < n, F.get(values, i + 1))
-        pv = F.when(i > 0, F.get(values, i - 1))
-        return (F.when((v >= 20) & nv.between(1, 9), (v + nv).cast("string"))
-                .when(v.between(1, 9) & (pv >= 20), F.lit(None).cast("string"))
-                .when(v.isNotNull(), v.cast("string"))
-                .otherwise(t))
-
-    return F.filter(F.transform(tokens, one), lambda x: x.isNotNull())
-
-
-def _spell(tokens: Column, spellings) -> Column:
-    if not spellings:
-        return tokens
-    sm = _map_literal(spellings)
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(sm, t), t))
+def _map_words(tokens: Column, pairs) -> Column:
+    """Tokens by a small literal map; only its own words are looked up in it."""
+    table = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    return F.transform(tokens, lambda t: F.when(t.isin([w for w, _ in pairs]), F.try_element_at(table, t)).otherwise(t))
 
 
 def with_mapped_tokens(df: DataFrame, src: str, out: str, spellings=SPELLINGS) -> DataFrame:
-    """Staged step 10: the guard, the expansion and the number values each
-    get their own projection so no lambda re-evaluates its input array."""
-    words = F.array(*[F.lit(w) for w in mapped_words(spellings)])
-    g, e, v = f"_{out}_hit", f"_{out}_exp", f"_{out}_val"
-    d = df.withColumn(g, F.arrays_overlap(F.col(src), words))
-    d = d.withColumn(e, F.when(F.col(g), _expand(F.col(src))))
-    d = d.withColumn(v, F.when(F.col(g), _number_values(F.col(e))))
-    mapped = _spell(_merge_numbers(F.col(e), F.col(v)), spellings)
-    return d.withColumn(out, F.when(F.col(g), mapped).otherwise(F.col(src))).drop(g, e, v)
+    """Step 10 on the token array ``src``.  Every stage has its own projection,
+    so no lambda makes its input anew; arrays without any word of the tables
+    pass after one test, and those without number words skip the number fold."""
+    spellings = tuple(spellings or ())
+    hit, words, number, known = (f"_{out}_{x}" for x in ("hit", "words", "number", "known"))
+    every = [w for w, _ in WORD_RULES] + list(TRIGGERS) + [a for a, _ in spellings]
+    d = df.withColumn(hit, F.arrays_overlap(F.col(src), _words(every)))
+    # expansions hold blanks: joined and split again
+    d = d.withColumn(words, F.when(F.col(hit), F.split(F.array_join(_map_words(F.col(src), WORD_RULES), " "), " ")))
+    d = d.withColumn(number, F.arrays_overlap(F.col(words), _words(TRIGGERS)))
+    d = d.withColumn(known, F.when(F.col(number), number_tokens(words)))
+    d = d.withColumn(words, F.when(F.col(number), spark_fold(known)).otherwise(F.col(words)))
+    mapped = _map_words(F.col(words), spellings) if spellings else F.col(words)
+    return d.withColumn(out, F.when(F.col(hit), mapped).otherwise(F.col(src))).drop(hit, words, number, known)
 
 
 def split_words(c: Column) -> Column:
@@ -329,11 +276,6 @@ def duckdb_normalize_string(expr: str) -> str:
     return f"trim({e})"
 
 
-def _duck_case(t: str, table, cast=True) -> str:
-    whens = " ".join(f"WHEN {_sql_lit(w)} THEN {v}" for w, v in table)
-    return f"(CASE {t} {whens} END)"
-
-
 def duckdb_expand_words(tokens: str) -> str:
     """Whole-word contractions and titles (may expand to several tokens)."""
     whens = " ".join(f"WHEN {_sql_lit(w)} THEN {_sql_lit(r)}" for w, r in WORD_RULES)
@@ -343,19 +285,8 @@ def duckdb_expand_words(tokens: str) -> str:
 def duckdb_map_tokens(tokens: str, spellings=SPELLINGS) -> str:
     """Numbers and spellings on already expanded tokens (``tokens`` must be
     a column reference: it is used inside the lambda)."""
-    u = lambda t: _duck_case(t, NUMBER_UNITS)
-    te = lambda t: _duck_case(t, NUMBER_TENS)
-    n = f"len({tokens})"
-    nxt = f"(CASE WHEN i + 1 <= {n} THEN {tokens}[i + 1] END)"
-    prv = f"(CASE WHEN i > 1 THEN {tokens}[i - 1] END)"
-    body = (
-        f"CASE WHEN {te('t')} IS NOT NULL AND {u(nxt)} BETWEEN 1 AND 9 "
-        f"THEN CAST({te('t')} + {u(nxt)} AS VARCHAR) "
-        f"WHEN {u('t')} BETWEEN 1 AND 9 AND {te(prv)} IS NOT NULL THEN NULL "
-        f"WHEN {u('t')} IS NOT NULL THEN CAST({u('t')} AS VARCHAR) "
-        f"WHEN {te('t')} IS NOT NULL THEN CAST({te('t')} AS VARCHAR) ELSE t END"
-    )
-    merged = f"list_filter(list_transform({tokens}, lambda t, i: {body}), lambda x: x IS NOT NULL)"
+    triggers = ", ".join(_sql_lit(w) for w in TRIGGERS)
+    merged = f"CASE WHEN list_has_any({tokens}, [{triggers}]) THEN {duckdb_fold(tokens)} ELSE {tokens} END"
     if spellings:
         sp = " ".join(f"WHEN {_sql_lit(a)} THEN {_sql_lit(b)}" for a, b in spellings)
         merged = f"list_transform({merged}, lambda t: CASE t {sp} ELSE t END)"

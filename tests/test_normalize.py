@@ -15,7 +15,7 @@ CASES = {
     "Hello, World!": "hello world",
     "I won't go [noise] (laughs) there.": "i will not go there",
     "Uh, we're at St. Mark's um now": "we are at saint mark is now",
-    "Ça coûte 1,000 euros.": "ca coute 1000 euros",
+    "Ça coûte 1,000 euros.": "ca coute €1000",
     "Twenty one colours and seven Straße": "21 colors and 7 strasse",
     "  ": "",
     None: "",
