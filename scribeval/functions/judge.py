@@ -38,6 +38,42 @@ FEEDBACK_MINOR = "MINOR — {n} minor error(s) (spelling, grammar, or formatting
 FEEDBACK_NOPEN = "ACCEPTABLE — {n} no-penalty difference(s) (variant spellings, discourse markers): {errors}."
 FEEDBACK_SCORE = "Score: {score} ({penalty}/{words} word penalties)"
 FEEDBACK_PERFECT = "PERFECT — No errors detected. Transcription matches reference exactly."
+#: The judge's rubric, word for word: other words would be another judge.
+SYSTEM_PROMPT = (
+    'You are an expert linguist evaluating an Automatic Speech Recognition (ASR) system. Your task is to compare a Reference (ground truth) with a Hypothesis (ASR prediction). Both inputs have already been text-normalized (lowercased, punctuation stripped, numbers expanded), so ignore any remaining capitalization or punctuation differences.\n'
+    '\n'
+    'Instructions:\n'
+    '1. Align reference and hypothesis word-by-word to find mismatches.\n'
+    '2. Classify every mismatch using the rubric below.\n'
+    '3. Compute: Score = 1 - (Total Penalty / Number of Reference Words). Clamp to [0, 1].\n'
+    '\n'
+    'Rubric:\n'
+    '\n'
+    'A. No Penalty (0 points) — differences that do not change meaning:\n'
+    '   - Numbers & formatting: "1300" vs "thirteen hundred"\n'
+    '   - Abbreviations: "ATM" vs "A T M", "NBA" vs "N B A"\n'
+    '   - Compound words: "healthcare" vs "health care", "info graphic" vs "infographic"\n'
+    '   - Proper noun spelling variants (same person/place): "Graeme" vs "Graham", "Archy" vs "Archie", "Jonathan" vs "Johnathan". IMPORTANT: only apply this when both words refer to the same entity. Words that look similar but have different meanings are Major errors (e.g. "July" vs "slide", "cover" vs "COVID").\n'
+    '   - Contractions & expansions: "going to" vs "gonna", "I am" vs "I\'m", "All\'s" vs "All is"\n'
+    '   - Speech disfluencies & fillers removed by ASR: "uh", "um", "ah", false starts ("c-", "ou-"), and word repetitions ("just just just" → "just") are not errors\n'
+    '   - Discourse markers added or removed at sentence boundaries: "well", "so", "and", "but", "you know", "like", "okay" when used as fillers rather than content words. "And" or "so" at the start of a sentence is almost always a discourse marker.\n'
+    '   - Singular/plural of the same word: "cancer" vs "cancers", "kid" vs "kids", "panelists" vs "panelist", "death" vs "deaths", "item" vs "items", "adjustment" vs "adjustments". Always No Penalty — never classify singular/plural as Minor or Major.\n'
+    '\n'
+    'B. Minor Penalty (0.5 points) — small errors that do not alter core meaning:\n'
+    '   - Single-character spelling errors: "receive" vs "recieve"\n'
+    '   - Minor grammatical markers (tense/number): "He run fast" vs "He runs fast"\n'
+    '   - Comparative/base form differences: "narrower" vs "narrow", "largest" vs "large"\n'
+    '   - Preposition swaps that preserve meaning: "filter in" vs "filter on", "adamant about" vs "adamant on"\n'
+    '   - Minor article omission/addition: "the full commitment" vs "full commitment", "a good point" vs "good point"\n'
+    '   - Small proper noun misspellings (1-2 character difference): "Joe" vs "Joel"\n'
+    '\n'
+    'C. Major Penalty (1.0 points) — errors that significantly alter meaning:\n'
+    '   - Incorrect word substitutions: "beautiful" vs "ugly", "dispatching" vs "packaging"\n'
+    '   - Meaning-altering spelling errors: "affect" vs "effect", "cover" vs "COVID", "that" vs "than", "then" vs "than"\n'
+    '   - Significant omissions or additions of content words. Count each omitted or added content word separately.\n'
+    '   - Word reordering that changes intent\n'
+    '   - Output in the wrong language: e.g. "Yeah" transcribed as "Ja" (German)'
+)
 USER_PROMPT = "Reference: {ref}\nHypothesis: {hyp}"
 # ---------------------------------------------------------------------------------
 
@@ -119,6 +155,21 @@ def user_prompt(norm_ref: Column, norm_hyp: Column) -> Column:
     return F.concat(F.lit(a), norm_ref, F.lit(b), norm_hyp, F.lit(c))
 
 
+def messages(system: Column, user: Column) -> Column:
+    """The chat request: a system and a user message, as JSON."""
+    return F.to_json(F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in (("system", system), ("user", user))]))
+
+
+def error_list(errors: Column) -> Column:
+    """A list of strings as the report prints it: ``['a', 'b']``; quotation
+    marks are doubles where the text holds single ones only."""
+    def quoted(e):
+        slashes = F.replace(e, F.lit("\\"), F.lit("\\\\"))
+        return F.when(F.contains(e, F.lit("'")) & ~F.contains(e, F.lit('"')), F.concat(F.lit('"'), slashes, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.replace(slashes, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    return F.concat(F.lit("["), F.array_join(F.transform(errors, quoted), ", "), F.lit("]"))
+
+
 def _fmt(template: str, n: Column, errors: Column) -> Column:
     head, tail = template.split("{n}")
     mid, end = tail.split("{errors}")

@@ -12,26 +12,16 @@ Semantics kept from the evaluated tool:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import IGNORE_MARKER
+from ..sources.registry import DatasetEntry
 from .ranking import range_row_number
 
 WS_TRIM = r"^[\t\n\f\r ]+|[\t\n\f\r ]+$"
 
 
-@dataclass(frozen=True)
-class DatasetEntry:
-    path: str
-    config: str | None
-    audio_column: str
-    text_column: str
-    split: str
-
-
 def not_ignore_marker(ref: Column) -> Column:
     """False only for references whose stripped text is the marker."""
     return ~F.coalesce(F.regexp_replace(ref, WS_TRIM, "") == F.lit(IGNORE_MARKER), F.lit(False))

@@ -10,18 +10,17 @@ from ..functions.strings import fmt_fixed, sql_fmt_fixed
 from ..operators.sampling import progress_labels, shuffle_split
 from ..operators.scoring import with_normalized
 from ..operators.selection import (
-    DatasetEntry,
     even_quota,
     named_dataset,
     not_ignore_marker,
     not_inaudible,
-    registry_of,
     resolve_selection,
     scorable,
     with_quota,
 )
 from ..operators.summary import eval_summary
 from ..sources import fixtures as fx
+from ..sources.registry import EVALUATED, NO_LANGUAGE, DatasetEntry, document_dataset, registry, registry_frame, with_split
 from ..sources.tables import read_table
 from . import oracle as O
 from .evaluation import eval_results, results_sql, scoring_partitions
@@ -29,7 +28,7 @@ from .evaluation import eval_results, results_sql, scoring_partitions
 QUOTA_TOTAL = 1000
 NAMED_DATASET = "benchmark"
 FIRST_N = 50
-FIRST_N_DATASET = "src1"
+FIRST_N_DATASET = "documents-en-test"
 PROMPT = "Transcribe verbatim."
 # --- fixed values: model routing ----------------------------------------------
 STREAMING_MODELS = ("stream-v3", "stream-english", "stream-multilingual")
@@ -50,15 +49,6 @@ SCORABLE = f"(SELECT * FROM samples WHERE {O.not_unscorable('reference')})"
 
 # --- sources -------------------------------------------------------------------
 
-#: The datasets there are: each entry names a table, the configuration and
-#: split of its rows, and the columns that hold the audio and the text.
-REGISTRY = {
-    "documents-en": DatasetEntry("documents", "en", "doc_id", "text", "test"),
-    "documents-de": DatasetEntry("documents", "de", "doc_id", "text", "train"),
-    "benchmark": DatasetEntry("benchmark", None, "item_id", "text", "test"),
-    "conversations": DatasetEntry("conversations", None, "turn", "text", "test"),
-    "pages": DatasetEntry("pages", None, "page_id", "html", "test"),
-}
 ADHOC = DatasetEntry("benchmark", None, "item_id", "text", "test")
 
 
@@ -69,86 +59,97 @@ def map_columns(df: DataFrame, entry: DatasetEntry, name: str) -> DataFrame:
 
 
 def scan_entry(spark, sf, entry: DatasetEntry, name: str) -> DataFrame:
-    """The rows of one entry.  A configuration is a language; documents with
-    a label row are the ``test`` split, the others ``train``."""
+    """The rows of one entry: two columns, filtered by its configuration (a
+    language) and split."""
     df = read_table(spark, sf, entry.path)
     if entry.config is not None:
-        df = df.where(F.col("lang") == entry.config)
+        lang = F.col("lang")
+        df = df.where((lang == entry.config) | lang.isNull() if entry.config == NO_LANGUAGE else lang == entry.config)
     if entry.path == "documents":
         labelled = read_table(spark, sf, "labels").select("doc_id")
         df = df.join(labelled, "doc_id", "left_semi" if entry.split == "test" else "left_anti")
     return map_columns(df, entry, name)
 
 
-def load_datasets(spark, sf, dataset: str | None = None, adhoc: DatasetEntry | None = None,
-                  registry: dict[str, DatasetEntry] = REGISTRY) -> DataFrame:
+def scan_all(spark, sf, entries: dict[str, DatasetEntry]) -> DataFrame:
+    """The rows of many entries.  The entries of ``documents`` share one scan:
+    a row's language and split name its entry."""
+    docs = with_split(read_table(spark, sf, "documents").select("doc_id", "lang", "text"), read_table(spark, sf, "labels"))
+    name = document_dataset(F.col("lang"), F.col("split"))
+    frames = [docs.select(F.col("doc_id").alias("audio"), F.col("text").alias("reference"), name.alias("dataset"))]
+    frames += [scan_entry(spark, sf, e, n) for n, e in entries.items() if e.path != "documents"]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def load_datasets(spark, sf, dataset: str | None = None, adhoc: DatasetEntry | None = None) -> DataFrame:
     """audio, reference, dataset of the chosen entries, scorable rows only: an
     ad-hoc entry replaces the registry and is called 'custom', a name picks
     one entry, None / "" / "all" keeps all; an unknown name is an error that
     lists the names."""
-    names = resolve_selection(list(registry), dataset, adhoc)
-    entries = {"custom": adhoc} if adhoc is not None else registry
-    frames = [scan_entry(spark, sf, entries[n], n) for n in names]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    entries = registry(spark, sf)
+    names = resolve_selection(list(entries), dataset, adhoc)
+    if adhoc is not None:
+        out = scan_entry(spark, sf, adhoc, "custom")
+    elif len(names) == 1:
+        out = scan_entry(spark, sf, entries[names[0]], names[0])
+    else:
+        out = scan_all(spark, sf, entries)
     return scorable(out)
 
 
 def src_registry(spark, sf):
     """The registry with the rows each entry has."""
-    rows = [(n, i, e.path, e.config, e.audio_column, e.text_column, e.split) for i, (n, e) in enumerate(REGISTRY.items())]
-    entries = spark.createDataFrame(rows, "dataset string, position int, path string, config string, "
-                                          "audio_column string, text_column string, split string")
-    counts = None
-    for n, e in REGISTRY.items():
-        one = scan_entry(spark, sf, e, n).groupBy("dataset").agg(F.count("*").alias("rows"))
-        counts = one if counts is None else counts.unionByName(one)
-    return entries.join(counts, "dataset", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    entries = registry(spark, sf)
+    rows = [(n, i, e.path, e.config, e.audio_column, e.text_column, e.split) for i, (n, e) in enumerate(entries.items())]
+    frame = spark.createDataFrame(rows, "dataset string, position int, path string, config string, "
+                                        "audio_column string, text_column string, split string")
+    counts = scan_all(spark, sf, entries).groupBy("dataset").agg(F.count("*").alias("rows"))
+    return frame.join(counts, "dataset", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
-def _entry_sql(name: str, e: DatasetEntry) -> str:
-    where = [f"lang = '{e.config}'"] if e.config else []
-    if e.path == "documents":
-        where.append(f"doc_id {'IN' if e.split == 'test' else 'NOT IN'} (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
-    return (f"SELECT {e.audio_column} AS audio, {e.text_column} AS reference, '{name}' AS dataset FROM {e.path} "
-            f"WHERE {' AND '.join(where) or 'true'}")
+#: Every row of every table with its entry, written from the tables.
+EVERY_ROW = f"""
+  SELECT doc_id AS audio, text AS reference, {O.DOCUMENT_DATASET} AS dataset FROM documents
+  UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark
+  UNION ALL SELECT turn, text, 'conversations' FROM conversations
+  UNION ALL SELECT page_id, html, 'pages' FROM pages"""
 
 
 def sql_src_registry():
-    lit = lambda v: "NULL::VARCHAR" if v is None else f"'{v}'"
-    return " UNION ALL ".join(
-        f"SELECT '{n}' AS dataset, {i} AS position, '{e.path}' AS path, {lit(e.config)} AS config, '{e.audio_column}' AS audio_column, "
-        f"'{e.text_column}' AS text_column, '{e.split}' AS split, (SELECT count(*) FROM ({_entry_sql(n, e)})) AS rows"
-        for i, (n, e) in enumerate(REGISTRY.items()))
+    return f"""WITH {O.registry_cte()},
+counts AS (SELECT dataset, count(*) AS rows FROM ({EVERY_ROW}) GROUP BY dataset)
+SELECT r.dataset, CAST(position AS INTEGER) AS position, split_part(r.dataset, '-', 1) AS path,
+  CASE WHEN r.dataset LIKE 'documents-%' THEN regexp_extract(r.dataset, '^documents-(.*)-(test|train)$', 1) END AS config,
+  CASE split_part(r.dataset, '-', 1) WHEN 'documents' THEN 'doc_id' WHEN 'benchmark' THEN 'item_id' WHEN 'pages' THEN 'page_id' ELSE 'turn' END AS audio_column,
+  CASE WHEN r.dataset = 'pages' THEN 'html' ELSE 'text' END AS text_column,
+  CASE WHEN r.dataset LIKE '%-train' THEN 'train' ELSE 'test' END AS split, coalesce(rows, 0) AS rows
+FROM registry r LEFT JOIN counts USING (dataset)"""
 
 
 def src_multi_union(spark, sf):
-    """All entries of the registry, one scan each, concatenated."""
+    """All entries of the registry concatenated: every row of the tables."""
     return load_datasets(spark, sf)
 
 
 def sql_src_multi_union():
-    every = " UNION ALL ".join(_entry_sql(n, e) for n, e in REGISTRY.items())
-    return f"SELECT audio, reference, dataset FROM ({every}) WHERE {O.not_unscorable('reference')}"
+    return f"SELECT audio, reference, dataset FROM ({EVERY_ROW}) WHERE {O.not_unscorable('reference')}"
 
 
 def doc_split(spark, sf) -> DataFrame:
     """documents with split = 'test' when the document has a label row."""
-    d = read_table(spark, sf, "documents").select("doc_id", "source", "lang")
-    lab = read_table(spark, sf, "labels").select("doc_id").distinct().withColumn("_lab", F.lit(True))
-    return d.join(lab, "doc_id", "left").select(
-        "doc_id", "source", "lang",
-        F.when(F.col("_lab"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    return with_split(read_table(spark, sf, "documents").select("doc_id", "source", "lang"), read_table(spark, sf, "labels"))
 
 
 def src_scan_split(spark, sf):
     """One entry's scan: its configuration and split, two columns read."""
-    return load_datasets(spark, sf, "documents-en")
+    return load_datasets(spark, sf, "documents-en-test")
 
 
 def sql_src_scan_split():
-    return f"SELECT * FROM ({_entry_sql('documents-en', REGISTRY['documents-en'])}) WHERE {O.not_unscorable('reference')}"
+    return f"SELECT * FROM ({EVERY_ROW}) WHERE dataset = 'documents-en-test' AND {O.not_unscorable('reference')}"
 
 
 def src_adhoc_override(spark, sf):
@@ -198,7 +199,7 @@ def flt_named_dataset(spark, sf):
     """One dataset by name; a name that occurs nowhere is an error of the
     query itself that lists the names there are (no job while planning)."""
     every = fx.samples(spark, sf)
-    return named_dataset(scorable(every), NAMED_DATASET, registry_of(every)).select("sample_id", "dataset", "reference")
+    return named_dataset(scorable(every), NAMED_DATASET, registry_frame(spark, sf, EVALUATED)).select("sample_id", "dataset", "reference")
 
 
 def sql_flt_named_dataset():
@@ -209,15 +210,14 @@ def sql_flt_named_dataset():
 
 def win_even_quota(spark, sf):
     every = fx.samples(spark, sf)
-    return even_quota(scorable(every).select("sample_id", "dataset"), QUOTA_TOTAL, registry=registry_of(every))
+    return even_quota(scorable(every).select("sample_id", "dataset"), QUOTA_TOTAL, registry=registry_frame(spark, sf, EVALUATED))
 
 
 def _quota_sql(total: int) -> str:
-    return f"""
+    return f"""{O.registry_cte(evaluated=True)},
 reg AS (
-  SELECT dataset, position, {total} // n + CASE WHEN position < {total} % n THEN 1 ELSE 0 END AS quota
-  FROM (SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS position, count(*) OVER () AS n
-        FROM samples GROUP BY dataset)
+  SELECT dataset, CAST(position AS INTEGER) AS position, {total} // n + CASE WHEN position < {total} % n THEN 1 ELSE 0 END AS quota
+  FROM (SELECT dataset, position, count(*) OVER () AS n FROM registry)
 ),
 ranked AS (
   SELECT sample_id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY sample_id) AS rn FROM {SCORABLE}
@@ -231,7 +231,7 @@ SELECT r.sample_id, r.dataset, r.rn FROM ranked r JOIN reg USING (dataset) WHERE
 
 def join_registry(spark, sf):
     s = _scorable_samples(spark, sf)
-    reg = with_quota(registry_of(fx.samples(spark, sf)), QUOTA_TOTAL).select("dataset", "position", "quota")
+    reg = with_quota(registry_frame(spark, sf, EVALUATED), QUOTA_TOTAL).select("dataset", "position", "quota")
     return s.join(reg, "dataset").select("sample_id", "dataset", "position", "quota")
 
 
@@ -382,13 +382,15 @@ def sql_sort_names():
 
 
 def set_union_all(spark, sf):
-    """Quota-selected samples of every dataset, concatenated, counted per dataset."""
-    return win_even_quota(spark, sf).groupBy("dataset").agg(F.count("*").alias("rows"))
+    """The quota-selected samples of every dataset, concatenated: their rows."""
+    chosen = win_even_quota(spark, sf).select("sample_id")
+    return _scorable_samples(spark, sf).join(chosen, "sample_id", "left_semi").select("sample_id", "dataset", "lang", "reference")
 
 
 def sql_set_union_all():
-    return _ctes(_quota_sql(QUOTA_TOTAL)) + """
-SELECT r.dataset, count(*) AS rows FROM ranked r JOIN reg USING (dataset) WHERE r.rn <= reg.quota GROUP BY r.dataset"""
+    return _ctes(_quota_sql(QUOTA_TOTAL)) + f"""
+SELECT s.sample_id, s.dataset, s.lang, s.reference FROM {SCORABLE} s JOIN ranked r USING (sample_id) JOIN reg ON reg.dataset = s.dataset
+WHERE r.rn <= reg.quota"""
 
 
 # --- per-sample text and scores -------------------------------------------------------

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scoring import score_wer
-from ..operators.selection import even_quota, registry_of, scorable
+from ..operators.selection import even_quota, scorable
 from ..operators.summary import eval_summary
 from ..session import materialize
 from ..sources import fixtures as fx
+from ..sources.registry import EVALUATED, registry_frame
 from . import oracle as O
 
 
@@ -18,30 +19,37 @@ def scoring_partitions(spark: SparkSession) -> int:
                spark.sparkContext.defaultParallelism)
 
 
-def eval_results(spark: SparkSession, sf_dir: str, total: int | None = None,
-                 dataset: str | None = None) -> DataFrame:
-    """Per-sample results (the rows the tool prints one by one).
-
-    All scorable samples when ``total`` is None, else the even quota."""
+def joined_samples(spark: SparkSession, sf_dir: str, total: int | None = None, dataset: str | None = None) -> DataFrame:
+    """Scorable samples with their transcriptions: all samples when ``total``
+    is None, else the even quota."""
     s = fx.samples(spark, sf_dir, for_join=True)
     if dataset and dataset != "all":
         s = s.where(F.col("dataset") == dataset)
     s = scorable(s)
     if total is not None:
-        chosen = even_quota(s.select("sample_id", "dataset"), total, registry=registry_of(fx.samples(spark, sf_dir)))
+        chosen = even_quota(s.select("sample_id", "dataset"), total, registry=registry_frame(spark, sf_dir, EVALUATED))
         s = s.join(chosen.select("sample_id"), "sample_id", "left_semi")
     # Samples and hypotheses arrive hash-partitioned on sample_id (see
     # ``fixtures.utterances``), so the join needs no further shuffle and the
     # CPU-bound scoring (regex chain + edit distance) runs on every partition.
-    h = fx.hypotheses(spark, sf_dir, for_join=True)
-    j = s.join(h, "sample_id", "inner")
-    scored = score_wer(j, "reference", "text")
-    scored = scored.withColumn("wer", F.when(F.col("error").isNull(), F.col("wer")))
-    # The per-sample results are the run's table: every summary, filter and
-    # judge step reads them.  Writing them once as a table in the checkpoint
-    # folder (shared storage) scores each sample exactly once, cuts the
-    # lineage (a lost executor does not re-run the scoring) and keeps the
-    # optimizer from copying the normaliser into predicates pushed below it.
+    return s.join(fx.hypotheses(spark, sf_dir, for_join=True), "sample_id", "inner")
+
+
+def scored_samples(joined: DataFrame) -> DataFrame:
+    scored = score_wer(joined, "reference", "text")
+    return scored.withColumn("wer", F.when(F.col("error").isNull(), F.col("wer")))
+
+
+def eval_results(spark: SparkSession, sf_dir: str, total: int | None = None,
+                 dataset: str | None = None) -> DataFrame:
+    """Per-sample results (the rows the tool prints one by one).
+
+    The per-sample results are the run's table: every summary, filter and
+    judge step reads them.  Writing them once as a table in the checkpoint
+    folder (shared storage) scores each sample exactly once, cuts the
+    lineage (a lost executor does not re-run the scoring) and keeps the
+    optimizer from copying the normaliser into predicates pushed below it."""
+    scored = scored_samples(joined_samples(spark, sf_dir, total, dataset))
     return materialize(scored.drop("reference", "text"), "eval_results")
 
 

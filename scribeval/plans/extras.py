@@ -1,28 +1,35 @@
 """Remaining inventory: selection dispatch, latency guards, audio store,
-report lines, streams, Python-side operators (alignment, rubric, enrichment,
-tool calls, WAV ingest)."""
+report lines, streams, Python-side operators (alignment, rubric, enrichment)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import audio as A
+from ..functions import judge as J
 from ..functions.strings import fmt_fixed, sql_fmt_fixed
 from ..operators.align import align_ops, rubric_scores
 from ..operators.enrich import enrich
-from ..operators.sampling import shuffle_split
-from ..operators.selection import named_dataset, registry_of, scorable
+from ..operators.ranking import range_row_number
+from ..operators.sampling import one_row_join, shuffle_split
+from ..operators.selection import named_dataset, scorable
 from ..operators.summary import eval_summary
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources.registry import EVALUATED, registry_frame
 from ..sources.tables import read_table
 from ..streaming import replay
 from . import oracle as O
 from .evaluation import eval_results, results_sql, summary_sql
+from .judging import laser_results
 from .optimize import candidate_scores
 from .tools import win_greedy_windows
 
-SELECTED = "src3"
+SELECTED = "documents-de-train"
 REPORT_MODEL = fx.BATCH_MODEL
 REPORT_MODE = "batch"
 
@@ -34,7 +41,7 @@ def load_samples(spark: SparkSession, sf: str, dataset: str | None = None) -> Da
     unknown name fails with the available names when the query runs."""
     every = fx.samples(spark, sf)
     s = scorable(every).select("sample_id", "dataset", "reference")
-    return s if not dataset or dataset == "all" else named_dataset(s, dataset, registry_of(every))
+    return s if not dataset or dataset == "all" else named_dataset(s, dataset, registry_frame(spark, sf, EVALUATED))
 
 
 def flt_resolve_selection(spark, sf):
@@ -81,39 +88,132 @@ FROM (SELECT vec_id AS clip_id, len(embedding) AS n_samples,
 
 
 # --- report lines ------------------------------------------------------------------------
+# --- fixed values: the report's wording -----------------------------------------------------
+REPORT_WORDS = {
+    "sample": "[{i}/{n}]{tag} WER: {wer}% | {latency}", "sample_laser": "[{i}/{n}]{tag} WER: {wer}% | LASER: {laser}% | {latency}",
+    "failed": "[{i}/{n}] skipped — error: {error}", "ref": "  REF: {text}", "hyp": "  HYP: {text}",
+    "major": "Major: {list}", "minor": "Minor: {list}", "no_penalty": "No penalty: {list}",
+    "skipped": "Skipped {n} sample(s) due to errors.", "none": "All samples failed — no results to summarize.",
+    "latency": "{name}: avg {avg}s | P95 {p95}s | Min {min}s | Max {max}s",
+    "dataset": "WER ({ds}): {wer}% | Samples: {n}", "dataset_laser": "WER ({ds}): {wer}% | Samples: {n} | LASER: {laser}%",
+    "overall": "WER: {wer}% | Model: {model} ({mode}) | Samples: {n}", "laser": "LASER: {laser}%",
+}
+# --------------------------------------------------------------------------------------------
+
+
+def _parts(template: str) -> list[tuple[bool, str]]:
+    """(is a field, text) of a template's pieces."""
+    return [(p.startswith("{"), p.strip("{}")) for p in re.split(r"(\{\w+\})", REPORT_WORDS[template]) if p]
+
+
+def fill(template: str, **fields: Column) -> Column:
+    return F.concat(*[fields[p] if f else F.lit(p) for f, p in _parts(template)])
+
+
+def sql_fill(template: str, **fields: str) -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    return " || ".join(f"({fields[p]})" if f else quoted(p) for f, p in _parts(template))
+
+
+def sample_lines(results: DataFrame, laser: bool) -> DataFrame:
+    """kind, i, part, line: the lines of every sample, in sample order."""
+    numbered = range_row_number(results, ["sample_id"], None, out="i")
+    n = results.agg(F.count("*").cast("string").alias("n"))
+    r = one_row_join(numbered, n)
+    i, text = F.col("i").cast("string"), {}
+    tag = F.when(F.coalesce("dataset", F.lit("")) != "", F.concat(F.lit(" ("), "dataset", F.lit(")"))).otherwise(F.lit(""))
+    latency = F.concat_ws(" | ", F.concat(F.lit("TTFB "), fmt_fixed(F.col("ttfb"), 2), F.lit("s")), F.concat(F.lit("TTFS "), fmt_fixed(F.col("ttfs"), 2), F.lit("s")))
+    wer = fmt_fixed(F.col("wer") * 100, 1)
+    ok, judged = F.col("error").isNull(), F.lit(False)
+    text["sample"] = fill("sample", i=i, n=F.col("n"), tag=tag, wer=wer, latency=latency)
+    if laser:
+        judged = F.col("laser").isNotNull()
+        text["sample"] = F.when(judged, fill("sample_laser", i=i, n=F.col("n"), tag=tag, wer=wer, latency=latency, laser=fmt_fixed(
+            J.error_pct(F.col("laser.laser_score")), 1))).otherwise(text["sample"])
+    lines = [F.struct(F.lit(0).alias("part"), F.when(ok, F.lit("sample")).otherwise(F.lit("failed")).alias("kind"),
+                      F.when(ok, text["sample"]).otherwise(fill("failed", i=i, n=F.col("n"), error=F.col("error"))).alias("line"))]
+    for part, (kind, column) in enumerate((("ref", "reference"), ("hyp", "text")), 1):
+        lines.append(F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), F.when(ok, fill(kind, text=F.coalesce(column, F.lit("")))).alias("line")))
+    if laser:
+        found = F.concat_ws(" | ", *[F.when(F.size(F.col(f"laser.{k}_errors")) > 0, fill(k, list=J.error_list(F.col(f"laser.{k}_errors"))))
+                                     for k in ("major", "minor", "no_penalty")])
+        lines.append(F.struct(F.lit(3).alias("part"), F.lit("errors").alias("kind"), F.when(ok & judged & (found != ""), F.concat(F.lit("  "), found)).alias("line")))
+    return r.select("i", F.explode(F.array(*lines)).alias("l")).where("l.line IS NOT NULL").select("l.kind", "i", "l.part", "l.line")
+
+
+def summary_lines(results: DataFrame, laser: bool, model: str = REPORT_MODEL, mode: str = REPORT_MODE) -> DataFrame:
+    """kind, dataset, line: skipped samples, then latencies, datasets and
+    totals, or the one line that there is nothing to summarise."""
+    s = eval_summary(results, laser=laser)
+    ov, ds = s.where(F.col("level") == "overall"), s.where(F.col("level") == "dataset")
+    some = ov.where("scored > 0")
+
+    def lines(kind: str, rows: DataFrame, line: Column) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), "dataset", line.alias("line"))
+    out = lines("skipped", ov.where("skipped > 0"), fill("skipped", n=F.col("skipped").cast("string")))
+    out = out.unionByName(lines("none", ov.where("scored = 0"), F.lit(REPORT_WORDS["none"])))
+    for c in ("ttfb", "ttfs"):
+        out = out.unionByName(lines(c, some.where(F.col(f"{c}_avg").isNotNull()), fill("latency", name=F.lit(c.upper()), **{
+            k: fmt_fixed(F.col(f"{c}_{k}"), 2) for k in ("avg", "p95", "min", "max")})))
+    wer, n = fmt_fixed(F.col("wer_pct"), 2), F.col("scored").cast("string")
+    each = fill("dataset_laser", ds=F.col("dataset"), wer=wer, n=n, laser=fmt_fixed(F.col("laser_pct_all"), 2)) if laser else fill(
+        "dataset", ds=F.col("dataset"), wer=wer, n=n)
+    out = out.unionByName(lines("dataset", ds, each))
+    out = out.unionByName(lines("overall", some, fill("overall", wer=wer, model=F.lit(model), mode=F.lit(mode), n=F.col("attempted").cast("string"))))
+    if laser:
+        out = out.unionByName(lines("laser", some.where("laser_pct_scored IS NOT NULL"), fill("laser", laser=fmt_fixed(F.col("laser_pct_scored"), 2))))
+    return out
+
+
+def report_lines(results: DataFrame, laser: bool = True) -> DataFrame:
+    """The whole report; samples first (numbered), then the summary."""
+    samples = sample_lines(results, laser).withColumn("dataset", F.lit(None).cast("string"))
+    rest = summary_lines(results, laser).withColumn("i", F.lit(None).cast("long")).withColumn("part", F.lit(None).cast("int"))
+    return samples.unionByName(rest).select("kind", "dataset", "i", "part", "line")
+
 
 def snk_report(spark, sf):
-    s = eval_summary(eval_results(spark, sf))
-    ds = s.where(F.col("level") == "dataset").select(
-        "level", "dataset", F.concat(F.lit("WER ("), F.col("dataset"), F.lit("): "), fmt_fixed(F.col("wer_pct"), 2),
-                                     F.lit("% | Samples: "), F.col("scored").cast("string")).alias("line"))
-    ov = s.where(F.col("level") == "overall")
-    overall = ov.select("level", "dataset", F.concat(
-        F.lit("WER: "), fmt_fixed(F.col("wer_pct"), 2), F.lit(f"% | Model: {REPORT_MODEL} ({REPORT_MODE}) | Samples: "),
-        F.col("attempted").cast("string")).alias("line"))
-    lat = []
-    for c, label in (("ttfb", "TTFB"), ("ttfs", "TTFS")):
-        lat.append(ov.where(F.col(f"{c}_avg").isNotNull()).select(
-            F.lit(c).alias("level"), "dataset", F.concat(
-                F.lit(f"{label}: avg "), fmt_fixed(F.col(f"{c}_avg"), 2), F.lit("s | P95 "),
-                fmt_fixed(F.col(f"{c}_p95"), 2), F.lit("s | Min "), fmt_fixed(F.col(f"{c}_min"), 2),
-                F.lit("s | Max "), fmt_fixed(F.col(f"{c}_max"), 2), F.lit("s")).alias("line")))
-    return ds.unionByName(overall).unionByName(lat[0]).unionByName(lat[1])
+    """The report of a judged run, written as text lines with their order and
+    read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/report/{uuid.uuid4().hex}"
+    report_lines(laser_results(spark, sf, texts=True)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def sql_snk_report():
+    from .judging import _laser_ctes
     f = sql_fmt_fixed
+    quote = r"""CASE WHEN contains(e, '''') AND NOT contains(e, '"') THEN '"' || replace(e, '\', '\\') || '"'
+ELSE '''' || replace(replace(e, '\', '\\'), '''', '\''') || '''' END"""
+    errors = lambda k: sql_fill(k, list=f"'[' || array_to_string(list_transform(l_{k}_errors, lambda e: {quote}), ', ') || ']'")
+    latency = f"concat_ws(' | ', 'TTFB ' || {f('ttfb', 2)} || 's', 'TTFS ' || {f('ttfs', 2)} || 's')"
+    tag = "CASE WHEN coalesce(dataset, '') <> '' THEN ' (' || dataset || ')' ELSE '' END"
+    common = dict(i="CAST(i AS VARCHAR)", n="CAST(n AS VARCHAR)", tag=tag, wer=f("wer * 100", 1), latency=latency)
+    laser_pct = f("(1.0 - laser_score) * 100", 1)
+    listed = ", ".join(f"CASE WHEN len(l_{k}_errors) > 0 THEN {errors(k)} END" for k in ("major", "minor", "no_penalty"))
     lat = " UNION ALL ".join(
-        f"""SELECT '{c}' AS level, dataset, '{lab}: avg ' || {f(c + '_avg', 2)} || 's | P95 ' || {f(c + '_p95', 2)}
-|| 's | Min ' || {f(c + '_min', 2)} || 's | Max ' || {f(c + '_max', 2)} || 's' AS line FROM summ
-WHERE level = 'overall' AND {c}_avg IS NOT NULL""" for c, lab in (("ttfb", "TTFB"), ("ttfs", "TTFS")))
-    return O.with_recursive(*results_sql(), f"summ AS ({summary_sql()})") + f"""
-SELECT level, dataset, 'WER (' || dataset || '): ' || {f('wer_pct', 2)} || '% | Samples: ' || CAST(scored AS VARCHAR) AS line
-FROM summ WHERE level = 'dataset'
-UNION ALL
-SELECT level, dataset, 'WER: ' || {f('wer_pct', 2)} || '% | Model: {REPORT_MODEL} ({REPORT_MODE}) | Samples: ' ||
-CAST(attempted AS VARCHAR) AS line FROM summ WHERE level = 'overall'
-UNION ALL {lat}"""
+        f"SELECT '{c}', dataset, NULL, NULL, " + sql_fill("latency", name=f"'{c.upper()}'", **{k: f(f"{c}_{k}", 2) for k in ("avg", "p95", "min", "max")})
+        + f" FROM summ WHERE level = 'overall' AND scored > 0 AND {c}_avg IS NOT NULL" for c in ("ttfb", "ttfs"))
+    total = {"wer": f("wer_pct", 2)}
+    overall = sql_fill("overall", model=f"'{REPORT_MODEL}'", mode=f"'{REPORT_MODE}'", n="CAST(attempted AS VARCHAR)", **total)
+    ds_line = sql_fill("dataset_laser", ds="dataset", n="CAST(scored AS VARCHAR)", laser=f("laser_pct_all", 2), **total)
+    return O.with_recursive(*_laser_ctes(), f"summ AS ({summary_sql('lasered', laser=True)})", """
+numbered AS (
+  SELECT l.*, j.reference, j.text, row_number() OVER (ORDER BY sample_id) AS i, count(*) OVER () AS n
+  FROM lasered l JOIN joined j USING (sample_id)
+)""") + f"""
+SELECT CASE WHEN error IS NULL THEN 'sample' ELSE 'failed' END AS kind, CAST(NULL AS VARCHAR) AS dataset, i, 0 AS part,
+  CASE WHEN error IS NOT NULL THEN {sql_fill('failed', error='error', i=common['i'], n=common['n'])}
+       ELSE {sql_fill('sample_laser', laser=laser_pct, **common)} END AS line FROM numbered
+UNION ALL SELECT 'ref', NULL, i, 1, {sql_fill('ref', text="coalesce(reference, '')")} FROM numbered WHERE error IS NULL
+UNION ALL SELECT 'hyp', NULL, i, 2, {sql_fill('hyp', text="coalesce(text, '')")} FROM numbered WHERE error IS NULL
+UNION ALL SELECT 'errors', NULL, i, 3, '  ' || found FROM (SELECT i, concat_ws(' | ', {listed}) AS found FROM numbered WHERE error IS NULL) WHERE found <> ''
+UNION ALL SELECT 'skipped', dataset, NULL, NULL, {sql_fill('skipped', n='CAST(skipped AS VARCHAR)')} FROM summ WHERE level = 'overall' AND skipped > 0
+UNION ALL SELECT 'none', dataset, NULL, NULL, '{REPORT_WORDS['none']}' FROM summ WHERE level = 'overall' AND scored = 0
+UNION ALL {lat}
+UNION ALL SELECT 'dataset', dataset, NULL, NULL, {ds_line} FROM summ WHERE level = 'dataset'
+UNION ALL SELECT 'overall', dataset, NULL, NULL, {overall} FROM summ WHERE level = 'overall' AND scored > 0
+UNION ALL SELECT 'laser', dataset, NULL, NULL, {sql_fill('laser', laser=f('laser_pct_scored', 2))} FROM summ WHERE level = 'overall' AND scored > 0 AND laser_pct_scored IS NOT NULL"""
 
 
 # --- streams -------------------------------------------------------------------------------
@@ -137,7 +237,7 @@ PROMPT_SCHEMA = "prompt string, candidate_id int, ts timestamp, shuffle_rank lon
 
 
 def st_prompt_dedup(spark, sf):
-    c = candidate_scores(spark, sf).select("prompt", "candidate_id", F.timestamp_seconds("shuffle_rank").alias("ts"),
+    c = candidate_scores(spark, sf, ranked=True).select("prompt", "candidate_id", F.timestamp_seconds("shuffle_rank").alias("ts"),
                                            "shuffle_rank")
     path = replay.scratch(spark, "prompt_feed")
     replay.stage_slices(c, path, "shuffle_rank")

@@ -11,7 +11,7 @@ from ..operators.summary import eval_summary
 from ..session import materialize
 from ..sources import fixtures as fx
 from . import oracle as O
-from .evaluation import eval_results, results_sql, summary_sql
+from .evaluation import eval_results, joined_samples, results_sql, scored_samples, summary_sql
 
 
 # --- Spark ----------------------------------------------------------------------
@@ -20,24 +20,25 @@ def parsed_replies(spark: SparkSession, sf: str) -> DataFrame:
     return J.with_parsed_reply(fx.judge_replies(spark, sf), "raw", "reply")
 
 
-def laser_results(spark: SparkSession, sf: str) -> DataFrame:
+def laser_results(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
     """Per-sample results with a ``laser`` struct; an invalid judge reply
-    fails the sample (it is then skipped, like a failed transcription)."""
-    r = eval_results(spark, sf)
-    rep = parsed_replies(spark, sf).select("sample_id", "reply")
-    r = r.join(rep, "sample_id", "left")
+    fails the sample (it is then skipped, like a failed transcription).  The
+    replies join before the scoring, where samples and hypotheses already lie
+    by sample_id, and one table is written; ``texts`` keeps reference and text."""
+    joined = joined_samples(spark, sf).join(fx.judge_replies(spark, sf, for_join=True), "sample_id", "left")
+    r = J.with_parsed_reply(scored_samples(joined), "raw", "reply")
     sc = J.shortcut(F.col("norm_ref"), F.col("norm_hyp"))
     rp = F.col("reply")
     judged = F.struct(*[rp.getField(k).alias(k) for k in J.LASER_STRUCT])
-    needs = sc.isNull()
-    laser = F.when(~needs, sc).when(F.coalesce(rp.getField("valid"), F.lit(False)), judged)
+    needs = F.col("needs_judge")
+    r = r.withColumn("_decided", sc).withColumn("needs_judge", F.col("_decided").isNull())
+    laser = F.when(~needs, F.col("_decided")).when(F.coalesce(rp.getField("valid"), F.lit(False)), judged)
     err = F.coalesce(F.col("error"), F.when(needs & ~F.coalesce(rp.getField("valid"), F.lit(False)),
                                              F.concat(F.lit("judge: "), F.coalesce(rp.getField("reason"),
                                                                                   F.lit("no reply")))))
-    out = (r.withColumn("needs_judge", needs).withColumn("laser", laser)
-           .withColumn("error", err).withColumn("laser_score", F.col("laser.laser_score")).drop("reply"))
+    out = r.withColumn("laser", laser).withColumn("error", err).withColumn("laser_score", F.col("laser.laser_score"))
     # written once: summaries read it in several branches
-    return materialize(out, "laser_results")
+    return materialize(out.drop("reply", "raw", "_decided", *([] if texts else ["reference", "text"])), "laser_results")
 
 
 def _ok(df):
@@ -95,8 +96,11 @@ def str_missing_marker(spark, sf):
 
 
 def str_judge_prompt(spark, sf):
+    """The judge's request of each sample that needs it: both messages, as
+    columns and as the JSON text that is sent."""
     r = _ok(eval_results(spark, sf)).where((F.col("norm_ref") != "") & (F.col("norm_hyp") != ""))
-    return r.select("sample_id", J.user_prompt(F.col("norm_ref"), F.col("norm_hyp")).alias("user_content"))
+    r = r.select("sample_id", F.lit(J.SYSTEM_PROMPT).alias("system_content"), J.user_prompt(F.col("norm_ref"), F.col("norm_hyp")).alias("user_content"))
+    return r.withColumn("messages", J.messages(F.col("system_content"), F.col("user_content")))
 
 
 def q_eval_laser(spark, sf):
@@ -275,9 +279,11 @@ WHERE error IS NULL AND norm_ref <> '' AND norm_hyp = ''"""
 
 
 def sql_str_judge_prompt():
-    return O.with_recursive(*results_sql()) + """ SELECT sample_id,
+    system = J.SYSTEM_PROMPT.replace("'", "''")
+    return O.with_recursive(*results_sql()) + f""" SELECT *, CAST(to_json([struct_pack("role" := 'system', content := system_content),
+struct_pack("role" := 'user', content := user_content)]) AS VARCHAR) AS messages FROM (SELECT sample_id, '{system}' AS system_content,
 'Reference: ' || norm_ref || chr(10) || 'Hypothesis: ' || norm_hyp AS user_content FROM results
-WHERE error IS NULL AND norm_ref <> '' AND norm_hyp <> ''"""
+WHERE error IS NULL AND norm_ref <> '' AND norm_hyp <> '')"""
 
 
 def sql_q_eval_laser():

@@ -27,23 +27,43 @@ from ..sources.fixtures import (
     LINE_ID_BASE,
     STREAMING_MODEL,
 )
+from ..sources.registry import EVALUATED, NO_LANGUAGE, OTHERS
 
 SPLIT_WORDS = duckdb_split_words
 
 
+SPLIT_OF_DOCUMENT = "CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) THEN 'test' ELSE 'train' END"
+DOCUMENT_DATASET = f"'documents-' || coalesce(lang, '{NO_LANGUAGE}') || '-' || {SPLIT_OF_DOCUMENT}"
+
+
 def utterances_cte() -> str:
     return f"""
 utter AS (
-  SELECT (doc_id + 1) * {LINE_ID_BASE} + (pos - 1) AS sample_id, source AS dataset, lang, line AS text
+  SELECT (doc_id + 1) * {LINE_ID_BASE} + (pos - 1) AS sample_id, dataset, lang, line AS text
   FROM (
-    SELECT doc_id, source, lang, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
-    FROM (SELECT doc_id, source, lang, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS parts FROM documents)
+    SELECT doc_id, dataset, lang, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+    FROM (SELECT doc_id, {DOCUMENT_DATASET} AS dataset, lang, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS parts FROM documents)
   )
   UNION ALL
   SELECT -(item_id + 1) AS sample_id, '{BENCHMARK_DATASET}' AS dataset, 'en' AS lang, text FROM benchmark
 )"""
 
 
+def registry_cte(evaluated: bool = False) -> str:
+    """``registry(dataset, position)``, in registry order."""
+    others = [n for n, e in OTHERS.items() if not evaluated or e.path in EVALUATED]
+    rest = " ".join(f"UNION ALL SELECT '{n}', n + {i} FROM doc_count" for i, n in enumerate(others))
+    return f"""
+doc_names AS (
+  SELECT DISTINCT 'documents-' || coalesce(lang, '{NO_LANGUAGE}') || '-' || s AS dataset
+  FROM documents, (SELECT unnest(['test', 'train']) AS s)
+),
+doc_count AS (SELECT count(*) AS n FROM doc_names),
+registry AS (
+  SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS position FROM doc_names {rest}
+)"""
+
+
 def samples_cte() -> str:
     return f"""
 samples AS (

@@ -3,6 +3,7 @@ dataset profile, text edits."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import WS
@@ -32,8 +33,9 @@ SEARCH_WINDOWS = 15
 # ---------------------------------------------------------------------------------
 
 QUERY = "div the class"
-CATALOG_QUERY = "src1"
-CATALOG_LANGUAGE = "en"
+CATALOG_SEARCHES = (("src1", "automatic-speech-recognition", "en"), ("SRC", "audio-classification", ""), ("zz'z", "automatic-speech-recognition", "fr"))
+CATALOG_FOUND = "Found {n} dataset(s) for query='{query}':"
+CATALOG_NONE = "No datasets found for query='{query}', task='{task}', language='{language}'."
 EDIT_SPECS = (("the", "THE", False), ("the", "THE", True), ("Ouen", "OUEN", False))
 COUNT_LITERAL = "the"
 TEMPLATE = "{name}: {n} documents in {langs}"
@@ -312,12 +314,37 @@ def str_catalog_line(spark, sf):
     return _cat(spark, sf).select("id", _catalog_line().alias("line"))
 
 
+def search_catalog(catalog, query: str, task: str = "automatic-speech-recognition", language: str = "", limit: int = CATALOG_LIMIT):
+    """(line_no, line) of one search: a header, then two lines for each of the
+    most downloaded entries whose id holds the query (one where there is no
+    description), or the one line that nothing was found.  Empty task or
+    language: any."""
+    c = catalog.where(F.lower("id").contains(query.lower()))
+    if task:
+        c = c.where(F.col("task") == task)
+    if language:
+        c = c.where(F.array_contains("languages", language))
+    # at most ``limit`` rows from here on
+    top = c.orderBy(F.desc("downloads"), "id").limit(limit)
+    top = top.withColumn("n", F.row_number().over(Window.orderBy(F.desc("downloads"), "id")))
+    desc = F.when(F.col("desc") != "", F.concat(F.lit("  "), ellipsis(F.col("desc"))))
+    found = top.select(F.explode(F.array(F.struct((F.col("n") * 2).alias("line_no"), _catalog_line().alias("line")),
+                                         F.struct((F.col("n") * 2 + 1).alias("line_no"), desc.alias("line")))).alias("l")).select("l.*").where("line IS NOT NULL")
+    head, rest = CATALOG_FOUND.split("{n}")
+    none = CATALOG_NONE.format(query=query, task=task, language=language)
+    header = top.agg(F.count("*").alias("k")).select(F.lit(1).alias("line_no"), F.when(F.col("k") == 0, F.lit(none)).otherwise(
+        F.concat(F.lit(head), F.col("k").cast("string"), F.lit(rest.format(query=query)))).alias("line"))
+    return header.unionByName(found)
+
+
 def q_catalog_search(spark, sf):
-    c = _cat(spark, sf).where(F.array_contains("languages", CATALOG_LANGUAGE)
-                              & F.lower("id").contains(CATALOG_QUERY.lower()))
-    top = c.orderBy(F.desc("downloads"), "id").limit(CATALOG_LIMIT)
-    return top.select("id", _catalog_line().alias("line"),
-                      F.when(F.col("desc") != "", F.concat(F.lit("  "), ellipsis(F.col("desc")))).alias("desc_line"))
+    """Three searches: with task and language, by task alone, and one that
+    finds nothing."""
+    out = None
+    for i, (query, task, language) in enumerate(CATALOG_SEARCHES):
+        one = search_catalog(_cat(spark, sf), query, task, language).select(F.lit(i).alias("search"), "line_no", "line")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def str_template_fill(spark, sf):
@@ -363,7 +390,8 @@ cat2 AS (
   SELECT id, downloads,
          CASE WHEN CAST(regexp_extract(id, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN '' ELSE 'Speech-like corpus ' || id END AS description,
          CASE WHEN CAST(regexp_extract(id, '(\\d+)$', 1) AS INTEGER) % 3 = 0 THEN NULL ELSE first_text END AS card_description,
-         upper(id) AS pretty_name, languages, n_docs
+         upper(id) AS pretty_name, languages, n_docs,
+         CASE WHEN CAST(regexp_extract(id, '(\\d+)$', 1) AS INTEGER) % 4 = 3 THEN 'audio-classification' ELSE 'automatic-speech-recognition' END AS task
   FROM cat
 ),
 cat3 AS (
@@ -408,10 +436,16 @@ def sql_str_catalog_line():
 
 
 def sql_q_catalog_search():
-    d = '"desc"'
-    return _c(f""" SELECT id, line, CASE WHEN {d} <> '' THEN '  ' || {_ellipsis_sql(d)} END AS desc_line FROM (
-SELECT * FROM cat3 WHERE list_contains(languages, '{CATALOG_LANGUAGE}') AND contains(lower(id), '{CATALOG_QUERY.lower()}')
-ORDER BY downloads DESC, id LIMIT {CATALOG_LIMIT})""")
+    d, parts = '"desc"', []
+    for i, (query, task, language) in enumerate(CATALOG_SEARCHES):
+        where = [f"contains(lower(id), '{query.lower().replace(chr(39), chr(39) * 2)}')"] + ([f"task = '{task}'"] if task else []) + (
+            [f"list_contains(languages, '{language}')"] if language else [])
+        none = CATALOG_NONE.format(query=query, task=task, language=language).replace("'", "''")
+        head, rest = CATALOG_FOUND.format(n="{n}", query=query).replace("'", "''").split("{n}")
+        top = f"""(SELECT *, row_number() OVER (ORDER BY downloads DESC, id) AS n FROM cat3 WHERE {' AND '.join(where)} QUALIFY n <= {CATALOG_LIMIT})"""
+        parts += [f"SELECT {i} AS search, 1 AS line_no, CASE WHEN count(*) = 0 THEN '{none}' ELSE '{head}' || CAST(count(*) AS VARCHAR) || '{rest}' END AS line FROM {top}",
+                  f"SELECT {i}, n * 2, line FROM {top}", f"SELECT {i}, n * 2 + 1, '  ' || {_ellipsis_sql(d)} FROM {top} WHERE {d} <> ''"]
+    return _c(" SELECT search, CAST(line_no AS INTEGER) AS line_no, line FROM (" + " UNION ALL ".join(parts) + ")")
 
 
 def sql_str_template_fill():

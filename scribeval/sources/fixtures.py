@@ -5,7 +5,8 @@ them by fixed, engine-neutral rules (the same rules are written in DuckDB SQL
 by ``scribeval.plans.oracle``):
 
 * ``utterances``: every line of every document (split on line ends, whole
-  lines, nothing cut) plus every ``benchmark`` item.  One row = one sample.
+  lines, nothing cut) plus every ``benchmark`` item.  One row = one sample; its
+  dataset is the registry's entry of the row.
 * ``samples``: utterances with the two unscorable markers and empty
   references injected at fixed id residues (they occur in no document).
 * ``hypotheses``: a transcription per sample, made from the reference by
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import split_words
 from ..operators.search import split_lines
+from .registry import document_dataset, with_split
 from .tables import read_events, read_table
 
 # --- fixed values -----------------------------------------------------------
@@ -48,15 +50,15 @@ def utterances(spark: SparkSession, sf_dir: str, for_join: bool = False) -> Data
     With ``for_join`` the rows are hash-partitioned on sample_id once, so
     that the tables derived from them (samples, hypotheses, judge replies) meet
     without further shuffles; filters and projections need no shuffle."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = with_split(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), read_table(spark, sf_dir, "labels"))
     line_no = F.when(F.col("line_no") < LINE_ID_BASE, F.col("line_no")).otherwise(
         F.raise_error(F.lit("a text has more lines than sample ids allow")).cast("int"))
     lines = docs.select(
-        "doc_id", "source", "lang",
+        "doc_id", document_dataset(F.col("lang"), F.col("split")).alias("dataset"), "lang",
         F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_BREAK)).alias("line_no", "line"),
     ).select(
         ((F.col("doc_id") + 1) * LINE_ID_BASE + line_no).alias("sample_id"),
-        F.col("source").alias("dataset"),
+        "dataset",
         "lang",
         F.col("line").alias("text"),
     )
@@ -130,9 +132,9 @@ def _positions(words: Column, pred) -> Column:
     return F.filter(idx, lambda i: i.isNotNull())
 
 
-def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judge_replies(spark: SparkSession, sf_dir: str, for_join: bool = False) -> DataFrame:
     """X4: sample_id, raw (judge reply JSON text or null)."""
-    u = utterances(spark, sf_dir).select("sample_id", split_words(F.col("text")).alias("w"))
+    u = utterances(spark, sf_dir, for_join).select("sample_id", split_words(F.col("text")).alias("w"))
     w = F.col("w")
     n = F.size(w)
     major = F.transform(_positions(w, lambda i: (i % 11 == 5) & (i % 7 != 3)),
@@ -261,7 +263,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     id = source; downloads = sum(n_chars); languages = sorted distinct langs;
     description blank for sources whose number is even, pretty_name =
-    upper-case id; card_description = text of the source's lowest doc_id."""
+    upper-case id; task by the number; card_description = text of the source's lowest doc_id."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     agg = d.groupBy("source").agg(
         F.sum("n_chars").alias("downloads"),
@@ -278,4 +280,5 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper("source").alias("pretty_name"),
         "languages",
         "n_docs",
+        F.when(num % 4 == 3, F.lit("audio-classification")).otherwise(F.lit("automatic-speech-recognition")).alias("task"),
     )

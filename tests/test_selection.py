@@ -1,7 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from scribeval.operators.selection import even_quota, named_dataset, registry_of, resolve_selection, scorable
+from scribeval.plans.corpus import ADHOC, load_datasets, scan_entry, src_registry
+from scribeval.sources.registry import registry
 
 
 def _samples(spark, per_ds):
@@ -54,13 +57,18 @@ def test_named_dataset(spark):
         named_dataset(every, "zz", registry_of(every)).collect()
 
 
+def _rows(sf, table):
+    return duckdb.sql(f"SELECT count(*) FROM '{sf}/{table}.parquet'").fetchall()[0][0]
+
+
 def test_loader_follows_the_registry(spark):
-    from scribeval.plans.corpus import ADHOC, REGISTRY, load_datasets
     sf = "/root/testdata/sf0.001"
+    names = registry(spark, sf)
     every = _counts(load_datasets(spark, sf))
-    assert set(every) <= set(REGISTRY) and {"benchmark", "pages", "conversations", "documents-en"} <= set(every)
+    assert set(every) <= set(names) and {"benchmark", "pages", "conversations", "documents-en-test"} <= set(every)
     assert _counts(load_datasets(spark, sf, "all")) == every
-    assert _counts(load_datasets(spark, sf, "benchmark")) == {"benchmark": every["benchmark"]}
+    for one in ("benchmark", "documents-en-test", "documents-de-train"):
+        assert _counts(load_datasets(spark, sf, one)) == {one: every[one]}
     assert set(_counts(load_datasets(spark, sf, adhoc=ADHOC))) == {"custom"}
     with pytest.raises(KeyError, match="Available"):
         load_datasets(spark, sf, "zz")
@@ -68,6 +76,28 @@ def test_loader_follows_the_registry(spark):
         load_datasets(spark, sf, "benchmark", ADHOC)
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_every_row_is_in_one_entry(spark, sf):
+    found = {r.dataset: r.rows for r in src_registry(spark, sf).collect()}
+    assert sum(n for d, n in found.items() if d.startswith("documents-")) == _rows(sf, "documents")
+    assert all(found[t] == _rows(sf, t) for t in ("benchmark", "conversations", "pages"))
+    # the same rows by one scan for each entry
+    assert {n: scan_entry(spark, sf, e, n).count() for n, e in registry(spark, sf).items()} == found
+
+
+def test_rows_without_a_language(spark, tmp_path):
+    rows = [(1, "a", "en"), (2, "b", None), (3, "c", None), (4, "d", "none"), (5, None, "xx-yy"), (2, "e", "en"), (None, "f", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2,), (2,), (5,), (None,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, columns in (("benchmark", "item_id long, text string"), ("conversations", "turn long, text string"), ("pages", "page_id long, html string")):
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    sf = str(tmp_path)
+    want = {"documents-en-test": 1, "documents-en-train": 2, "documents-none-test": 1, "documents-none-train": 2, "documents-xx-yy-test": 1, "documents-xx-yy-train": 0}
+    assert {r.dataset: r.rows for r in src_registry(spark, sf).collect() if r.path == "documents"} == want
+    assert {n: scan_entry(spark, sf, e, n).count() for n, e in registry(spark, sf).items() if e.path == "documents"} == want
+    assert _counts(load_datasets(spark, sf)) == {k: n for k, n in want.items() if n}
+
+
 def test_unscorable_filters(spark):
     df = spark.createDataFrame([(1, "  ignore_time_segment_in_scoring "), (2, "word [inaudible] word"),
                                 (3, "keep me"), (4, None), (5, "INAUDIBLE")], "sample_id int, reference string")
