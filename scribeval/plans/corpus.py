@@ -19,6 +19,7 @@ from ..operators.selection import (
     with_quota,
 )
 from ..operators.summary import eval_summary
+from ..operators.wordmap import map_words
 from ..sources import fixtures as fx
 from ..sources.registry import EVALUATED, NO_LANGUAGE, DatasetEntry, document_dataset, registry, registry_frame, with_split
 from ..sources.tables import read_table
@@ -406,6 +407,31 @@ def sql_str_normalize():
         " SELECT sample_id, array_to_string(rt, ' ') AS norm_ref FROM normed"
 
 
+def word_tables(spark, sf):
+    """A stand-in for a caller's tables: words of the benchmark texts with six
+    letters or more, spelled without their last one."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word")
+    words = read_table(spark, sf, "benchmark").select(word).distinct()
+    return words.select("word", F.expr("substr(word, 1, length(word) - 1)").alias("replacement"))
+
+
+def str_normalize_tables(spark, sf):
+    """Normalised references with the words of a caller's table replaced."""
+    s = fx.samples(spark, sf).select("sample_id", "reference").repartition(scoring_partitions(spark), "sample_id")
+    tokens = with_normalized(s, "reference", "ref").select("sample_id", "ref_tokens")
+    mapped = map_words(tokens, "sample_id", "ref_tokens", word_tables(spark, sf))
+    return mapped.select("sample_id", F.array_join("ref_tokens", " ").alias("norm_ref"))
+
+
+def sql_str_normalize_tables():
+    return _ctes(O.normalized_ctes("samples", "normed", "sample_id", "reference", "reference"), """
+words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM benchmark)""") + """
+SELECT n.sample_id, coalesce(t.norm, '') AS norm_ref FROM normed n LEFT JOIN (
+  SELECT sample_id, string_agg(CASE WHEN w.word IS NULL THEN token ELSE left(token, length(token) - 1) END, ' ' ORDER BY pos) AS norm
+  FROM (SELECT sample_id, unnest(rt) AS token, generate_subscripts(rt, 1) AS pos FROM normed) LEFT JOIN words w ON w.word = token
+  GROUP BY sample_id) t USING (sample_id)"""
+
+
 def str_word_count(spark, sf):
     s = fx.samples(spark, sf)
     return s.select("sample_id", F.size(split_words(F.col("reference"))).alias("n_words"))
