@@ -1,4 +1,4 @@
-"""Word alignment (edit operations) and the rule-based rubric score.
+"""Word alignment (edit operations).
 
 ``align_ops`` is the one Python step: per (reference, hypothesis) pair it
 runs the word edit-distance DP with numpy (row by row; the insertion chain
@@ -6,12 +6,6 @@ inside a row is a running minimum; of n rows about 3 * sqrt(n) are held) and
 backtraces one optimal alignment
 (ties: match/substitution, then deletion, then insertion).  It runs in
 ``mapInPandas`` on Arrow batches; Spark partitions the pairs.
-
-The rubric itself is native Spark on the exploded operations
-(``rubric_scores``): each edit is worth 0, 0.5 or 1 point and the score is
-``1 - points / reference words`` clamped to [0, 1].  It is a deterministic
-stand-in for the language-model judge and is labelled ``rubric_score``,
-never ``laser_score``.
 """
 
 from __future__ import annotations
@@ -19,19 +13,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 OPS_SCHEMA = "sample_id long, op_no int, op string, ref_word string, hyp_word string, prev_hyp string"
 
-# --- fixed values: rubric word classes ----------------------------------------------
-FILLERS = ("uh", "um", "ah", "er", "hmm", "mm", "mhm")
-DISCOURSE = ("well", "so", "and", "but", "like", "okay", "ok", "yeah", "right")
-ARTICLES = ("a", "an", "the")
-PREPOSITIONS = ("in", "on", "at", "of", "for", "to", "with", "about", "by", "from", "into", "onto")
-SPELLING_MIN_LEN = 5
-CONFUSED = ("affect effect", "effect affect")  # one letter apart, yet different words
-# -------------------------------------------------------------------------------------
-
 
 def edit_ops(ref: list[str], hyp: list[str]) -> list[tuple[str, str | None, str | None]]:
     n, m = len(ref), len(hyp)
@@ -112,47 +96,3 @@ def _align_batches(batches):
 def align_ops(pairs: DataFrame) -> DataFrame:
     """(sample_id, norm_ref, norm_hyp) -> one row per edit operation."""
     return pairs.select("sample_id", "norm_ref", "norm_hyp").mapInPandas(_align_batches, OPS_SCHEMA)
-
-
-def _one_char_apart(a, b):
-    """One character substituted, inserted or deleted."""
-    return F.levenshtein(a, b) == 1
-
-
-def op_points(ops: DataFrame) -> DataFrame:
-    """Adds ``points`` (0 / 0.5 / 1) and ``kind`` to each operation."""
-    op, r, h = F.col("op"), F.col("ref_word"), F.col("hyp_word")
-    word = F.coalesce(r, h)
-    plural = (F.concat(r, F.lit("s")) == h) | (F.concat(h, F.lit("s")) == r) | \
-             (F.concat(r, F.lit("es")) == h) | (F.concat(h, F.lit("es")) == r)
-    prev_same = F.coalesce(F.col("prev_hyp") == h, F.lit(False))
-    kind = (
-        F.when(op == "ok", F.lit("match"))
-        .when(op.isin("ins", "del") & word.isin(*FILLERS), F.lit("filler"))
-        .when((op == "ins") & prev_same, F.lit("repetition"))
-        .when(op.isin("ins", "del") & word.isin(*DISCOURSE), F.lit("discourse"))
-        .when((op == "sub") & plural, F.lit("plural"))
-        .when(op.isin("ins", "del") & word.isin(*ARTICLES), F.lit("article"))
-        .when((op == "sub") & r.isin(*PREPOSITIONS) & h.isin(*PREPOSITIONS), F.lit("preposition"))
-        .when((op == "sub") & F.concat_ws(" ", r, h).isin(*CONFUSED), F.lit("content"))
-        .when((op == "sub") & (F.length(r) >= SPELLING_MIN_LEN) & _one_char_apart(r, h), F.lit("spelling"))
-        .otherwise(F.lit("content"))
-    )
-    pts = (F.when(kind.isin("match", "filler", "repetition", "discourse", "plural"), F.lit(0.0))
-           .when(kind.isin("article", "preposition", "spelling"), F.lit(0.5)).otherwise(F.lit(1.0)))
-    return ops.withColumn("kind", kind).withColumn("points", pts)
-
-
-def rubric_scores(ops: DataFrame) -> DataFrame:
-    """Per sample: points, reference words, rubric_score and counts."""
-    p = op_points(ops)
-    g = p.groupBy("sample_id").agg(
-        F.sum("points").alias("points"),
-        F.count_if(F.col("ref_word").isNotNull()).alias("ref_words"),
-        F.count_if(F.col("points") == 1.0).alias("n_major"),
-        F.count_if(F.col("points") == 0.5).alias("n_minor"),
-        F.count_if((F.col("points") == 0.0) & (F.col("kind") != "match")).alias("n_no_penalty"),
-    )
-    score = F.when(F.col("ref_words") == 0, F.lit(1.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("points") / F.col("ref_words"))))
-    return g.withColumn("rubric_score", F.round(score, 9))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import audio as A
 from ..functions import judge as J
 from ..functions.strings import fmt_fixed, sql_fmt_fixed
-from ..operators.align import align_ops, rubric_scores
+from ..operators.align import align_ops
 from ..operators.enrich import enrich
 from ..operators.ranking import range_row_number
+from ..operators.rubric import rubric_scores
 from ..operators.sampling import one_row_join, shuffle_split
 from ..operators.selection import named_dataset, scorable
 from ..operators.summary import eval_summary
@@ -277,7 +278,10 @@ WHERE error IS NULL AND NOT (norm_ref = '' AND norm_hyp = '')"""
 
 
 def laser_rubric_native(spark, sf):
-    return rubric_scores(align_ops(_ok_results(spark, sf)))
+    """The rubric as rules, without a judge.  No twin: the table of a line of
+    thousands of words is too slow in SQL; ``tests/test_rubric.py`` holds it
+    against SQL and the definition on small texts."""
+    return rubric_scores(_ok_results(spark, sf))
 
 
 def udf_enrich(spark, sf):
