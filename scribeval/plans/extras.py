@@ -285,10 +285,10 @@ def laser_rubric_native(spark, sf):
 
 
 def udf_enrich(spark, sf):
-    """A caller's Python scorer (here: hypothesis word count) applied to every
-    result row through the retrying enrichment wrapper."""
+    """A caller's Python scorer (here: hypothesis word counts of a list of
+    texts) applied to every result row through the enrichment wrapper."""
     r = eval_results(spark, sf).select("sample_id", "norm_hyp")
-    out = enrich(r, "norm_hyp", lambda s: len(s.split()), "hyp_words", "int")
+    out = enrich(r, "norm_hyp", lambda texts: [len(t.split()) for t in texts], "hyp_words", "int")
     return out.select("sample_id", "hyp_words", "hyp_words_error")
 
 
