@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scribeval.llm import jaccard_join, keep, packing, queries, substring_dedup, tokens, topk_search, warc, words
+from scribeval.llm import jaccard_join, keep, lattice_dedup, packing, queries, substring_dedup, tokens, topk_search, warc, words
 
 from . import brute
 
@@ -171,3 +171,33 @@ def test_long_words_against_brute_force(spark):
         assert (row.n_words, row.n_removed, row.kept_text) == (want[row.doc_id][0], want[row.doc_id][1], " ".join(want[row.doc_id][2]))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.link(docs).collect()}
     assert got == brute.jaccard_components(rows, 4, 85)
+
+
+# -- 7: recall at any number of dimensions --------------------------------------------
+
+@pytest.mark.parametrize("dim", [2, 8, 16, 24, 32, 64, 300])
+def test_lattice_recall_follows_the_dimension(dim):
+    r = np.random.default_rng(dim)
+    a, o = r.standard_normal((2, 1500, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    b = 0.951 * a + np.sqrt(1 - 0.951 ** 2) * o
+    named = [lattice_dedup.cells(x, 8, 2, lattice_dedup.fitting_scale(dim, 2, 0.95)).reshape(-1, 8, 4) for x in (a, b)]
+    met = np.zeros(len(a), bool)
+    for x, y in (named, named[::-1]):
+        met |= (x == y[:, :, :1]).any(axis=(1, 2))
+    assert met.mean() >= 0.98
+
+
+@pytest.mark.parametrize("dim", [8, 16, 24])
+def test_lattice_finds_links_of_short_vectors(spark, dim):
+    r = np.random.default_rng(dim)
+    base = r.standard_normal((60, dim))
+    rows = [(i, (base[i % 60] + 0.12 * r.standard_normal(dim)).tolist()) for i in range(240)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sum(row.n_links for row in lattice_dedup.dedup(df).collect())
+    assert 0.97 * want.sum() <= got <= want.sum() and want.sum() > 300
