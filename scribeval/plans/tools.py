@@ -3,6 +3,8 @@ dataset profile, text edits."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ from ..functions.strings import (
     strip_ws,
     template_fill,
 )
+from ..operators import textlines
 from ..operators.search import query_words, search_texts, top_hits, window_blocks, window_lines, windows_of
+from ..operators.textlines import read_lines, search_lines
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from .corpus import doc_split
@@ -193,6 +198,27 @@ def q_line_search(spark, sf):
     return found.select("doc_id", "n_matches", F.col("total_hits").cast("long").alias("total_hits"), text.alias("result"))
 
 
+def text_files(spark, sf) -> str:
+    """A stand-in for texts larger than a row: the documents of each source,
+    in id order, as one text of several part files."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/text_files/{uuid.uuid4().hex}"
+    docs = read_table(spark, sf, "documents").select(
+        F.coalesce("text", F.lit("")).alias("value"), F.coalesce("source", F.lit("none")).alias("text"), "doc_id")
+    docs.repartitionByRange(4, "text", "doc_id").sortWithinPartitions("text", "doc_id").drop("doc_id").write.partitionBy("text").text(path)
+    return path
+
+
+def src_text_files(spark, sf):
+    """Numbered lines of texts read split by split."""
+    return read_lines(spark, text_files(spark, sf)).select("text", "line_no", "line")
+
+
+def join_text_windows(spark, sf):
+    """Line search on such texts: the lines of the kept windows, by a range join."""
+    lines = read_lines(spark, text_files(spark, sf))
+    return textlines.window_lines(lines, search_lines(lines, QUERY, SEARCH_WINDOWS))
+
+
 def _words_sql():
     return " + ".join(f"CAST(contains(lower(line), '{w}') AS INTEGER)" for w in query_words(QUERY))
 
@@ -237,6 +263,28 @@ def _lines(tail):
     return "WITH RECURSIVE " + LINES_SQL.replace("SCORE", _words_sql()).replace("MAXW", str(SEARCH_WINDOWS)) + tail
 
 
+TEXT_LINES_SQL = """
+lines AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY d, pos) - 1 AS line_no, line FROM (
+    SELECT doc_id, d, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM (
+      SELECT coalesce(source, 'none') AS doc_id, doc_id AS d, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS parts FROM documents))
+),
+scored"""
+
+
+def _text_lines(tail):
+    rest = LINES_SQL[LINES_SQL.index("\nscored") + len("\nscored"):]
+    return "WITH RECURSIVE " + (TEXT_LINES_SQL + rest).replace("SCORE", _words_sql()).replace("MAXW", str(SEARCH_WINDOWS)) + tail
+
+
+def sql_src_text_files():
+    return _text_lines(" SELECT doc_id AS text, line_no, line FROM lines")
+
+
+def sql_join_text_windows():
+    return _text_lines(" SELECT doc_id AS text, window_no, line_no, line FROM wlines")
+
+
 def sql_src_lines():
     return _lines(" SELECT doc_id, line_no, line FROM lines")
 
@@ -528,7 +576,7 @@ WHERE {strip} <> '' ORDER BY line"""
 
 _KEYS = (
     "flt_boilerplate_lines", "win_head_lines", "win_context_prune", "flt_answer_nonempty", "q_step_preview",
-    "src_lines", "str_number_lines", "str_keyword_score", "top_line_hits", "win_greedy_windows",
+    "src_lines", "src_text_files", "join_text_windows", "str_number_lines", "str_keyword_score", "top_line_hits", "win_greedy_windows",
     "join_line_window", "set_covered_lines", "q_line_search",
     "src_catalog", "top_downloads", "str_desc_fallback", "str_ellipsis", "str_catalog_line", "q_catalog_search",
     "str_template_fill", "agg_split_counts", "join_config_info", "q_dataset_profile",
