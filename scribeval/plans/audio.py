@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import audio as A
+from ..operators.audiopieces import cut, normalize_pieces
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..streaming.chunk_windows import chunk_times, chunk_windows, stage_chunks
@@ -58,6 +59,14 @@ def aud_normalize_job(spark, sf):
     return p.select("clip_id", F.size("pcm").alias("n_samples"), "pcm")
 
 
+PIECE = 500  # samples; real pieces hold minutes
+
+
+def aud_normalize_pieces(spark, sf):
+    """The same job on clips that come as pieces (halo rows)."""
+    return normalize_pieces(cut(fx.recordings(spark, sf), PIECE)).select("clip_id", "piece_no", F.size("pcm").alias("n_samples"), "pcm")
+
+
 def aud_chunks(spark, sf):
     return chunks(spark, sf)
 
@@ -156,6 +165,17 @@ def sql_aud_normalize_job():
     return _with() + " SELECT clip_id, len(pcm) AS n_samples, pcm FROM prep"
 
 
+def sql_aud_normalize_pieces():
+    n = "CAST(floor(CAST(total AS DOUBLE) / CAST(sampling_rate AS DOUBLE) * 16000.0::DOUBLE) AS INTEGER)"
+    step = f"(CAST(total - 1 AS DOUBLE) / CAST({n} - 1 AS DOUBLE))"
+    at = f"CASE WHEN sampling_rate = 16000 OR {n} = 1 THEN k WHEN k = {n} - 1 THEN total - 1 ELSE least(CAST(floor(k * {step}) AS BIGINT), total - 1) END"
+    return _with() + f""", samples AS (
+  SELECT clip_id, sampling_rate, len(m) AS total, unnest(pcm) AS v, generate_subscripts(pcm, 1) - 1 AS k FROM prep JOIN mono USING (clip_id, sampling_rate)
+)
+SELECT clip_id, CAST(place // {PIECE} AS INTEGER) AS piece_no, len(list(v)) AS n_samples, list(v ORDER BY k) AS pcm
+FROM (SELECT *, {at} AS place FROM samples) GROUP BY clip_id, place // {PIECE}"""
+
+
 def sql_aud_chunks():
     return _with() + " SELECT clip_id, CAST(chunk_no AS INTEGER) AS chunk_no, payload_hex, n_bytes, CAST(offset_ms AS INTEGER) AS offset_ms FROM chunks"
 
@@ -176,6 +196,6 @@ CAST(coalesce(list_sum(list_transform(pcm, lambda x: CAST(x AS BIGINT))), 0) AS
 
 
 QUERIES = {k: globals()[k] for k in (
-    "aud_downmix", "aud_resample", "aud_quantize", "aud_normalize_job", "aud_chunks",
+    "aud_downmix", "aud_resample", "aud_quantize", "aud_normalize_job", "aud_normalize_pieces", "aud_chunks",
     "snk_pcm_chunks", "st_chunk_tumbling", "q_audio_prepare")}
 ORACLE = {k: globals()["sql_" + k] for k in QUERIES}
