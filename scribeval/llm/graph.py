@@ -2,9 +2,10 @@
 
 ``components(links)`` takes undirected links ``(u, v)`` and returns
 ``(node, component_id)`` with the smallest node reachable from each node.
-Every round is two aggregations and two joins on the node; a hub with many
-links is combined map-side (minimum) and its join partition may be split by
-the adaptive skew join.  Each round is written as a table in the session's
+Every round is two aggregations and two joins on the node.  A hub with many
+links is combined map-side (minimum), and its join is dealt to many tasks: a
+hub's links go to places by their other ends, and its minimum to each of these
+places.  Each round is written as a table in the session's
 checkpoint folder, so no lineage grows and nothing is collected but two
 numbers that say whether the links still change.
 """
@@ -17,16 +18,32 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+#: Nodes of more links than this are hubs, and so many hubs are told at most.
+HUB_LINKS, MOST_HUBS = 64, 50_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``rows (u, v)`` with the columns of ``least (u, m, n)``, n the links of
+    u; all n together are ``total`` at most."""
+    share = max(HUB_LINKS, -(-total // MOST_HUBS))
+    places = F.ceil(F.col("n") / F.lit(share)).cast("int")
+    # by their links, at most total / share <= MOST_HUBS rows
+    hubs = F.broadcast(least.where(F.col("n") > share).select("u", places.alias("_places")))
+    dealt = rows.join(hubs, "u", "left").withColumn(
+        "_place", F.when(F.col("_places").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("_places"))).cast("int")).drop("_places")
+    return dealt.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), places - 1)).alias("_place")), ["u", "_place"]).drop("_place")
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(down, least, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -36,13 +53,14 @@ def components(links: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
     now = materialize(
         links.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v"))
         .where("u <> v").distinct(), "links")
-    before = None
+    before, total = None, now.count()
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "stars")
+        # a star has a link for each link of its input at most
+        now = materialize(_small_star(_large_star(now, total), total), "stars")
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:
             break
-        before = mark
+        before, total = mark, mark[0]
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()

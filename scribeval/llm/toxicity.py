@@ -9,8 +9,9 @@ places and counted once per text, so a stem with ever new endings is seen.
 
 Fitting (Spark does the counting; the sample bound is a parameter):
 
-1. at most ``max_rows`` labelled texts, those with the smallest hash of the
-   id, are joined from the documents;
+1. about ``max_rows`` labelled texts, those with the smallest hash of the id,
+   are joined from the documents; where ids repeat, repeated rows count once and
+   the bound holds for the rows that are left, by their hashes;
 2. document frequencies of every feature per class, summed in Spark, give a
    log-odds z-score; the ``n_features`` with the largest are kept;
 3. where labels are binary, positives are split into ``levels - 1`` grades
@@ -45,6 +46,7 @@ from .words import ASCII_LOWER, text_buffer, text_slices, word_hashes, word_span
 
 PREFIXES = (4, 5, 6)
 RESULT = ("severity", "grade", "toxic")
+SPACE = 1 << 62
 
 #: Bytes as the features see them: A-Z folded, ASCII punctuation as a blank.
 _FOLD = ASCII_LOWER.copy()
@@ -61,7 +63,7 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
     cut: float
-    held_out: dict
+    cross_validated: dict
 
     def lookup(self) -> tuple[np.ndarray, np.ndarray]:
         """Weight of every place, and which places have one (made once)."""
@@ -265,6 +267,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     # bounded by max_rows: 20 bytes a row
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(sample), "_id").select("key", "grade", "text")
+    if rows.count() > max_rows:  # ids repeat
+        named = rows.withColumn("row", F.xxhash64("key", "text"))
+        n = named.select("row", "grade").distinct().count()
+        kept = named.where(F.pmod(F.xxhash64("row"), F.lit(SPACE)) < F.lit(SPACE if n <= max_rows else int(SPACE * (max_rows / n))))
+        rows = kept.groupBy("key", "row", "grade").agg(F.first("text").alias("text")).select("key", "grade", "text")
     counted = rows.select("grade", "text").mapInArrow(
         _counts(bits, slices), "slice int, n0 long, n1 long, c0 binary, c1 binary")
     chosen = (counted.groupBy("slice").applyInArrow(_choose(bits, slices, n_features, least_z), "place long, z double")

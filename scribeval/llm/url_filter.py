@@ -20,6 +20,8 @@ give repeated rows.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,16 +65,22 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         "rule", "labels", "len", "host_len").agg(F.max("verdict").alias("verdict"))
     # one row for each shape of rule, bounded by the lengths of hosts and paths
     shapes = [(r["labels"], r["len"]) for r in listed.select("labels", "len").distinct().orderBy("labels", "len").collect()]
+    most = max((labels for labels, _ in shapes), default=0)
+    # path lengths by number of labels: one constant, however many rules there are
+    lengths = F.from_json(F.lit(json.dumps([[n for k, n in shapes if k == labels] for labels in range(most + 1)])), "array<array<int>>")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), host(F.col(f"`{url_col}`").cast("string")).alias("host"),
                         path(F.col(f"`{url_col}`").cast("string")).alias("path"))
     if not shapes:
         return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"),
                            F.lit(default).alias("verdict"))
     words = bloom.build(listed.select(F.xxhash64("rule").alias("key")), listed.count(), max_filter_bytes)
-    keys = F.array_distinct(F.filter(F.array(*[
-        F.when((F.length("path") >= n) & (F.length("host") > 0),
-               F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, n)))
-        for labels, n in shapes]), lambda k: k.isNotNull()))
+    own = F.sequence(F.lit(1), F.least(F.lit(most), F.size(F.split("host", "[.]"))))
+
+    def of_labels(labels: Column) -> Column:
+        tail = F.array_join(F.slice(F.split("host", "[.]"), -labels, labels), ".")
+        fit = F.filter(F.get(lengths, labels), lambda n: n <= F.length("path"))
+        return F.transform(fit, lambda n: F.concat(tail, F.substring(F.col("path"), F.lit(1), n)))
+    keys = F.when(F.length("host") > 0, F.array_distinct(F.flatten(F.transform(own, of_labels)))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("keys", keys)
     hits = _passing(spark, words)(F.transform("keys", lambda k: F.xxhash64(k)))
     rows = rows.withColumn("keys", F.transform(F.filter(F.arrays_zip("keys", hits.alias("hits")), lambda z: z["hits"]),

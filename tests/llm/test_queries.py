@@ -93,7 +93,7 @@ def test_lattice_recall_is_measured_against_brute_force(spark):
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     model = toxicity.fit(spark.read.parquet(table_path(sf, "documents")), spark.read.parquet(table_path(sf, "labels")))
-    f = model.held_out
+    f = model.cross_validated
     assert f["rows"] > 50 and f["hits"] / max(1, f["said"]) >= 0.9 and f["hits"] / f["toxic"] >= 0.6
     assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 2
     rows = E.queries()["op10_toxicity"](spark, sf).collect()
