@@ -21,7 +21,7 @@ from ..operators.selection import (
 from ..operators.summary import eval_summary
 from ..operators.wordmap import map_words
 from ..sources import fixtures as fx
-from ..sources.registry import EVALUATED, NO_LANGUAGE, DatasetEntry, document_dataset, registry, registry_frame, with_split
+from ..sources.registry import EVALUATED, NO_LANGUAGE, DatasetEntry, document_dataset, registry, registry_frame, split_of
 from ..sources.tables import read_table
 from . import oracle as O
 from .evaluation import eval_results, results_sql, scoring_partitions
@@ -67,17 +67,15 @@ def scan_entry(spark, sf, entry: DatasetEntry, name: str) -> DataFrame:
         lang = F.col("lang")
         df = df.where((lang == entry.config) | lang.isNull() if entry.config == NO_LANGUAGE else lang == entry.config)
     if entry.path == "documents":
-        labelled = read_table(spark, sf, "labels").select("doc_id")
-        df = df.join(labelled, "doc_id", "left_semi" if entry.split == "test" else "left_anti")
+        df = df.where(split_of(F.col("doc_id")) == entry.split)
     return map_columns(df, entry, name)
 
 
 def scan_all(spark, sf, entries: dict[str, DatasetEntry]) -> DataFrame:
     """The rows of many entries.  The entries of ``documents`` share one scan:
     a row's language and split name its entry."""
-    docs = with_split(read_table(spark, sf, "documents").select("doc_id", "lang", "text"), read_table(spark, sf, "labels"))
-    name = document_dataset(F.col("lang"), F.col("split"))
-    frames = [docs.select(F.col("doc_id").alias("audio"), F.col("text").alias("reference"), name.alias("dataset"))]
+    name = document_dataset(F.col("doc_id"), F.col("lang"))
+    frames = [read_table(spark, sf, "documents").select(F.col("doc_id").alias("audio"), F.col("text").alias("reference"), name.alias("dataset"))]
     frames += [scan_entry(spark, sf, e, n) for n, e in entries.items() if e.path != "documents"]
     out = frames[0]
     for f in frames[1:]:
@@ -141,7 +139,11 @@ def sql_src_multi_union():
 
 def doc_split(spark, sf) -> DataFrame:
     """documents with split = 'test' when the document has a label row."""
-    return with_split(read_table(spark, sf, "documents").select("doc_id", "source", "lang"), read_table(spark, sf, "labels"))
+    d = read_table(spark, sf, "documents").select("doc_id", "source", "lang")
+    lab = read_table(spark, sf, "labels").select("doc_id").distinct().withColumn("_lab", F.lit(True))
+    return d.join(lab, "doc_id", "left").select(
+        "doc_id", "source", "lang",
+        F.when(F.col("_lab"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
 
 
 def src_scan_split(spark, sf):

@@ -27,12 +27,12 @@ from ..sources.fixtures import (
     LINE_ID_BASE,
     STREAMING_MODEL,
 )
-from ..sources.registry import EVALUATED, NO_LANGUAGE, OTHERS
+from ..sources.registry import EVALUATED, NO_LANGUAGE, OTHERS, TEST_EVERY
 
 SPLIT_WORDS = duckdb_split_words
 
 
-SPLIT_OF_DOCUMENT = "CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) THEN 'test' ELSE 'train' END"
+SPLIT_OF_DOCUMENT = f"CASE WHEN doc_id % {TEST_EVERY} = 0 THEN 'test' ELSE 'train' END"
 DOCUMENT_DATASET = f"'documents-' || coalesce(lang, '{NO_LANGUAGE}') || '-' || {SPLIT_OF_DOCUMENT}"
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import split_words
 from ..operators.search import split_lines
-from .registry import document_dataset, with_split
+from .registry import document_dataset
 from .tables import read_events, read_table
 
 # --- fixed values -----------------------------------------------------------
@@ -50,11 +50,11 @@ def utterances(spark: SparkSession, sf_dir: str, for_join: bool = False) -> Data
     With ``for_join`` the rows are hash-partitioned on sample_id once, so
     that the tables derived from them (samples, hypotheses, judge replies) meet
     without further shuffles; filters and projections need no shuffle."""
-    docs = with_split(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), read_table(spark, sf_dir, "labels"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     line_no = F.when(F.col("line_no") < LINE_ID_BASE, F.col("line_no")).otherwise(
         F.raise_error(F.lit("a text has more lines than sample ids allow")).cast("int"))
     lines = docs.select(
-        "doc_id", document_dataset(F.col("lang"), F.col("split")).alias("dataset"), "lang",
+        "doc_id", document_dataset(F.col("doc_id"), F.col("lang")).alias("dataset"), "lang",
         F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_BREAK)).alias("line_no", "line"),
     ).select(
         ((F.col("doc_id") + 1) * LINE_ID_BASE + line_no).alias("sample_id"),

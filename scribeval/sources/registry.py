@@ -3,9 +3,9 @@
 An entry names a table, the configuration and split of its rows, and the
 columns that hold the audio and the text.  ``documents`` has one entry for
 each of its languages (the configuration; rows without one are ``none``) and
-split (``test``: the document has a label row, else ``train``), so that every
-row of every table is in exactly one entry.  The languages are read from the
-table; there are as many entries as languages, not as rows.
+split (``test``: ids that 10 divides, else ``train``), so that every row of
+every table is in exactly one entry, which the row itself tells.  The languages
+are read from the table; there are as many entries as languages, not as rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ class DatasetEntry:
 
 NO_LANGUAGE = "none"
 SPLITS = ("test", "train")
+TEST_EVERY = 10
 OTHERS = {
     "benchmark": DatasetEntry("benchmark", None, "item_id", "text", "test"),
     "conversations": DatasetEntry("conversations", None, "turn", "text", "test"),
@@ -38,16 +39,13 @@ OTHERS = {
 EVALUATED = ("documents", "benchmark")
 
 
-def document_dataset(lang: Column, split: Column) -> Column:
-    """The name of a document's entry."""
-    return F.concat(F.lit("documents-"), F.coalesce(lang, F.lit(NO_LANGUAGE)), F.lit("-"), split)
+def split_of(doc_id: Column) -> Column:
+    return F.when(doc_id % TEST_EVERY == 0, "test").otherwise("train")
 
 
-def with_split(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds ``split`` to documents; repeated labels count once."""
-    known = labels.select(F.col("doc_id").alias("_labelled")).distinct()
-    return docs.join(known, docs["doc_id"] == known["_labelled"], "left").withColumn(
-        "split", F.when(F.col("_labelled").isNotNull(), "test").otherwise("train")).drop("_labelled")
+def document_dataset(doc_id: Column, lang: Column) -> Column:
+    """The name of a document's entry."""
+    return F.concat(F.lit("documents-"), F.coalesce(lang, F.lit(NO_LANGUAGE)), F.lit("-"), split_of(doc_id))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> dict[str, DatasetEntry]:

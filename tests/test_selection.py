@@ -86,9 +86,8 @@ def test_every_row_is_in_one_entry(spark, sf):
 
 
 def test_rows_without_a_language(spark, tmp_path):
-    rows = [(1, "a", "en"), (2, "b", None), (3, "c", None), (4, "d", "none"), (5, None, "xx-yy"), (2, "e", "en"), (None, "f", "en")]
+    rows = [(1, "a", "en"), (-20, "b", None), (3, "c", None), (4, "d", "none"), (50, None, "xx-yy"), (20, "e", "en"), (None, "f", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(2,), (2,), (5,), (None,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
     for name, columns in (("benchmark", "item_id long, text string"), ("conversations", "turn long, text string"), ("pages", "page_id long, html string")):
         spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
     sf = str(tmp_path)
