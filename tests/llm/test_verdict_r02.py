@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scribeval.llm import graph, jaccard_join, keep, lattice_dedup, packing, queries, substring_dedup, tokens, topk_search, url_filter, warc, words
+from scribeval.llm import jaccard_join, keep, lattice_dedup, packing, queries, substring_dedup, tokens, topk_search, url_filter, warc, words
 
 from . import brute
 
@@ -203,7 +203,7 @@ def test_lattice_finds_links_of_short_vectors(spark, dim):
     assert 0.97 * want.sum() <= got <= want.sum() and want.sum() > 300
 
 
-# -- 3: many rules are one expression; 7, 9: hubs ---------------------------------------
+# -- 3: many rules are one expression -------------------------------------------------
 
 def test_plan_does_not_grow_with_the_rules(spark):
     def rules(n):
@@ -216,25 +216,3 @@ def test_plan_does_not_grow_with_the_rules(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in few.collect()}
     assert got == {1: ("h3.site3.org/ppp", "block"), 2: (None, "allow"), 3: ("org/x/", "allow"), 4: (None, "allow"), 5: (None, "allow")}
     assert {r.page_id: r.rule for r in many.collect()} == {k: v[0] for k, v in got.items()}
-
-
-@pytest.mark.parametrize("share,most", [(4, 50_000), (4, 3), (64, 50_000)])
-def test_components_with_hubs(spark, monkeypatch, share, most):
-    monkeypatch.setattr(graph, "HUB_LINKS", share)
-    monkeypatch.setattr(graph, "MOST_HUBS", most)
-    r = np.random.default_rng(share + most)
-    edges = [(0, i) for i in range(1, 300)] + [(900, 1000 + i) for i in range(80)] + [tuple(map(int, r.integers(2000, 2300, 2))) for _ in range(260)]
-    edges += [(i, i + 1) for i in range(3000, 3050)]
-    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
-    parent = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-    for a, b in edges:
-        x, y = find(a), find(b)
-        parent[max(x, y)] = min(x, y)
-    want = {n: find(n) for e in edges for n in e if e[0] != e[1]}
-    got = {x.node: x.component_id for x in graph.components(df).collect()}
-    assert got == want
