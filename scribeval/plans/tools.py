@@ -21,7 +21,7 @@ from ..functions.strings import (
 from ..operators import textlines
 from ..operators.search import query_words, search_texts, top_hits, window_blocks, window_lines, windows_of
 from ..operators.textlines import read_lines, search_lines
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from .corpus import doc_split
@@ -388,9 +388,9 @@ def search_catalog(catalog, query: str, task: str = "automatic-speech-recognitio
 def q_catalog_search(spark, sf):
     """Three searches: with task and language, by task alone, and one that
     finds nothing."""
-    out = None
+    out, catalog = None, materialize(_cat(spark, sf), "catalog")
     for i, (query, task, language) in enumerate(CATALOG_SEARCHES):
-        one = search_catalog(_cat(spark, sf), query, task, language).select(F.lit(i).alias("search"), "line_no", "line")
+        one = search_catalog(catalog, query, task, language).select(F.lit(i).alias("search"), "line_no", "line")
         out = one if out is None else out.unionByName(one)
     return out
 
