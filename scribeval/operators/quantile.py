@@ -9,7 +9,7 @@ bin's smallest and largest one.  Bins of the first round are even on a log
 scale on both sides of zero, so values of very different sizes part at once
 and a bin's values are of like size; later rounds cut the bracket evenly.  As
 the smallest and the largest value of a bracket never share a bin, every round
-makes progress; at most six find the value among any number of rows.  What is
+makes progress; about six find the value among any number of rows.  What is
 shuffled in a round is bounded by groups times bins.
 
 ``quantile_sketches`` is the choice for running totals: mergeable KLL sketches
@@ -25,7 +25,7 @@ from ..session import materialize
 
 BINS = 2048
 #: Bins a unit of the logarithm in the first round.
-FIRST_BINS_A_UNIT = 4
+FIRST_BINS_A_UNIT = 64
 #: Above the logarithm's size for all doubles, so that both sides of zero part.
 LOG_RANGE = 746
 #: Values that no width cuts (infinite, not a number) have bins of their own.

@@ -212,6 +212,6 @@ def stage_events(turns: DataFrame, path: str, n_files: int | None = None, slice_
     value of ``slice_col`` (0, 1, ...; ``n_files`` of them), and last a
     heartbeat an hour later, behind which all sessions are closed."""
     cols = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
-    n_files = n_files or max(8, -(-turns.count() // 100_000))
+    n_files = n_files or max(4, -(-turns.count() // 100_000))
     beat = {"session_id": -1, "event_id": -1, "kind": HEARTBEAT}
     return stage_feed(turns.select(*cols, *([slice_col] if slice_col else [])), path, "ts", n_files, beat, "INTERVAL 1 HOUR", slice_col)
