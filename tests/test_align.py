@@ -38,3 +38,27 @@ def test_long_pairs_in_bounded_rows():
         ops = edit_ops(ref, hyp)
         assert sum(o != "ok" for o, _, _ in ops) == d[m]
         assert [r for _, r, _ in ops if r is not None] == ref and [h for _, _, h in ops if h is not None] == hyp
+
+
+def test_a_pair_of_twenty_thousand_words_takes_no_quadratic_time():
+    # before: a numpy row per word, 7 seconds and more
+    import time
+    rnd = random.Random(5)
+    ref = [f"w{rnd.randint(0, 3000)}" for _ in range(20_000)]
+    hyp = [w for i, w in enumerate(ref) if i % 7 != 3]
+    began = time.process_time()
+    ops = edit_ops(ref, hyp)
+    assert time.process_time() - began < 4
+    assert sum(o == "del" for o, _, _ in ops) == 20_000 - len(hyp) and all(o in ("ok", "del") for o, _, _ in ops)
+
+
+def test_blocks_of_the_table_give_the_same_alignment(monkeypatch):
+    from scribeval.operators import align
+    rnd = random.Random(6)
+    for _ in range(200):
+        a = [rnd.choice("abcde") for _ in range(rnd.randint(0, 30))]
+        b = [rnd.choice("abcde") for _ in range(rnd.randint(0, 30))]
+        whole = edit_ops(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(align, "TABLE_BITS", 1)
+            assert edit_ops(a, b) == whole
