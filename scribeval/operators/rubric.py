@@ -20,12 +20,16 @@ Among alignments of the same points the one with fewer whole points counts,
 then the one with fewer free edits: the three sums are one whole number, so
 the result is unique and any other way of computing it gives the same counts.
 
-``rubric_scores`` is the one Python step: numpy works a row of the table at a
-time in ``mapInArrow``; a few rows are held, whatever the length.
+``rubric_scores`` is the one Python step: in ``mapInArrow``, numpy works a row of
+the tables of many pairs of like length at a time; a few rows are held, whatever
+the length.  Words cost one of two values in nearly all places (equal or wholly
+different); the few related words, merges and splits are single places of a row.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,9 +53,15 @@ LEAST_STEM = 3
 #: Half points, whole-point edits and free edits in one number.
 FREE, MINOR, MAJOR = 1, 1 << 40, (2 << 40) + (1 << 20)
 FAR = 1 << 60
+#: Places of a row of all tables that are worked together.
+PLACES = 1 << 14
+#: From so many places on, two words' moves are made by numpy.
+BLOCK = 64
+WORDS_KEPT = 1 << 14
 _IRREGULAR = {tuple(p.split()) for p in IRREGULAR} | {tuple(p.split()[::-1]) for p in IRREGULAR}
 
 
+@lru_cache(WORDS_KEPT)
 def stem(word: str) -> str:
     """A word without its ending; a doubled last consonant counts once."""
     for e in ENDINGS:
@@ -90,94 +100,181 @@ def substitution(r: str, h: str) -> int:
     return MINOR if related else MAJOR
 
 
-def _single(words: list[str]) -> np.ndarray:
+def _single(words: list[str]) -> list[int]:
     """Cost of each word that has no counterpart."""
+    out, before = [], None
+    for w in words:
+        out.append(FREE if w in _FREE_ALONE or w == before else MINOR if w in ARTICLES else MAJOR)
+        before = w
+    return out
+
+
+_FREE_ALONE = frozenset(FILLERS + DISCOURSE)
+
+
+def _places(words: list[str]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for i, w in enumerate(words, 1):
+        out.setdefault(w, []).append(i)
+    return out
+
+
+def _grouped(words, key) -> dict:
+    out: dict = {}
+    for w in words:
+        out.setdefault(key(w), []).append(w)
+    return out
+
+
+_OTHER_FORMS = _grouped(_IRREGULAR, lambda p: p[0])
+
+
+def _related(rs: dict, hs: dict) -> list[tuple[str, str, int]]:
+    """The pairs of words that are neither equal nor wholly different.  Words
+    one character apart share their first two letters or their last three."""
+    stems = _grouped(hs, stem)
+    long = [h for h in hs if len(h) >= SPELLING_MIN_LEN - 1]
+    begins, ends = _grouped(long, lambda w: w[:2]), _grouped(long, lambda w: w[-3:])
+    prepositions = [h for h in hs if h in PREPOSITIONS]
     out = []
-    for i, w in enumerate(words):
-        free = w in FILLERS or w in DISCOURSE or i > 0 and words[i - 1] == w
-        out.append(FREE if free else MINOR if w in ARTICLES else MAJOR)
-    return np.array(out, np.int64)
-
-
-def _neighbours(word: str) -> set[str]:
-    """What a word shares with every word that is not wholly different."""
-    keys = {word, "s:" + stem(word), word + "s", word + "es"}
-    if word in PREPOSITIONS:
-        keys.add("p:")
-    keys |= {word[:-1], word[:-2]} if word.endswith("s") else set()
-    keys |= {" ".join(p) for p in _IRREGULAR if word in p}
-    if len(word) >= SPELLING_MIN_LEN - 1:
-        keys |= {word[:i] + word[i + 1:] for i in range(len(word))}
-    return keys
-
-
-def _substitutions(ref: list[str], hyp: list[str]) -> np.ndarray:
-    """The costs of all pairs; only words that share a key are compared."""
-    rs, hs = list(dict.fromkeys(ref)), list(dict.fromkeys(hyp))
-    cost = np.full((len(rs), len(hs)), MAJOR, np.int64)
-    known: dict[str, list[int]] = {}
-    for j, h in enumerate(hs):
-        for key in _neighbours(h):
-            known.setdefault(key, []).append(j)
-    for i, r in enumerate(rs):
-        for j in {j for key in _neighbours(r) for j in known.get(key, ())}:
-            cost[i, j] = substitution(r, hs[j])
-    at, to = {w: i for i, w in enumerate(rs)}, {w: j for j, w in enumerate(hs)}
-    return cost[np.ix_([at[w] for w in ref], [to[w] for w in hyp])]
+    for r in rs:
+        near = [*stems.get(stem(r), ()), r + "s", r + "es"]
+        if r[-1] == "s":
+            near += [r[:-1], r[:-2]]
+        if r in PREPOSITIONS:
+            near += prepositions
+        if r in _OTHER_FORMS:
+            near += [h for _, h in _OTHER_FORMS[r]]
+        n = len(r)
+        if n >= SPELLING_MIN_LEN:
+            near += [h for h in begins.get(r[:2], ()) if -2 < len(h) - n < 2 and h != r and one_apart(r, h)]
+            near += [h for h in ends.get(r[-3:], ()) if -2 < len(h) - n < 2 and h != r and one_apart(r, h)]
+        for h in set(near):
+            if h != r and h in hs and (cost := substitution(r, h)) < MAJOR:
+                out.append((r, h, cost))
+    return out
 
 
-def alignment_cost(ref: list[str], hyp: list[str]) -> int:
-    """The least cost of turning ``ref`` into ``hyp``."""
-    if ref == hyp:
-        return 0
-    n, m = len(ref), len(hyp)
-    left_out, put_in = _single(ref), _single(hyp)
-    chain = np.concatenate([[0], np.cumsum(put_in)])
-    marker = np.array([False, False] + [f"{a} {b}" in MARKERS for a, b in zip(hyp, hyp[1:])])[:m + 1]
-    pairs = [a + b for a, b in zip(hyp, hyp[1:])]
-    places: dict[str, list[int]] = {}
-    for j, h in enumerate(hyp, 1):
-        places.setdefault(h, []).append(j)
-    joined: dict[str, list[tuple[int, int]]] = {}
-    for k, several in ((2, pairs), (3, [a + b + c for a, b, c in zip(hyp, hyp[1:], hyp[2:])])):
-        for j, p in enumerate(several, k):
-            joined.setdefault(p, []).append((j, j - k))
+def _moves(ref: list[str], hyp: list[str]) -> np.ndarray:
+    """The moves that are neither equal nor wholly different words, as lines of
+    row, place, rows back, place there, cost."""
+    rs, hs = _places(ref), _places(hyp)
+    out, blocks = [], []
+    for r, h, cost in _related(rs, hs):
+        rows, places = rs[r], hs[h]
+        if len(rows) * len(places) < BLOCK:
+            out += [(i, j, 1, j - 1, cost) for i in rows for j in places]
+        else:
+            i, j = np.repeat(rows, len(places)), np.tile(places, len(rows))
+            blocks.append(np.stack([i, j, np.ones_like(i), j - 1, np.full_like(i, cost)], axis=1))
+    for words, known, merge in ((hyp, rs, True), (ref, hs, False)):
+        several = words
+        for k in (2, 3):
+            several = [a + b for a, b in zip(several, words[k - 1:])]
+            if known.keys().isdisjoint(several):
+                continue
+            for x, w in enumerate(several, k):
+                out.extend((y, x, 1, x - k, FREE) if merge else (x, y, k, y - 1, FREE) for y in known.get(w, ()))
+    return np.concatenate([np.array(out, np.int64).reshape(-1, 5), *blocks])
+
+
+def _markers(words: list[str]) -> list[int]:
+    return [i for i, (a, b) in enumerate(zip(words, words[1:]), 2) if f"{a} {b}" in MARKERS]
+
+
+def _together(pairs: list[tuple[list[str], list[str]]]) -> list[int]:
+    """The costs of pairs that are ordered by falling length of the first text."""
+    lengths = [len(r) for r, _ in pairs]
+    n, width = lengths[0], max(len(h) for _, h in pairs) + 1
+    codes: dict[str, int] = {}
+    refs, hyps = np.zeros((n, len(pairs)), np.int32), np.full((len(pairs), width - 1), -1, np.int32)
+    left_out, chain = np.zeros((n, len(pairs)), np.int64), np.zeros((len(pairs), width), np.int64)
+    moves, ref_markers, hyp_markers = [], {}, []
+    for b, (r, h) in enumerate(pairs):
+        refs[:len(r), b] = [codes.setdefault(w, len(codes)) for w in r]
+        hyps[b, :len(h)] = [codes.setdefault(w, len(codes)) for w in h]
+        left_out[:len(r), b] = _single(r)
+        chain[b, 1:len(h) + 1] = _single(h)
+        moves.append(_moves(r, h) + np.array([0, b * width, 0, b * width, 0]))
+        for i in _markers(r):
+            ref_markers.setdefault(i, []).append(b)
+        hyp_markers.extend((b, j) for j in _markers(h))
+    chain = chain.cumsum(axis=1)
+    events = np.concatenate(moves)
+    keys = events[:, 0] * 4 + events[:, 2]  # row and rows back
+    order = np.argsort(keys, kind="stable")
+    keys, events = keys[order], events[order]
+    bounds = np.searchsorted(keys, np.arange(4 * n + 6)).tolist()
+    to, begin, worth = (np.ascontiguousarray(events[:, c]) for c in (1, 3, 4))
 
     def put(base: np.ndarray) -> np.ndarray:
-        """The row with words put in behind each place."""
-        if not marker.any():
-            return np.minimum.accumulate(base - chain) + chain
-        row = base.tolist()
-        for j in range(1, m + 1):
-            row[j] = min(row[j], row[j - 1] + int(put_in[j - 1]), row[j - 2] + FREE if marker[j] else FAR)
-        return np.array(row, np.int64)
-
-    costs = _substitutions(ref, hyp) if m else np.empty((n, 0), np.int64)
-    base = np.full(m + 1, FAR, np.int64)
-    base[0] = 0
+        """The rows with words put in behind each place."""
+        own = chain[:len(base)]
+        row = np.subtract(base, own)
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += own
+        for b, j in hyp_markers:
+            if b < len(row) and row[b, j - 2] + FREE < row[b, j]:
+                np.minimum(row[b, j:], row[b, j - 2] + FREE + own[b, j:] - own[b, j], out=row[b, j:])
+        return row
+
+    base = np.full((len(pairs), width), FAR, np.int64)
+    base[:, 0] = 0
     rows = [put(base)]  # the last three
-    for i in range(1, n + 1):
-        last = rows[-1]
-        base = last + left_out[i - 1]
-        base[1:] = np.minimum(base[1:], last[:-1] + costs[i - 1])
-        for j, begin in joined.get(ref[i - 1], ()):
-            base[j] = min(base[j], last[begin] + FREE)
-        for k in (2, 3):
-            if i >= k:
-                for j in places.get("".join(ref[i - k:i]), ()):
-                    base[j] = min(base[j], rows[-k][j - 1] + FREE)
-        if i > 1 and f"{ref[i - 2]} {ref[i - 1]}" in MARKERS:
-            base = np.minimum(base, rows[-2] + FREE)
-        rows = [*rows[-2:], put(base)]
-    return int(rows[-1][m])
+    out = [0] * len(pairs)
+    active = len(pairs)
+    for i in range(n + 1):
+        if i:
+            last = rows[-1][:active]
+            base = last + left_out[i - 1, :active, None]
+            other = (hyps[:active] != refs[i - 1, :active, None]) * np.int64(MAJOR)
+            other += last[:, :-1]
+            np.minimum(base[:, 1:], other, out=base[:, 1:])
+            for back in (1, 2, 3):
+                a, z = bounds[4 * i + back], bounds[4 * i + back + 1]
+                if a < z:
+                    np.minimum.at(base.reshape(-1), to[a:z], rows[-back].reshape(-1)[begin[a:z]] + worth[a:z])
+            for b in ref_markers.get(i, ()):
+                np.minimum(base[b], rows[-2][b] + FREE, out=base[b])
+            rows = [*rows[-2:], put(base)]
+        while active and lengths[active - 1] == i:
+            active -= 1
+            out[active] = int(rows[-1][active, len(pairs[active][1])])
+    return out
+
+
+def alignment_costs(pairs: list[tuple[list[str], list[str]]]) -> list[int]:
+    """The least costs of turning each first text into its second."""
+    out = [0] * len(pairs)
+    order = sorted((k for k, (r, h) in enumerate(pairs) if r != h), key=lambda k: -len(pairs[k][0]))
+    group, width = [], 0
+
+    def close():
+        for k, cost in zip(group, _together([pairs[k] for k in group])):
+            out[k] = cost
+
+    for k in order:
+        wide = max(width, len(pairs[k][1]) + 1)
+        if group and wide * (len(group) + 1) > PLACES:
+            close()
+            group, wide = [], len(pairs[k][1]) + 1
+        group, width = [*group, k], wide
+    if group:
+        close()
+    return out
+
+
+def alignment_cost(ref: list[str], hyp: list[str]) -> int:
+    """The least cost of turning ``ref`` into ``hyp``."""
+    return alignment_costs([(ref, hyp)])[0]
 
 
 def _costs(batches):
     for batch in batches:
         texts = zip(batch["norm_ref"].to_pylist(), batch["norm_hyp"].to_pylist())
-        found = [(len(r), alignment_cost(r, h)) for r, h in (((a or "").split(), (b or "").split()) for a, b in texts)]
-        yield pa.RecordBatch.from_pydict({"sample_id": batch["sample_id"], "ref_words": pa.array([n for n, _ in found], pa.int64()),
-                                          "cost": pa.array([c for _, c in found], pa.int64())})
+        pairs = [((a or "").split(), (b or "").split()) for a, b in texts]
+        yield pa.RecordBatch.from_pydict({"sample_id": batch["sample_id"], "ref_words": pa.array([len(r) for r, _ in pairs], pa.int64()),
+                                          "cost": pa.array(alignment_costs(pairs), pa.int64())})
 
 
 def rubric_scores(pairs: DataFrame) -> DataFrame:

@@ -152,3 +152,23 @@ def test_long_pairs():
     r = random.Random(1)
     ref = [r.choice(POOL) for _ in range(3000)]
     assert R.alignment_cost(ref, ref[:-1]) <= R.MAJOR and R.alignment_cost([], ref[:100]) == brute([], ref[:100])
+
+
+def test_many_pairs_together_cost_what_each_costs_alone(monkeypatch):
+    rnd = random.Random(9)
+    words = "the a and so you know i mean cancer cancers run running bigger big health care healthcare atm t m in on well uh receive recieve".split()
+    texts = [[rnd.choice(words) for _ in range(rnd.randint(0, 15))] for _ in range(80)]
+    pairs = list(zip(texts, reversed(texts)))
+    alone = [R.alignment_cost(*p) for p in pairs]
+    for places in (1, 100, 1 << 14):
+        monkeypatch.setattr(R, "PLACES", places)
+        assert R.alignment_costs(pairs) == alone
+
+
+def test_related_words_are_all_found():
+    rnd = random.Random(10)
+    for _ in range(60):
+        a = {"".join(rnd.choice("abesd") for _ in range(rnd.randint(1, 7))) for _ in range(25)} | {"is", "in", "affect", "good"}
+        b = {w[:k] + rnd.choice(("", "s", "e", "ed", "ing", "es")) + w[k + 1:] for w in a for k in range(len(w) + 1)} - {""} | {"was", "on", "effect", "best"}
+        found = {(r, h): c for r, h, c in R._related(dict.fromkeys(a), dict.fromkeys(b))}
+        assert found == {(r, h): c for r in a for h in b if r != h and (c := R.substitution(r, h)) < R.MAJOR}
