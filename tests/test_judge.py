@@ -61,3 +61,15 @@ def test_shortcut_and_feedback(spark):
     assert rows[2].f.endswith("PERFECT — No errors detected. Transcription matches reference exactly.")
     assert rows[1].f.startswith("CRITICAL — 2 major error(s)") and "m1; m2" in rows[1].f
     assert "PERFECT" not in rows[1].f
+
+
+def test_num_clamp_filters_written_scores(spark, tmp_path):
+    # before: the filter held a copy of the whole reply, quadratic in a line's words
+    from scribeval.plans import judging
+    line = " ".join(f"w{i}" for i in range(40))
+    spark.createDataFrame([(i, "en", line) for i in range(10)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, line)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = judging.num_clamp(spark, str(tmp_path))
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    whole = judging.parsed_replies(spark, str(tmp_path)).select("sample_id", "reply.raw_score", "reply.laser_score").collect()
+    assert sorted((r[0], round(r[1], 9), round(r[2], 9)) for r in whole if r[1] is not None) == sorted(map(tuple, out.collect()))
