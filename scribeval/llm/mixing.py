@@ -12,7 +12,8 @@ source's cumulative demand.  Its documents stand in a fixed pseudo-random
 order, repeated from the start when the target exceeds its words; the copy
 whose words lie in the middle of the demand ``y`` gets the training position
 ``t`` with ``demand(t) = y`` (a quadratic on each piece of the schedule).
-``training_order`` range-sorts the copies by position.
+``curriculum`` writes the copies range-sorted by position, with the words taken of
+each; ``training_order`` range-sorts their texts.
 
 The plan takes the last document of a source's last pass in part, so its words
 meet the target to a word.  ``training_order`` cuts no text: it takes that
@@ -82,7 +83,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
          weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0, schedules: tuple = SCHEDULES) -> DataFrame:
     """One row per document: _id, _row (hash of all its columns), source, size,
     source_size, target, taken (words), passes (whole copies), last (words of
-    a further copy), positions (training position of each copy)."""
+    a further copy), positions (training position of each copy), and _bucket and
+    _no, which name the document within its source."""
     name = F.col(f"`{source_col}`").cast("string")
     sized = materialize(docs.select(
         F.col(f"`{id_col}`").alias("_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
@@ -104,8 +106,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     buckets = parts.join(sources, "_source").select(
         "_source", "_bucket", "source_size", "target", "turn", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_source", "_bucket").orderBy("_order", "_id", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = Window.partitionBy("_source", "_bucket").orderBy("_order", "_id", "_row")
     placed = sized.withColumn("_bucket", bucket).join(buckets, ["_source", "_bucket"]).withColumn(
-        "_at", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        "_at", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("_no", F.row_number().over(numbered))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumn("passes", passes).withColumn(
         "_rest", F.floor(F.col("target") - F.col("passes") * F.col("source_size") + 0.5).cast("long")).withColumn(
@@ -125,7 +128,22 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.array().cast("array<long>"))
     return placed.withColumn("positions", F.transform(numbers, lambda c: position(
         c, F.when(c < F.col("passes"), F.col("size")).otherwise(F.col("last"))))).select(
-        "_id", "_row", "source", "size", "source_size", "target", "taken", "passes", "last", "positions")
+        "_id", "_row", "source", "size", "source_size", "target", "taken", "passes", "last", "positions", "_bucket", "_no")
+
+
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The mix as copies without their texts, written range-sorted by training
+    position: the plan's columns of the document, words (taken of this copy; the
+    last one may be taken in part) and position.  A document that the mix leaves
+    out has one row without a position, before all others."""
+    plans = plan(docs, id_col, text_col, **settings)
+    copies = F.transform("positions", lambda p, c: F.struct(
+        p.alias("position"), F.when(c < F.col("passes"), F.col("size")).otherwise(F.col("last")).alias("words")))
+    each = plans.withColumn("_copy", F.explode_outer(copies)).select(
+        "_id", "_row", "source", "_bucket", "_no", "size", "source_size", "target",
+        F.coalesce("_copy.words", F.lit(0).cast("long")).alias("words"), F.col("_copy.position").alias("position"))
+    place = ["position", "_bucket", "_no"]  # rows without a position are many: they are dealt by document
+    return materialize(each.repartitionByRange(*place).sortWithinPartitions(*place), "curriculum")
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -59,10 +59,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document, and where it first stands."""
-    out = mixing.plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken",
-                      F.get("positions", F.lit(0)).alias("position"))
+    """What the mix takes of every document, and where it first stands: read
+    from the copies in training order."""
+    mix = mixing.curriculum(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    document = ["source", "_bucket", "_no", "_id", "_row", "size", "source_size", "target"]
+    out = mix.groupBy(*document).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+    return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -472,3 +472,21 @@ def test_stages_take_edge_rows(spark, docs, empty, tmp_path):
             out.write.parquet(f"{tmp_path}/{name}{k}")
             now = spark.read.parquet(f"{tmp_path}/{name}{k}")
         assert (now.count() == 0) == (name == "empty")
+
+
+def test_mixing_query_reads_the_written_curriculum(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), f"s{i % 3}") for i in range(60)] + [(3, None, None), (4, "w w", "s1"), (4, "w w", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plans = mixing.plan(docs).collect()
+    mix = mixing.curriculum(docs)
+    copies = mix.collect()
+    assert sum(r.words for r in copies) == sum(r.taken for r in plans)
+    assert sorted(r.position for r in copies if r.position is not None) == sorted(p for r in plans for p in r.positions)
+    made = []
+    monkeypatch.setattr(mixing, "curriculum", lambda *a, **b: made.append(1) or mix)
+    got = queries.op5_mixing(spark, str(tmp_path)).collect()
+    assert made  # before: the query read the plan and no mix was made
+    key = lambda r: (r[0], r[1], r[2], r[3], r[4], r[5] if r[5] is not None else -1)
+    want = [(r["_id"], r.size, r.source_size, r.target, r.taken, r.positions[0] if r.positions else None) for r in plans]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
