@@ -37,20 +37,3 @@ def next_states(state: tuple[int, int], ref: Sequence, peq: dict, m: int) -> Ite
         left = grown << 1 | 1
         up, down = ((shrunk << 1) | (every ^ (every & (kept | left)))) & every, left & kept
         yield (up, down), kept, grown
-
-
-def edit_distance(ref: Sequence, hyp: Sequence) -> int:
-    m = len(hyp)
-    if not m:
-        return len(ref)
-    every, peq, last = (1 << m) - 1, places(hyp), m - 1
-    known, up, down, edits = peq.get, every, 0, m
-    for w in ref:
-        eq = known(w, 0)
-        kept = ((((eq & up) + up) ^ up) | eq | down) & every
-        grown = down | (every ^ (kept | up))
-        shrunk = kept & up
-        edits += (grown >> last) - (shrunk >> last)
-        left = grown << 1 | 1
-        up, down = ((shrunk << 1) | (every ^ (every & (kept | left)))) & every, left & kept
-    return edits

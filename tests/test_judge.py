@@ -73,3 +73,22 @@ def test_num_clamp_filters_written_scores(spark, tmp_path):
     assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
     whole = judging.parsed_replies(spark, str(tmp_path)).select("sample_id", "reply.raw_score", "reply.laser_score").collect()
     assert sorted((r[0], round(r[1], 9), round(r[2], 9)) for r in whole if r[1] is not None) == sorted(map(tuple, out.collect()))
+
+
+def test_edited_text_and_filler_guard(spark):
+    from scribeval.functions.normalize import _GUARDS, REGEX_STEPS_HEAD, normalize_stages, normalize_string
+    from scribeval.sources.fixtures import edited_text
+    words = [f"w{i}" for i in range(60)]
+
+    def edited(w):
+        out = []
+        for i, x in enumerate(w):
+            out += [] if i % 7 == 3 else ["zz" if i % 11 == 5 else x] + (["uh"] if i % 13 == 6 else [])
+        return " ".join(out)
+    rows = [(words[:n],) for n in (0, 1, 4, 7, 20, 60)] + [(["", "a"],)]
+    for w, text in spark.createDataFrame(rows, "w array<string>").select("w", edited_text(F.col("w"))).collect():
+        assert text == edited(w)
+    assert REGEX_STEPS_HEAD[2][0] in _GUARDS  # before: searched in every text
+    texts = [(t,) for t in ("hmm yes", "mm mhm mmm", "uh, um", "hummed uhuru", "no", "UM so", None)]
+    df = normalize_stages(spark.createDataFrame(texts, "t string"), "t", "got").withColumn("want", normalize_string(F.col("t")))
+    assert all(r.got == r.want for r in df.collect())
