@@ -51,3 +51,32 @@ def test_supplementary_plane_codes(spark):
     d = with_word_distance(df, "rt", "ht", "d").select("d", wer_from(F.col("d"), F.col("rt"), F.col("ht")).alias("w"))
     r = d.first()
     assert r.d == 1 and abs(r.w - 1 / 3000) < 1e-12
+
+
+def test_codes_are_hashes_unless_two_words_share_one(spark):
+    from scribeval.functions.wer import CODES
+    # before: each word searched in the vocabulary
+    ids = spark.range(4000).select(F.concat(F.lit("w"), "id").alias("w")).withColumn("c", F.pmod(F.xxhash64("w"), F.lit(CODES)))
+    same = ids.groupBy("c").agg(F.sort_array(F.collect_list("w")).alias("ws")).where("size(ws) > 1").first().ws
+    pairs = [([same[0], "a"], [same[1], "a"]), (["a", "b", "c"], ["a", "c"]), ([], ["a"]), (["é"], ["e"])]
+    df = spark.createDataFrame(pairs, "rt array<string>, ht array<string>")
+    out = with_word_distance(df, "rt", "ht", "d")
+    assert [r.d for r in out.collect()] == [1, 1, 1, 1]
+    assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_stages_are_not_interpreted(spark):
+    # before: 65,535, and the normaliser's stage was too large for the JVM's compiler
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_normaliser_stages_equal_the_plain_chain(spark):
+    from scribeval.functions.normalize import normalize_stages, normalize_string, normalized_words
+    rnd = random.Random(3)
+    pieces = ["uh", "um", "mm", "mmm", "hmm", "h", "m", "'", "won't", "'s", " ", "  ", "\t", "\n", "\r", "\x0b", "(", ")", "[", ">", "1", "2",
+              ",", ".", "%", "$", "€", "é", "ß", "日本", "_", "-", "mr", "A", "UM", "😀", "٣", "\x00", "x"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 25))) for _ in range(3000)] + [None, "", " "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    want = [r[0] for r in df.select(normalize_string(F.col("t"))).collect()]
+    assert [r[0] for r in normalize_stages(df, "t", "got").select("got").collect()] == want
+    assert [" ".join(r[0]) for r in normalized_words(df, "t", "got").select("got").collect()] == want
