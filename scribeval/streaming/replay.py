@@ -60,7 +60,14 @@ def stage_feed(events: DataFrame, path: str, ts_col: str, n_files: int, beat: di
     return path
 
 
-def _source(spark: SparkSession, path: str, schema, max_files: int = 2) -> DataFrame:
+def _source(spark: SparkSession, path: str, schema, slices: int = 2) -> DataFrame:
+    """A stream of the folders of ``stage_slices``, about ``slices`` of them in
+    a micro-batch.  Every task of the write leaves a file in each folder, so a
+    fixed number of files would make more batches of the same size the larger
+    the table is."""
+    found = spark.read.schema(schema).parquet(path).inputFiles()
+    folders = len({f.rpartition("/")[0] for f in found})
+    max_files = max(slices, -(-len(found) * slices // max(folders, 1)))
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
             .option("recursiveFileLookup", "true").parquet(path))
 

@@ -82,3 +82,17 @@ def test_late_chunk_is_dropped_and_counted(spark, tmp_path):
     times = times.withColumn("batch", F.element_at(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3), F.lit(3)), F.col("chunk_no") + 1))
     run = cw.chunk_windows(spark, cw.stage_chunks(times, str(tmp_path / "feed"), 4, slice_col="batch"))
     assert run.dropped == 1 and run.windows.agg(F.sum("n_bytes")).first()[0] == 40
+
+
+def test_batches_of_slices_do_not_grow_with_the_files(spark, tmp_path):
+    from scribeval.streaming import replay
+    rows = spark.range(600).select((F.col("id") % 5).cast("int").alias("candidate_id"), F.concat(F.lit("p"), F.col("id") % 5).alias("prompt"), "id")
+    path = replay.stage_slices(rows.repartition(20), str(tmp_path / "slices"), "id")
+    assert len(spark.read.parquet(path).inputFiles()) > 60
+    schema = "prompt string, candidate_id int, id long"
+    batches = []
+    q = (replay._source(spark, path, schema).writeStream.foreachBatch(lambda d, i: batches.append(d.count()))
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert len(batches) <= 4 and sum(batches) == 600  # before: half as many as files
+    assert sorted(map(tuple, replay.prompt_dedup(spark, path, schema).collect())) == [(f"p{i}", i) for i in range(5)]
