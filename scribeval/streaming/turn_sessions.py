@@ -6,8 +6,10 @@ only change ``readStream``).  A stateful processor keyed by speaker
 
 * a typed value holds the session's running figures, a list its final
   transcripts (appended, never read again before the session ends);
-* an event-time timer stands 30 s behind the session's last event and moves
-  with it; when the watermark passes it, the session is emitted as timed out;
+* an event-time timer stands 30 s behind the session's last event of its first
+  batch; when the watermark passes it, the session is emitted as timed out, or
+  the timer moves to 30 s behind what is then the last event (moving it with
+  every batch is two calls more for each speaker and batch);
 * a termination event, or an event more than 30 s behind the last one, ends
   the session at once: the same rule as the batch form, so the result does not
   depend on how events fall into batches.
@@ -48,6 +50,10 @@ FINAL_SCHEMA = "us long, event_id long, transcript string"
 #: Kind of the events that only move the watermark.
 HEARTBEAT = "heartbeat"
 TIMEOUT_US = TIMEOUT_SECONDS * 1_000_000
+#: Events of a staged file.  Every micro-batch starts a Python worker for each
+#: task and calls the state for each speaker, so many small ones cost more than
+#: their events do.
+EVENTS_A_FILE = 1_000_000
 
 
 @dataclass
@@ -65,6 +71,10 @@ class Open:
     err: str | None = None
     timer_ms: int | None = None
 
+    def due(self) -> int:
+        """When the session times out, in milliseconds."""
+        return self.last_us // 1000 + TIMEOUT_SECONDS * 1000
+
     def fields(self) -> tuple:
         return tuple(self.__dict__.values())
 
@@ -95,7 +105,8 @@ class SessionCollector(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         session_id = key[0]
-        now = Open(*self.open.get()) if self.open.exists() else None
+        held = self.open.get()
+        now = None if held is None else Open(*held)
         kept, old_timer = now is not None, now.timer_ms if now else None
         finals: list[tuple] = []  # of this batch, not yet in the state
         for _, event_id, us, kind, end_of_turn, transcript, error, _ in sorted(map(tuple, rows), key=lambda r: (r[2], r[1])):
@@ -125,21 +136,32 @@ class SessionCollector(StatefulProcessor):
                 if kept:
                     self._forget()
                 now, finals, kept = None, [], False
-        timer = None if now is None else now.last_us // 1000 + TIMEOUT_SECONDS * 1000
-        if old_timer is not None and old_timer != timer:
-            self.handle.deleteTimer(old_timer)
-        if now is not None:
-            if timer != old_timer:
-                self.handle.registerTimer(timer)
-            now.timer_ms = timer
-            self.open.update(now.fields())
-            if finals:
-                self.finals.appendList(finals)
+        if now is None:
+            if old_timer is not None:
+                self.handle.deleteTimer(old_timer)
+            return
+        # a timer that stands too early is moved when it expires
+        now.timer_ms = old_timer
+        if old_timer is None:
+            now.timer_ms = now.due()
+            self.handle.registerTimer(now.timer_ms)
+        self.open.update(now.fields())
+        if finals:
+            self.finals.appendList(finals)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.open.exists():
-            yield self._finished(key[0], Open(*self.open.get()), [], False)
-            self._forget()
+        held = self.open.get()
+        if held is None:
+            return
+        now = Open(*held)
+        due = now.due()
+        if due != now.timer_ms and due >= timerValues.getCurrentWatermarkInMs():
+            now.timer_ms = due
+            self.handle.registerTimer(due)
+            self.open.update(now.fields())
+            return
+        yield self._finished(key[0], now, [], False)
+        self._forget()
 
     def close(self) -> None:
         pass
@@ -208,10 +230,10 @@ def late_events(events: DataFrame, batch_col: str = "batch", delay_s: int = TIME
 
 def stage_events(turns: DataFrame, path: str, n_files: int | None = None, slice_col: str | None = None) -> str:
     """Write turn events as ``n_files`` files in the order of time (default:
-    as many as keep a file at about 100,000 events), or one file for each
+    as many as keep a file at about EVENTS_A_FILE events), or one file for each
     value of ``slice_col`` (0, 1, ...; ``n_files`` of them), and last a
     heartbeat an hour later, behind which all sessions are closed."""
     cols = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
-    n_files = n_files or max(4, -(-turns.count() // 100_000))
+    n_files = n_files or max(4, -(-turns.count() // EVENTS_A_FILE))
     beat = {"session_id": -1, "event_id": -1, "kind": HEARTBEAT}
     return stage_feed(turns.select(*cols, *([slice_col] if slice_col else [])), path, "ts", n_files, beat, "INTERVAL 1 HOUR", slice_col)

@@ -96,3 +96,22 @@ def test_batches_of_slices_do_not_grow_with_the_files(spark, tmp_path):
     q.awaitTermination()
     assert len(batches) <= 4 and sum(batches) == 600  # before: half as many as files
     assert sorted(map(tuple, replay.prompt_dedup(spark, path, schema).collect())) == [(f"p{i}", i) for i in range(5)]
+
+
+def test_session_kept_open_over_batches_moves_its_timer(spark, tmp_path):
+    # one event every 20 s, a file each: the first timer expires while the session goes on
+    rows = [(1, i, T0 + dt.timedelta(seconds=20 * i), "turn", True, f"t{i}", None, i) for i in range(8)]
+    rows += [(2, 100 + i, T0 + dt.timedelta(seconds=20 * i), "turn", True, "x", None, i) for i in (0, 4, 7)]
+    turns = spark.createDataFrame(rows, EVENTS + ", batch int")
+    run = collect_sessions(spark, stage_events(turns, str(tmp_path / "feed"), 8, slice_col="batch"), max_files_per_trigger=1)
+    cols = ["session_id", "session_no", "n_events", "n_final", "text", "ttfb", "ttfs", "first_error", "terminated", "failure"]
+    got = sorted(map(tuple, numbered(run.sessions).select(*cols).collect()))
+    assert got == sorted(map(tuple, session_summary(sessionize(turns)).select(*cols).collect()))
+    assert [g[:3] for g in got] == [(1, 0, 8), (2, 0, 1), (2, 1, 1), (2, 2, 1)] and run.state_rows == 0
+
+
+def test_staged_files_hold_a_million_events(spark, tmp_path, monkeypatch):
+    from scribeval.streaming import turn_sessions as ts
+    monkeypatch.setattr(ts, "EVENTS_A_FILE", 100)  # before: a fixed figure, and a tenth of it
+    path = stage_events(_turns(spark, 650, 5, 2), str(tmp_path / "feed"))
+    assert len(spark.read.option("recursiveFileLookup", "true").parquet(path).inputFiles()) == 8
