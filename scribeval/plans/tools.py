@@ -198,13 +198,19 @@ def q_line_search(spark, sf):
     return found.select("doc_id", "n_matches", F.col("total_hits").cast("long").alias("total_hits"), text.alias("result"))
 
 
+#: Bytes of text that one task of ``text_files`` sorts and writes, about.
+TEXT_PART = 64 << 20
+
+
 def text_files(spark, sf) -> str:
     """A stand-in for texts larger than a row: the documents of each source,
     in id order, as one text of several part files."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/text_files/{uuid.uuid4().hex}"
     docs = read_table(spark, sf, "documents").select(
         F.coalesce("text", F.lit("")).alias("value"), F.coalesce("source", F.lit("none")).alias("text"), "doc_id")
-    docs.repartitionByRange(4, "text", "doc_id").sortWithinPartitions("text", "doc_id").drop("doc_id").write.partitionBy("text").text(path)
+    # as many parts as the texts fill, so that a task's share does not grow with them
+    size = docs.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    docs.repartitionByRange(max(4, -(-size // TEXT_PART)), "text", "doc_id").sortWithinPartitions("text", "doc_id").drop("doc_id").write.partitionBy("text").text(path)
     return path
 
 

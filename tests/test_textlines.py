@@ -74,3 +74,15 @@ def test_search_on_rows_equals_the_array_form(spark):
     want = sorted(map(tuple, search.window_lines(found, "text").collect()))
     assert sorted(map(tuple, textlines.window_lines(lines, windows).collect())) == want
     assert {x.text: x.n_hits for x in windows.collect()} == {x.text: x.total_hits for x in found.collect() if x.total_hits}
+
+
+def test_text_files_have_as_many_parts_as_the_texts_fill(spark, tmp_path, monkeypatch):
+    from scribeval.plans import tools
+    rows = [(i, "line " * 20 + f"{i}\nsecond", f"src{i % 2}" if i % 7 else None) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    few = sorted(map(tuple, tools.src_text_files(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(tools, "TEXT_PART", 2000)
+    path = tools.text_files(spark, str(tmp_path))
+    # before: four tasks, whatever the size
+    assert len(spark.read.text(path).inputFiles()) > 15
+    assert sorted(map(tuple, tools.src_text_files(spark, str(tmp_path)).collect())) == few and len(few) == 800
