@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio as A
@@ -26,7 +26,7 @@ from ..sources.tables import read_table
 from ..streaming import replay
 from . import oracle as O
 from .evaluation import eval_results, results_sql, summary_sql
-from .judging import laser_results
+from .judging import judged_results, judged_samples
 from .optimize import candidate_scores
 from .tools import win_greedy_windows
 
@@ -116,11 +116,25 @@ def sql_fill(template: str, **fields: str) -> str:
     return " || ".join(f"({fields[p]})" if f else quoted(p) for f, p in _parts(template))
 
 
-def sample_lines(results: DataFrame, laser: bool) -> DataFrame:
-    """kind, i, part, line: the lines of every sample, in sample order."""
-    numbered = range_row_number(results, ["sample_id"], None, out="i")
-    n = results.agg(F.count("*").cast("string").alias("n"))
-    r = one_row_join(numbered, n)
+def numbered_samples(joined: DataFrame) -> DataFrame:
+    """``joined`` (by sample_id, none null) with ``i``, the row's number in sample
+    order, and ``n``, the number of rows.  The numbers are made from the ids alone,
+    so that texts are neither moved nor written for them; rows of one id lie
+    together and count on from the id's first number."""
+    ids = range_row_number(joined.select("sample_id"), ["sample_id"], None, out="i")
+    first = ids.groupBy("sample_id").agg(F.min("i").alias("_first"))
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("sample_id"))
+    r = joined.join(first, "sample_id").withColumn("i", F.col("_first") + place - 1).drop("_first")
+    return one_row_join(r, ids.agg(F.count("*").cast("string").alias("n")))
+
+
+#: What the summary reads of a sample; it stands beside the sample's first line.
+SUMMED = ("dataset", "error", "wer", "ttfb", "ttfs", "laser_score")
+
+
+def sample_lines(r: DataFrame, laser: bool) -> DataFrame:
+    """kind, i, part, line: the lines of every sample that ``numbered_samples``
+    has numbered; ``sample``: what the summary reads, at part 0."""
     i, text = F.col("i").cast("string"), {}
     tag = F.when(F.coalesce("dataset", F.lit("")) != "", F.concat(F.lit(" ("), "dataset", F.lit(")"))).otherwise(F.lit(""))
     latency = F.concat_ws(" | ", F.concat(F.lit("TTFB "), fmt_fixed(F.col("ttfb"), 2), F.lit("s")), F.concat(F.lit("TTFS "), fmt_fixed(F.col("ttfs"), 2), F.lit("s")))
@@ -139,7 +153,9 @@ def sample_lines(results: DataFrame, laser: bool) -> DataFrame:
         found = F.concat_ws(" | ", *[F.when(F.size(F.col(f"laser.{k}_errors")) > 0, fill(k, list=J.error_list(F.col(f"laser.{k}_errors"))))
                                      for k in ("major", "minor", "no_penalty")])
         lines.append(F.struct(F.lit(3).alias("part"), F.lit("errors").alias("kind"), F.when(ok & judged & (found != ""), F.concat(F.lit("  "), found)).alias("line")))
-    return r.select("i", F.explode(F.array(*lines)).alias("l")).where("l.line IS NOT NULL").select("l.kind", "i", "l.part", "l.line")
+    summed = F.struct(*[c for c in SUMMED if laser or c != "laser_score"]).alias("sample")
+    each = r.select("i", summed, F.explode(F.array(*lines)).alias("l")).where("l.line IS NOT NULL")
+    return each.select("l.kind", "i", "l.part", "l.line", F.when(F.col("l.part") == 0, F.col("sample")).alias("sample"))
 
 
 def summary_lines(results: DataFrame, laser: bool, model: str = REPORT_MODEL, mode: str = REPORT_MODE) -> DataFrame:
@@ -166,19 +182,26 @@ def summary_lines(results: DataFrame, laser: bool, model: str = REPORT_MODEL, mo
     return out
 
 
-def report_lines(results: DataFrame, laser: bool = True) -> DataFrame:
-    """The whole report; samples first (numbered), then the summary."""
-    samples = sample_lines(results, laser).withColumn("dataset", F.lit(None).cast("string"))
-    rest = summary_lines(results, laser).withColumn("i", F.lit(None).cast("long")).withColumn("part", F.lit(None).cast("int"))
-    return samples.unionByName(rest).select("kind", "dataset", "i", "part", "line")
+def report_lines(joined: DataFrame, path: str, laser: bool = True) -> DataFrame:
+    """The whole report of ``judged_samples``; samples first (numbered), then the
+    summary.  A sample's lines are written where it is scored: the table of lines
+    is the run's only one, and the summary, made from it, is written behind it."""
+    spark = joined.sparkSession
+    samples = sample_lines(judged_results(numbered_samples(joined)), laser).withColumn("dataset", F.lit(None).cast("string"))
+    columns = ["kind", "dataset", "i", "part", "line"]
+    samples.select(*columns, "sample").write.option("compression", "zstd").parquet(path)
+    written = spark.read.parquet(path)
+    rest = summary_lines(written.where("part = 0").select("sample.*"), laser)
+    rest = rest.withColumns({c: F.lit(None).cast(written.schema[c].dataType) for c in ("i", "part", "sample")})
+    rest.select(*written.columns).write.mode("append").parquet(path)
+    return spark.read.schema(written.schema).parquet(path).select(*columns)
 
 
 def snk_report(spark, sf):
     """The report of a judged run, written as text lines with their order and
     read back."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/report/{uuid.uuid4().hex}"
-    report_lines(laser_results(spark, sf, texts=True)).write.parquet(path)
-    return spark.read.parquet(path)
+    return report_lines(judged_samples(spark, sf), path)
 
 
 def sql_snk_report():
