@@ -172,3 +172,59 @@ def test_related_words_are_all_found():
         b = {w[:k] + rnd.choice(("", "s", "e", "ed", "ing", "es")) + w[k + 1:] for w in a for k in range(len(w) + 1)} - {""} | {"was", "on", "effect", "best"}
         found = {(r, h): c for r, h, c in R._related(dict.fromkeys(a), dict.fromkeys(b))}
         assert found == {(r, h): c for r in a for h in b if r != h and (c := R.substitution(r, h)) < R.MAJOR}
+
+
+def test_words_of_many_pairs_are_compared_once(monkeypatch):
+    calls, known = [], R.substitution
+    monkeypatch.setattr(R, "substitution", lambda r, h: calls.append((r, h)) or known(r, h))
+    pair = ("the kids walk in large boxes".split(), "a kid walked on larger box".split())
+    once = R.alignment_costs([pair])
+    alone = len(calls)
+    assert alone and R.alignment_costs([pair] * 30) == once * 30 and len(calls) == 2 * alone
+
+
+def _odd_pairs(seed, n):
+    r = random.Random(seed)
+    stems = ["q" * 13 + "word", "xyz" * 10, "ab" * 16, "ab" * 17, "loudspeaker" * 4, "\u00e9t\u00e9s", "\U0001f600laughs", "walks", "s", "es", "does"]
+    pool = stems + [w + e for w in stems for e in ("s", "es", "ing", "x")] + [w[:k] + w[k + 1:] for w in stems if len(w) > 4 for k in (0, len(w) // 2, len(w) - 1)] + POOL
+    for _ in range(n):
+        ref = [r.choice(pool) for _ in range(r.randint(0, 14))]
+        hyp = [r.choice(pool) if r.random() < 0.4 else w for w in ref if r.random() > 0.15]
+        if len(hyp) > 2 and r.random() < 0.5:
+            hyp[:2] = ["".join(hyp[:2])]
+        yield ref, hyp
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_and_odd_words_cost_what_the_definition_says(seed):
+    pairs = list(_odd_pairs(seed, 250))
+    assert R.alignment_costs(pairs) == [brute(*p) for p in pairs]
+
+
+def test_tables_of_32_and_of_64_bits_agree(monkeypatch):
+    r = random.Random(4)
+    pairs = []
+    for n in (200, 250, 256, 300, 240):
+        ref = [r.choice(POOL) for _ in range(n)]
+        pairs.append((ref, [r.choice(POOL) if r.random() < 0.3 else w for w in ref if r.random() > 0.1]))
+    pairs.append((["gone"] * 255, ["there"] * 256))
+    mixed = R.alignment_costs(pairs)
+    monkeypatch.setattr(R, "SMALL_BITS", 1)
+    assert R.alignment_costs(pairs) == mixed
+
+
+def test_batches_are_taken_together_in_their_order(monkeypatch):
+    import pyarrow as pa
+    pairs = _pairs(12, 60)
+    rows = {"sample_id": list(range(60)), "norm_ref": [" ".join(a) for a, _ in pairs], "norm_hyp": [" ".join(b) if b else None for _, b in pairs]}
+    whole = pa.RecordBatch.from_pydict(rows)
+    monkeypatch.setattr(R, "WORDS", 100)
+    got = [x for o in R._costs([whole.slice(k, 7) for k in range(0, 60, 7)]) for x in o.to_pylist()]
+    assert [(x["sample_id"], x["ref_words"], x["cost"]) for x in got] == [(i, len(a), brute(a, b)) for i, (a, b) in enumerate(pairs)]
+    assert sum(o.num_rows for o in R._costs([])) == 0
+
+
+def test_related_words_around_the_longest_are_all_found():
+    words = [w for n in range(25, 39) for base in ("ab" * 20, "xyz" * 14, "q" * 40) for w in (base[:n], base[:n - 1] + "t", base[:n] + "s", base[:n] + "es", base[:n] + "t" + "ting")]
+    found = {(r, h): c for r, h, c in R._related(dict.fromkeys(words), dict.fromkeys(words))}
+    assert found == {(r, h): c for r in dict.fromkeys(words) for h in words if r != h and (c := R.substitution(r, h)) < R.MAJOR}
